@@ -46,10 +46,12 @@ class ByteBPE:
         for c, b in letters.items():
             self.byte_id[b] = vocab[c]
         self.base = len(self.bytes_of)
-        self.merge = {}  # left id * base + right id -> (rank, id of the union)
+        self.merge = {}  # left id * base + right id -> rank
+        self.union = []  # by rank, the id of the union
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[vocab[left] * self.base + vocab[right]] = (rank, vocab[left + right])
+            self.merge[vocab[left] * self.base + vocab[right]] = rank
+            self.union.append(vocab[left + right])
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.decimal = [str(i) for i in range(self.base)]
@@ -61,19 +63,16 @@ class ByteBPE:
         parts = [self.byte_id[b] for b in data]
         if len(parts) > LONG_PIECE:
             return self._merge_long(parts)
-        merge, base, none = self.merge, self.base, (1 << 60, -1)
-        ranks = [merge.get(a * base + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low is none or low[1] < 0:
-                break
+        get, base, none = self.merge.get, self.base, len(self.union)
+        ranks = [get(a * base + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
             i = ranks.index(low)
-            parts[i] = low[1]
+            parts[i] = self.union[low]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = merge.get(parts[i] * base + parts[i + 1], none)
+                ranks[i] = get(parts[i] * base + parts[i + 1], none)
             if i:
-                ranks[i - 1] = merge.get(parts[i - 1] * base + parts[i], none)
+                ranks[i - 1] = get(parts[i - 1] * base + parts[i], none)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -83,17 +82,17 @@ class ByteBPE:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (m := merge.get(parts[i] * base + parts[j])):
-                heapq.heappush(waiting, (m[0], i, parts[i], parts[j], m[1]))
+            if j >= 0 and (rank := merge.get(parts[i] * base + parts[j])) is not None:
+                heapq.heappush(waiting, (rank, i, parts[i], parts[j]))
 
         for i in range(n - 1):
             offer(i)
         while waiting:
-            _, i, left, right, union = heapq.heappop(waiting)
+            rank, i, left, right = heapq.heappop(waiting)
             j = after[i]
             if parts[i] != left or j < 0 or parts[j] != right:
                 continue  # made void by an earlier merge
-            parts[i], parts[j] = union, -1
+            parts[i], parts[j] = self.union[rank], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i

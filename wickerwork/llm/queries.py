@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wickerwork.llm.bpe import bpe_encode
 from wickerwork.llm.exact_dedup import exact_dedup
 from wickerwork.llm.mixing import mix_sources
+from wickerwork.llm.near_dedup import near_duplicates
 from wickerwork.llm.sharding import shard_by_size
 
 
@@ -25,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).drop("mix_source")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(_table(spark, sf_dir, "documents"), 8)
 
@@ -39,6 +44,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wickerwork.llm.shared import ascii_lower, durable, partitions_of
 
+#: Characters of a text that sampled splitters carry; bounds what range partitioning sends to the driver.
+SPLITTER_CHARS = 32
+
 
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None
@@ -16,7 +19,8 @@ def exact_dedup(
     Texts are equal when their bytes are, after lower-casing A-Z. repartitionByRange samples splitters and
     range-partitions the normalised texts; the sort inside each partition (external, it spills) puts equal
     texts side by side, and the window's group boundary is a full comparison of neighbours. One row of each
-    group is kept, that with the smallest id (keep="largest": the largest).
+    group is kept, that with the smallest id (keep="largest": the largest). Splitters are made of a text's first
+    SPLITTER_CHARS characters and its hash, since the driver gathers them; the sort then compares whole texts.
 
     Skew: a text with more than 1/(4 n) of all rows (n partitions) is cut into pieces by a hash of the id before
     the sort; there are fewer than 4 n such texts, so the list of their hashes may be broadcast. The pieces'
@@ -42,10 +46,11 @@ def exact_dedup(
     )
     placed = (
         rows.join(F.broadcast(hot), "h", "left")
-        .select("doc_id", "norm", "pieces", F.coalesce(F.pmod(F.xxhash64("doc_id"), "pieces"), F.lit(0)).alias("piece"))
-        .repartitionByRange(n, "norm", "piece")
+        .select("doc_id", "norm", "h", "pieces", F.coalesce(F.pmod(F.xxhash64("doc_id"), "pieces"), F.lit(0)).alias("piece"))
+        .withColumn("start", F.substring("norm", 1, SPLITTER_CHARS))
+        .repartitionByRange(n, "start", "h", "piece")
     )
-    run = Window.partitionBy("norm", "piece")
+    run = Window.partitionBy("start", "h", "piece", "norm")
     first = F.row_number().over(run.orderBy(order("doc_id"))) == 1
     runs = placed.select(
         "doc_id",
@@ -66,10 +71,11 @@ def exact_dedup(
     )
     runs = durable(runs)
 
-    group = Window.partitionBy("head")
+    group = Window.partitionBy("start", "text_sha256", "head")
     merged = (
         runs.where(F.col("head").isNotNull())
-        .repartitionByRange(n, "head")
+        .withColumn("start", F.substring("head", 1, SPLITTER_CHARS))
+        .repartitionByRange(n, "start", "text_sha256")
         .select(
             "text_sha256",
             "piece",

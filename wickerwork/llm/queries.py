@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wickerwork.llm.ann import nearest_neighbours
 from wickerwork.llm.bpe import bpe_encode
 from wickerwork.llm.exact_dedup import exact_dedup
+from wickerwork.llm.hmm_lm import score_documents
+from wickerwork.llm.line_dedup import dedup_lines
 from wickerwork.llm.mixing import mix_sources
 from wickerwork.llm.near_dedup import near_duplicates
 from wickerwork.llm.sharding import shard_by_size
+from wickerwork.llm.toxicity import fit_toxicity, held_out
+from wickerwork.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,20 +40,49 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(_table(spark, sf_dir, "documents"), 8)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return cut.select("doc_id", "words_cut", "bytes_cut", F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return model.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"), vocabulary(), with_ids=False, digests=True)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
+    "op4_ann": op4_ann,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
+    "op10_hmm_lm": op10_hmm_lm,
 }
 
 SQL = {

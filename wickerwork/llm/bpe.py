@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -127,8 +128,8 @@ def _load(path: str) -> ByteBPE:
 def bpe_encode(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, digests: bool = False
 ) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, then ids (array<int>) and decoded text, or with digests ids_sha256 and
-    decoded_sha256 of them. A narrow map over Arrow batches: no shuffle, and a lost task is just run again.
+    """One row per input row: doc_id, n_tokens, with digests ids_sha256 and decoded_sha256 (of the ids and of their decoding),
+    with_ids ids (array<int>). A narrow map over Arrow batches: no shuffle, and a lost task is just run again.
 
     vocabulary is the path of the published file; it must be readable on every executor and is read once a worker.
     The strings of special tokens in a text become those tokens. Null text counts as empty: no tokens. Null and
@@ -136,12 +137,12 @@ def bpe_encode(
     """
     schema = "doc_id " + docs.select(id_col).dtypes[0][1] + ", n_tokens long"
     schema += ", ids_sha256 string, decoded_sha256 string" if digests else ""
-    schema += ", ids array<int>, decoded string" if with_ids else ""
+    schema += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _load(vocabulary)
         for batch in batches:
-            n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in batch["text"]:
                 ids = coder.encode(text)
                 n.append(len(ids))
@@ -149,11 +150,10 @@ def bpe_encode(
                     ids_sha.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
-                    texts.append(coder.decode(ids))
+                    all_ids.append(np.array(ids, np.int32))
             out = {"doc_id": batch["doc_id"], "n_tokens": n}
             out |= {"ids_sha256": ids_sha, "decoded_sha256": text_sha} if digests else {}
-            out |= {"ids": all_ids, "decoded": texts} if with_ids else {}
+            out |= {"ids": all_ids} if with_ids else {}
             yield pd.DataFrame(out)
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -205,7 +205,7 @@ def near_duplicates(
     return sketches.join(classes, ["hi", "lo"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce((F.col("n") == 0) | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"),
     )
 

@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wickerwork.llm.shared import durable
 from wickerwork.llm.words import WordBatch, mix, pieces
@@ -194,35 +196,45 @@ def _learn_lexicon(train: DataFrame, most: int) -> Lexicon:
     return lexicon
 
 
-def _with_features(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    others = [c for c in df.columns if c != "text"]
+def _with_features(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """df, its columns passed through as they are, with the vector _features."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[others].assign(features=list(features(batch["text"].tolist(), lexicon)))
+            made = features([t or "" for t in batch.column(text_col).to_pylist()], lexicon)
+            offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FEATURES))
+            column = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_features"])
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes if c != "text")
-    return df.mapInPandas(run, schema + ", features array<double>").withColumn("features", array_to_vector("features"))
+    schema = T.StructType([*df.schema.fields, T.StructField("_features", T.ArrayType(T.DoubleType()))])
+    return df.mapInArrow(run, schema).withColumn("_features", array_to_vector("_features"))
 
 
 class ToxicityModel:
-    """Lexicon, trees and calibration. score(df) needs and returns the columns given, plus score and predicted."""
+    """Lexicon, trees and calibration."""
 
     def __init__(self, lexicon: Lexicon, trees=None, calibration=None, base_rate: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.base_rate = lexicon, trees, calibration, base_rate
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, score (0 to 1), predicted of every row; a null text scores as an empty one. A narrow map: no shuffle."""
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """docs with _score (0 to 1); a null text scores as an empty one. A narrow map: no shuffle."""
         if self.trees is None:
-            score = F.lit(self.base_rate)
-            return rows.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
-        scored = self.trees.transform(_with_features(rows, self.lexicon))
-        scored = scored.select("doc_id", vector_to_array("probability")[1].alias("raw"))
-        scored = self.calibration.transform(scored).select("doc_id", "raw", F.col("calibrated").alias("level"))
+            return docs.withColumn("_score", F.lit(self.base_rate))
+        scored = self.trees.transform(_with_features(docs, self.lexicon, text_col))
+        scored = scored.withColumn("_raw", vector_to_array("_probability")[1])
+        scored = self.calibration.transform(scored)
         # Calibrated levels are steps; a trace of the raw score keeps the order inside a step.
-        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("level") * 0.999 + F.col("raw") * 0.001))
-        return scored.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated") * 0.999 + F.col("_raw") * 0.001))
+        return scored.withColumn("_score", score).select(*docs.columns, "_score")
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every row."""
+        scored = self.apply(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        return scored.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+    def keep_clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of docs, as they are, that score below 0.5. Columns of docs must not start with an underscore."""
+        return self.apply(docs, text_col).where(F.col("_score") < 0.5).select(*docs.columns)
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:
@@ -251,12 +263,15 @@ def fit_toxicity(
     if min(counts.get((False, 1), 0), counts.get((False, 0), 0)) < 3:
         return ToxicityModel(Lexicon(), base_rate=rate)
     lexicon = _learn_lexicon(rows.where("NOT calibrate"), lexicon_size)
-    table = durable(_with_features(rows, lexicon).select("toxic", "calibrate", "features")).coalesce(6)
-    booster = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=64)
+    table = durable(_with_features(rows, lexicon).select("toxic", "calibrate", "_features")).coalesce(6)
+    names = {"rawPredictionCol": "_raw_prediction", "probabilityCol": "_probability", "predictionCol": "_prediction"}
+    booster = GBTClassifier(labelCol="toxic", featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=64)
+    for name, column in names.items():
+        booster.set(booster.getParam(name), column)
     fitted = booster.fit(table.where("NOT calibrate").withColumn("toxic", F.col("toxic").cast("double")))
     both = min(counts.get((True, 1), 0), counts.get((True, 0), 0)) >= 3
     raw = fitted.transform(table.where("calibrate") if both else table).select(
-        F.col("toxic").cast("double").alias("toxic"), vector_to_array("probability")[1].alias("raw")
+        F.col("toxic").cast("double").alias("toxic"), vector_to_array("_probability")[1].alias("_raw")
     )
-    calibration = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="calibrated").fit(raw)
+    calibration = IsotonicRegression(labelCol="toxic", featuresCol="_raw", predictionCol="_calibrated").fit(raw)
     return ToxicityModel(lexicon, fitted, calibration, rate)

@@ -26,8 +26,8 @@ aggregate(
 
 
 def mixing_plan(docs: DataFrame, weights: dict[str, float] | None, source_col: str, period: int, alpha: float) -> DataFrame:
-    """One row per source: mix_source, i, share (slots of a period), rows, slots (its slots in the period), before (blocks of
-    every source before each of them), shares and sizes of all sources. At most `period` rows, or an error."""
+    """One row per source: mix_source, its share (slots of a period), its slots in the period, and before each of them the blocks
+    of every source; also the shares and sizes of all sources. At most `period` rows, or an error."""
     sources = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source")).agg(F.count("*").alias("rows"))
     if weights is None:
         sources = sources.withColumn("weight", F.pow(F.col("rows").cast("double"), F.lit(alpha)))
@@ -50,14 +50,12 @@ def mixing_plan(docs: DataFrame, weights: dict[str, float] | None, source_col: s
     plan = plan.withColumn("picks", F.expr(_EARLIEST_DEADLINE_FIRST.format(period=period)))
     return plan.select("*", F.posexplode("names").alias("i", "mix_source")).selectExpr(
         "mix_source",
-        "i",
-        "shares[i] as share",
-        "sizes[i] as rows",
-        "shares",
-        "sizes",
-        "filter(sequence(0, size(picks) - 1), s -> picks[s] = i) as slots",
+        "shares[i] as _mix_share",
+        "shares as _mix_shares",
+        "sizes as _mix_sizes",
+        "filter(sequence(0, size(picks) - 1), s -> picks[s] = i) as _mix_slots",
         "transform(filter(sequence(0, size(picks) - 1), s -> picks[s] = i), s -> transform(shares, (e, k) -> "
-        "aggregate(slice(picks, 1, s), 0, (n, p) -> if(p = k, n + 1, n)))) as before",
+        "aggregate(slice(picks, 1, s), 0, (n, p) -> if(p = k, n + 1, n)))) as _mix_before",
     )
 
 
@@ -85,7 +83,7 @@ def mix_sources(
     is the sum over all sources of the rows they place before the slot.
 
     A null source is one source of its own, named ''. Null ids hash like ''. Repeated rows get neighbouring places.
-    Columns of docs named like the results are replaced. An empty table gives an empty result.
+    Columns of docs named like the results are replaced; none may start with _mix. An empty table gives an empty result.
     """
     mine = ["mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
     payload = [c for c in docs.columns if c not in mine]
@@ -105,19 +103,19 @@ def mix_sources(
         .withColumn("_mix_rank", F.col("_mix_start") + F.col("_mix_nth"))
         .join(F.broadcast(plan), "mix_source")
         .withColumn("mix_block", F.expr(f"_mix_rank div {block_rows}"))
-        .withColumn("_mix_turn", F.expr("mix_block div share"))
-        .withColumn("_mix_in_turn", F.expr("cast(mix_block % share as int)"))
+        .withColumn("_mix_turn", F.expr("mix_block div _mix_share"))
+        .withColumn("_mix_in_turn", F.expr("cast(mix_block % _mix_share as int)"))
     )
     position = f"""aggregate(
-      transform(before[_mix_in_turn], (b, k) -> least(sizes[k], {block_rows} * (_mix_turn * shares[k] + b))),
+      transform(_mix_before[_mix_in_turn], (b, k) -> least(_mix_sizes[k], {block_rows} * (_mix_turn * _mix_shares[k] + b))),
       0L, (a, b) -> a + b) + _mix_rank % {block_rows}"""
     return ranked.select(
         *payload,
         "mix_source",
         "mix_block",
-        F.expr(f"_mix_turn * {period} + slots[_mix_in_turn]").alias("mix_slot"),
-        F.expr(f"mix_block * {period} div share").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {period} + share - 1) div share").alias("mix_deadline"),
+        F.expr(f"_mix_turn * {period} + _mix_slots[_mix_in_turn]").alias("mix_slot"),
+        F.expr(f"mix_block * {period} div _mix_share").alias("mix_release"),
+        F.expr(f"((mix_block + 1) * {period} + _mix_share - 1) div _mix_share").alias("mix_deadline"),
         F.expr(position).alias("mix_position"),
     )
 

@@ -17,6 +17,9 @@ from wickerwork.llm.words import WordBatch, mix, pieces
 _U = np.uint64
 #: Ids are prefiltered by this many hash values at most: the bound of the broadcast in _texts_of.
 ID_BUCKETS = 1 << 19
+#: Buckets of more members are compared inside tasks, in blocks of about BLOCK members.
+SMALL_BUCKET = 16
+BLOCK = 400
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -114,15 +117,85 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             keep = []
             for ta, tb in zip(batch["text_a"], batch["text_b"], strict=True):
                 x, y = sets[place[ta]], sets[place[tb]]
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
+                common = _common(x, y)
                 keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield batch.loc[keep, ["a", "b"]]
 
     return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return 0
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+
+
+def _open_members(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of the buckets that hold several components: component, and of the bucket its largest component (main) and a
+    random member (centre, its component cc and size n2)."""
+    known = labels.select(F.col("node").alias("doc_id"), "component")
+    own = met.where("c > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rank = F.xxhash64("doc_id", "band", "key", F.lit(turn))
+    by_component = own.groupBy("band", "key", "component").agg(
+        F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), F.col("doc_id").alias("centre"), F.col("component").alias("cc"), F.col("n").alias("n2"))).alias("pick")
+    )
+    state = (
+        by_component.groupBy("band", "key")
+        .agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main"), F.min("pick").alias("pick"))
+        .where("parts > 1")
+        .select("band", "key", "main", "pick.centre", "pick.cc", "pick.n2")
+    )
+    return own.join(state, ["band", "key"])
+
+
+def _more_stars(met, labels, compared, texts, width, percent, similar_size) -> DataFrame:
+    """Links found with a centre of its own for every bucket that holds several components."""
+    pairs = _open_members(met, labels, 1).where("component <> cc").where(similar_size)
+    pairs = pairs.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    return durable(confirm(pairs.join(compared, ["a", "b"], "left_anti"), texts, width, percent))
+
+
+def _between_components(met, labels, texts, width, percent, similar_size) -> DataFrame:
+    """All links between members of one bucket that are in different components."""
+    kind = dict(met.dtypes)["doc_id"]
+    members = durable(_open_members(met, labels, 2).select("band", "key", "c", "main", "doc_id", "component", "n"))
+    small = members.where(F.col("c") <= SMALL_BUCKET)
+    left = small.where("component <> main").select("band", "key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), "n")
+    right = small.select("band", "key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("n2"))
+    pairs = left.join(right, ["band", "key"]).where("cx <> cy").where(similar_size)
+    pairs = durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    found = confirm(pairs, texts, width, percent)
+
+    large = members.where(F.col("c") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    probes = large.where("component <> main").select(
+        "band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "component", "n", F.lit(True).alias("probe")
+    )
+    targets = large.select("band", "key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", "component", "n", F.lit(False).alias("probe"))
+    together = probes.union(targets)
+    together = together.join(_texts_of(texts, large.select("doc_id")), "doc_id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        distinct = list(dict.fromkeys(group["text"]))
+        sets = dict(zip(distinct, shingle_sets(distinct, width), strict=True))
+        ids, component = group["doc_id"].to_numpy(), group["component"].to_numpy()
+        own = [sets[t] for t in group["text"]]
+        size = np.array([len(x) for x in own], np.int64)
+        probe = group["probe"].to_numpy(bool)
+        target, out = np.flatnonzero(~probe), []
+        for i in np.flatnonzero(probe):
+            near = (component[target] != component[i]) & (100 * np.minimum(size[target], size[i]) >= percent * np.maximum(size[target], size[i]))
+            for j in target[near]:
+                common = _common(own[i], own[j])
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    inside = together.groupBy("band", "key", "block").applyInPandas(compare, f"a {kind}, b {kind}")
+    return durable(found.union(inside).distinct())
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -131,7 +204,6 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 32,
     rows: int = 4,
-    star_rounds: int = 2,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -140,10 +212,12 @@ def near_duplicates(
 
     Equal sets are first reduced to one class (combined before the shuffle), so copies cost nothing. Classes meet in
     banded buckets: with 32 bands of 4, a pair at the threshold shares none with probability 5e-8. Each bucket
-    links its members to one centre (a star), and every candidate is confirmed on the full sets. Confirmed links
-    are joined into components; buckets that still hold several components get further stars with other centres,
-    and last, exactly those pairs of different components that no star has compared. No cap on a bucket.
-    What is emitted thus follows the number of classes that differ, not the square of a group of copies.
+    links its members to one centre (a star), and every candidate is confirmed on the full sets. Confirmed links are
+    joined into components. Buckets that still hold several components get a second star, with a centre of their own
+    each. What is then still in different components is compared exactly: members of other components than the
+    bucket's largest against all members, as pairs in buckets of at most SMALL_BUCKET members, else block by block
+    inside tasks, which return links only. So no link is lost, no bucket is capped, and the rows emitted do not grow
+    with the square of a group.
 
     Null text and texts without words have no shingles and are linked with nothing. Rows with a null id take no
     part: component_id null, kept true. Rows with the same id share that id's place in the order. Other columns are
@@ -166,36 +240,11 @@ def near_duplicates(
     compared = durable(star.join(sizes, "a").where(similar_size).select("a", "b"))
     text_source = source.where("doc_id IS NOT NULL")
     links = durable(confirm(compared, text_source, width, percent))
-    many = met.where("c > 2")
-    labels = None
-    for turn in range(star_rounds + 1):
-        labels = components(links)
-        known = labels.select(F.col("node").alias("doc_id"), "component")
-        labelled = many.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rank = F.xxhash64("doc_id", F.lit(turn))
-        state = labelled.groupBy("band", "key").agg(
-            F.min("component").alias("one"),
-            F.max("component").alias("other"),
-            F.min(F.struct(rank.alias("r"), F.col("doc_id").alias("centre"), F.col("component").alias("cc"), F.col("n").alias("n2"))).alias("m"),
-        )
-        state = state.where("one <> other")
-        open_members = labelled.join(state.select("band", "key", "m.*"), ["band", "key"])
-        if turn < star_rounds:
-            pairs = open_members.where("component <> cc").where(similar_size).select(F.col("centre").alias("x"), F.col("doc_id").alias("y"))
-        else:
-            left = open_members.select("band", "key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), "n")
-            right = open_members.select("band", "key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("n2"))
-            pairs = left.join(right, ["band", "key"]).where("x < y AND cx <> cy").where(similar_size).select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = durable(pairs.join(compared, ["a", "b"], "left_anti"))
-        if not fresh.limit(1).count():
-            if turn < star_rounds:
-                continue
-            break
-        found = durable(confirm(fresh, text_source, width, percent))
-        compared, links = compared.union(fresh), links.union(found)
-        if turn == star_rounds and found.limit(1).count():
-            labels = components(links)
+    links = links.union(_more_stars(met, components(links), compared, text_source, width, percent, similar_size))
+    labels = components(links)
+    found = _between_components(met, labels, text_source, width, percent, similar_size)
+    if found.limit(1).count():
+        labels = components(links.union(found))
 
     classes = (
         taking_part.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))

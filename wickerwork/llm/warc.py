@@ -17,7 +17,7 @@ from wickerwork.llm.shared import durable, shared_dir
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"(?m)^WARC/\d\.\d\r?\n")
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 
 
 def sha1_base32(data: bytes) -> str:

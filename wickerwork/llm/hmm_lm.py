@@ -152,6 +152,17 @@ def _endings(words: WordBatch, buckets: int) -> np.ndarray:
     return (mix(out) % _U(buckets)).astype(np.int32)
 
 
+def _commonest(counts: DataFrame, most: int) -> pd.DataFrame:
+    """At most `most` rows of counts, the commonest first: all whose count is in the upper of the classes (64 to an octave, so
+    a few thousand in all) that together hold no more. Neither a sort nor a limit, whose cost would grow with the tasks."""
+    level = F.floor(F.log2("c") * 64)
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).toPandas().sort_values("level", ascending=False)
+    fitting = levels[levels["n"].cumsum() <= most]
+    if fitting.empty:
+        return counts.limit(0).toPandas()
+    return counts.where(level >= int(fitting["level"].min())).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+
+
 def score_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,7 +171,7 @@ def score_documents(
     own_classes: int = 2000,
     buckets: int = 1024,
     local_words: int = 131_072,
-    iterations: int = 2,
+    iterations: int = 3,
     warm_rows: int = 1500,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -197,7 +208,7 @@ def score_documents(
     by_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()  # at most `buckets` rows
     n_train = int(by_bucket["c"].sum()) + ends
     v_train = int(by_bucket["v"].sum()) + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(local_words).toPandas()
+    top = _commonest(counts, local_words)
     own = top.iloc[:own_classes]
     bucket_c, bucket_v = np.zeros(buckets), np.zeros(buckets)
     bucket_c[by_bucket["bucket"]], bucket_v[by_bucket["bucket"]] = by_bucket["c"], by_bucket["v"]

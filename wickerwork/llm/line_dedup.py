@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.llm.shared import durable
@@ -86,36 +86,35 @@ def _fingerprints(docs: DataFrame, p: _Passages) -> DataFrame:
         return pd.DataFrame(
             {
                 "doc_id": np.repeat(np.array([x[0] for x in out]), n),
-                "version": np.repeat(np.array([x[1] for x in out], np.int64), n),
+                "version": np.repeat(np.array([x[1] for x in out], np.int32), n),
                 "pos": np.concatenate([x[2] for x in out]).astype(np.int32),
                 "fp": np.concatenate([x[3] for x in out]),
             }
         )
 
-    return docs.mapInPandas(run, f"doc_id {docs.dtypes[0][1]}, version long, pos int, fp long")
+    return docs.mapInPandas(run, f"doc_id {docs.dtypes[0][1]}, version int, pos int, fp long")
 
 
 def _contexts(sources: DataFrame, p: _Passages, kind: str) -> DataFrame:
-    """For the first occurrences asked for: the word hashes before and after the line, window - 1 each, as bytes."""
+    """For the places asked for (array of structs pos, ahead): up to window - 1 word hashes after the line that begins at pos, or,
+    nearest first, before it."""
     reach = p.window - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc_id, version, pos, left, right = [], [], [], [], []
+        found = []
         for (doc, ver, asked), _, words, a, b, _ in _batches(batches, "doc_id", "version", "asked"):
             own = words.hash[a:b]
-            for at in asked:
-                doc_id.append(doc)
-                version.append(ver)
-                pos.append(at)
-                left.append(own[max(0, at - reach) : at].tobytes())
-                right.append(own[at + p.width : at + p.width + reach].tobytes())
-            if len(pos) > 20_000:
-                yield pd.DataFrame({"d0": doc_id, "v0": version, "p0": pos, "left": left, "right": right})
-                doc_id, version, pos, left, right = [], [], [], [], []
-        if pos:
-            yield pd.DataFrame({"d0": doc_id, "v0": version, "p0": pos, "left": left, "right": right})
+            for x in asked:
+                at, ahead = x["pos"], x["ahead"]
+                near = own[at + p.width : at + p.width + reach] if ahead else own[max(0, at - reach) : at][::-1]
+                found.append((doc, ver, at, ahead, near.tobytes()))
+            if len(found) > 20_000:
+                yield pd.DataFrame(found, columns=["d0", "v0", "p0", "ahead", "words"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=["d0", "v0", "p0", "ahead", "words"])
 
-    return sources.mapInPandas(run, f"d0 {kind}, v0 long, p0 int, left binary, right binary")
+    return sources.mapInPandas(run, f"d0 {kind}, v0 int, p0 int, ahead boolean, words binary")
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> int:
@@ -133,28 +132,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are compared, and a line of width words is taken to begin at every word. Winnowing keeps the minima of windows
     of line hashes, which guarantees a fingerprint to every repeat of min_words words. Each fingerprint is joined
     to its first occurrence only, a star, so the rows follow the fingerprints and not their pairs; counts are combined
-    before the shuffle. Matches are then extended both ways, word by word, up to the next fingerprint's reach.
+    before the shuffle. Matches side by side on the same two texts are chained into runs, and the ends of a run are
+    extended both ways, word by word, up to the next fingerprint's reach.
     """
     p = _Passages(min_words)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    texts = texts.withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
+    texts = _versions(docs, id_col, text_col)
     kind = texts.dtypes[0][1]
     prints = durable(_fingerprints(texts, p))
-    firsts = (
-        prints.groupBy("fp")
-        .agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("c"))
-        .where("c > 1")
-        .select("fp", F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
+    often = prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    repeated = durable(prints.join(often.hint("shuffle_hash"), "fp"))
+    firsts = repeated.groupBy("fp").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"))
+    firsts = firsts.select("fp", F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
+    hits = repeated.join(firsts, "fp").where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0").distinct()
+
+    pair = ["doc_id", "version", "d0", "v0", "shift"]
+    hits = hits.withColumn("shift", F.col("pos") - F.col("p0"))
+    along = Window.partitionBy(*pair).orderBy("pos")  # at most a text's fingerprints
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(along) > p.width).cast("int"), F.lit(1))
+    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(along))
+    runs = durable(runs.groupBy(*pair, "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last")))
+
+    ends = F.array(
+        F.struct((F.col("first") - F.col("shift")).alias("pos"), F.lit(False).alias("ahead")),
+        F.struct((F.col("last") - F.col("shift")).alias("pos"), F.lit(True).alias("ahead")),
     )
-    hits = durable(prints.join(firsts, "fp").where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0").distinct())
-    asked = hits.select("d0", "v0", "p0").distinct().groupBy("d0", "v0").agg(F.collect_list("p0").alias("asked"))  # at most a text's fingerprints
-    one_text = texts.dropDuplicates(["doc_id", "version"])
-    sources = _only(one_text, asked.select(F.col("d0").alias("doc_id"), F.col("v0").alias("version"), "asked"))
-    around = _contexts(sources.select("doc_id", "version", "text", "asked"), p, kind)
+    places = runs.select("d0", "v0", F.explode(ends).alias("e")).distinct()
+    asked = places.groupBy(F.col("d0").alias("doc_id"), F.col("v0").alias("version")).agg(F.collect_list("e").alias("asked"))
+    around = _contexts(_only(texts, asked).select("doc_id", "version", "text", "asked"), p, kind)
+    sided = runs.select("doc_id", "version", "d0", "v0", "first", "last", F.posexplode(ends).alias("side", "e"))
+    sided = sided.select("doc_id", "version", "first", "last", "d0", "v0", F.col("e.pos").alias("p0"), F.col("e.ahead").alias("ahead"))
     matched = (
-        hits.join(around, ["d0", "v0", "p0"])
+        sided.join(around, ["d0", "v0", "p0", "ahead"])
         .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("pos", "left", "right")).alias("matches"))  # at most a text's fingerprints
+        .agg(F.collect_list(F.struct("first", "last", "ahead", "words")).alias("matches"))  # at most twice a text's fingerprints
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,10 +172,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = words.hash[a:b]
             covered = np.zeros(len(own) + 1, np.int32)
             for m in matches:
-                at = m["pos"]
-                left, right = np.frombuffer(m["left"], _U), np.frombuffer(m["right"], _U)
-                covered[at - _same(own[max(0, at - len(left)) : at][::-1], left[::-1])] += 1
-                covered[at + p.width + _same(own[at + p.width :], right)] -= 1
+                first, stop = m["first"], m["last"] + p.width
+                beyond = np.frombuffer(m["words"], _U)
+                if m["ahead"]:
+                    stop += _same(own[stop:], beyond)
+                else:
+                    first -= _same(own[max(0, first - len(beyond)) : first][::-1], beyond)
+                covered[first] += 1
+                covered[stop] -= 1
             inside = np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)
             edges = np.flatnonzero(np.diff(inside))
             spans = [
@@ -176,28 +190,44 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if spans:
                 yield pd.DataFrame({"doc_id": [doc], "version": [version], "spans": [spans]})
 
-    theirs = _only(one_text, matched)
-    return theirs.select("doc_id", "version", "text", "matches").mapInPandas(
-        run, f"doc_id {kind}, version long, spans array<struct<start:int,stop:int,words:int>>"
+    return _only(texts, matched).select("doc_id", "version", "text", "matches").mapInPandas(
+        run, f"doc_id {kind}, version int, spans array<struct<start:int,stop:int,words:int>>"
     )
 
 
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return texts.withColumn("version", F.hash("text")).select("doc_id", "version", "text")
+
+
+def _hash_values(wanted: DataFrame, id_col: str) -> DataFrame:
+    """The hash values, at most 2**19 of them, that ids of wanted have: a bounded filter that may be broadcast."""
+    return wanted.select(_hash_value(id_col).alias("h")).distinct()
+
+
+def _hash_value(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << 19)).cast("int")
+
+
 def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """texts joined with wanted on (doc_id, version). The texts are first filtered by at most 2**19 values of a hash, so that
-    a small share of wanted texts means a small shuffle; the values' number bounds the broadcast."""
-    value = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 19)).cast("int")
-    few = wanted.select(value.alias("h")).distinct()
-    near = texts.withColumn("h", value).join(F.broadcast(few), "h", "left_semi").drop("h")
-    return near.join(wanted, ["doc_id", "version"])
+    """texts joined with wanted on (doc_id, version), rows that are alike once. The texts are first filtered by a hash of the id,
+    so that a small share of wanted texts means a small shuffle."""
+    few = _hash_values(wanted, "doc_id")
+    near = texts.withColumn("h", _hash_value("doc_id")).join(F.broadcast(few), "h", "left_semi").drop("h")
+    return near.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False) -> DataFrame:
     """docs with the spans cut out of the text, in place of text_col; also words_cut and bytes_cut. A cut,
-    with the white space around it, becomes one line break; texts without spans stay as they are."""
+    with the white space around it, becomes one line break; texts without spans stay as they are. Only rows that share
+    a hash value of their id with a row of spans are shuffled."""
     payload = docs.columns
-    keyed = docs.withColumn("_version", F.xxhash64(text_col))
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_v"), "spans")
-    joined = keyed.join(spans, (F.col(id_col) == F.col("_doc")) & (F.col("_version") == F.col("_v")), "left")
+    keyed = docs.withColumn("_h", _hash_value(id_col))
+    few = F.broadcast(_hash_values(spans, "_doc").withColumnRenamed("h", "_h"))
+    near = keyed.join(few, "_h", "left_semi").withColumn("_version", F.hash(text_col))
+    far = keyed.join(few, "_h", "left_anti").withColumns({"words_cut": F.lit(0), "bytes_cut": F.lit(0)})
+    joined = near.join(spans, (F.col(id_col) == F.col("_doc")) & (F.col("_version") == F.col("_v")), "left")
     raw = F.encode(F.col(text_col), "UTF-8")
     ends = F.concat(F.array(F.lit(0)), F.col("spans.stop"))
     starts = F.concat(F.col("spans.start"), F.array(F.octet_length(text_col)))
@@ -212,7 +242,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     cut = cut.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(left))
     if drop_empty:
         cut = cut.where((F.col("words_cut") == 0) | (F.col(text_col) != ""))
-    return cut.select(*payload, "words_cut", "bytes_cut")
+    out = [*payload, "words_cut", "bytes_cut"]
+    return cut.select(*out).unionByName(far.select(*out))
 
 
 def dedup_lines(
@@ -226,4 +257,4 @@ def dedup_lines(
     named words_cut or bytes_cut are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("words_cut", "bytes_cut")
-    return cut_spans(docs, repeated_spans(docs, id_col, text_col, min_words), id_col, text_col, drop_empty)
+    return cut_spans(docs, durable(repeated_spans(docs, id_col, text_col, min_words)), id_col, text_col, drop_empty)

@@ -31,7 +31,7 @@ def nullify(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def split_multi(c: Column | str, seps: str = "|;", drop: Sequence[str] = (), distinct: bool = False) -> Column:
     """Parts of a multi-valued cell, trimmed, without missing ones and those in drop (case folded); distinct: sorted too."""
-    parts = F.transform(F.split(_c(c), "[" + "".join("\\" + s for s in seps) + "]"), F.trim)
+    parts = F.transform(F.split(_c(c), "[" + "".join("\\" + s for s in seps) + "]"), lambda x: F.trim(x))
     unwanted = [*MISSING, *(d.lower() for d in drop)]
     parts = F.coalesce(F.filter(parts, lambda x: ~F.lower(x).isin(*unwanted)), F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(parts)) if distinct else parts
@@ -40,7 +40,7 @@ def split_multi(c: Column | str, seps: str = "|;", drop: Sequence[str] = (), dis
 def compact_join(c: Column | str, sep: str = "|") -> Column:
     """Sorted distinct non-missing entries of an array, joined."""
     kept = F.filter(_c(c), lambda x: x.isNotNull() & ~F.lower(F.trim(x)).isin(*MISSING))
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(kept, F.trim))), sep)
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.trim(x)))), sep)
 
 
 def first_text(*cols: Column | str) -> Column:

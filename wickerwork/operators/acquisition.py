@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from wickerwork.operators.learning import apply_heads, fit_heads
 from wickerwork.operators.ranking import top_k_per_group
@@ -41,7 +42,7 @@ def ensemble_stats(preds: DataFrame, item: str) -> DataFrame:
     return out.select(item, mean.alias("mean"), std.alias("std"), _entropy(mean).alias("entropy"), (_entropy(mean) - F.col("h")).alias("bald"))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * (1.0 + math.erf(x / math.sqrt(2.0))))
 

@@ -77,9 +77,8 @@ def balance_summary(audit: DataFrame, group: str) -> DataFrame:
 
 def issue_occurrences(audit: DataFrame) -> DataFrame:
     """(met_id, category, occurrences) over the lists of a balance audit."""
-    cells = F.concat(
-        *(F.transform(c, lambda m, c=c: F.struct(m.alias("met_id"), F.lit(c).alias("category"))) for c in ("missing_formula", "unparsable_formula", "missing_charge"))
-    )
+    named = lambda c: F.transform(c, lambda m: F.struct(m.alias("met_id"), F.lit(c).alias("category")))
+    cells = F.concat(named("missing_formula"), named("unparsable_formula"), named("missing_charge"))
     return audit.select(F.explode(cells).alias("r")).groupBy("r.met_id", "r.category").agg(F.count("*").alias("occurrences"))
 
 
@@ -98,7 +97,7 @@ def mapping_coverage(mapping: DataFrame, namespaces: Sequence[str]) -> DataFrame
 def split_summary(df: DataFrame, split: str, key: str, role: str) -> DataFrame:
     """(metric, role, split, value): rows a split, a role and split, distinct keys a split, and keys that cross splits."""
     rows = df.groupBy(split).agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
-    cells = F.array(F.struct(F.lit("rows").alias("metric"), F.col("rows").alias("value")), F.struct(F.lit("distinct_keys"), F.col("keys")))
+    cells = F.array(F.struct(F.lit("rows").alias("metric"), F.col("rows").alias("value")), F.struct(F.lit("distinct_keys").alias("metric"), F.col("keys").alias("value")))
     out = rows.select(F.lit("").alias("role"), F.col(split).alias("split"), F.explode(cells).alias("r")).select("r.metric", "role", "split", "r.value")
     by_role = df.groupBy(role, split).agg(F.count("*").alias("value")).select(F.lit("role_rows").alias("metric"), F.col(role).cast("string").alias("role"), F.col(split).alias("split"), "value")
     crossing = df.groupBy(key).agg(F.count_distinct(split).alias("s")).agg(F.count_if(F.col("s") > 1).alias("value"))

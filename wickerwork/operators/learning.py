@@ -27,6 +27,10 @@ def prepare_features(df: DataFrame, text_cols: Sequence[str], num_cols: Sequence
     return df.withColumns(new)
 
 
+def _part(text: Column, width: Column):
+    return lambda i: F.substring(text, i, width)
+
+
 def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside word boundaries: every word is padded by a blank on both sides; a word shorter than n gives its
     padded self once."""
@@ -36,7 +40,8 @@ def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         per = []
         for n in range(low, high + 1):
-            run = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))
+            width = F.lit(n)
+            run = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), _part(padded, width))
             seen_before = F.length(padded) < (n if n > low else 0)
             per.append(F.when(seen_before, F.array().cast("array<string>")).otherwise(run))
         return F.concat(*per)

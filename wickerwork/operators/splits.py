@@ -51,7 +51,8 @@ def similarity_candidates(df: DataFrame, id_col: str, text: str, k: int = 5, ban
     node; a bucket is a star around its smallest member, so its rows grow with its members and not their pairs."""
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(k)))))
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles).alias("s")).where(has_text(text))
-    keys = [F.xxhash64(*(F.array_min(F.transform("s", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(b * rows, b * rows + rows)), F.lit(b)) for b in range(bands)]
+    least = lambda j: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(j))))
+    keys = [F.xxhash64(*(least(j) for j in range(b * rows, b * rows + rows)), F.lit(b)) for b in range(bands)]
     keyed = sets.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
     centres = keyed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = keyed.join(centres, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -101,7 +102,8 @@ def unified_group_split(rows: DataFrame, id_col: str, tokens: DataFrame) -> Data
 def group_tokens(rows: DataFrame, id_col: str, lists: Mapping[str, str], equation: str, signature: str, substrates: str) -> DataFrame:
     """(id, token) of rows: prefix:value for each of lists (prefix -> array column), reaction:<signature> unless the equation is empty,
     substrates:<hash> where there is one."""
-    parts = [F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, p=p: F.concat(F.lit(p + ":"), x)) for p, c in lists.items()]
+    prefixed = lambda p, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(p + ":"), x))
+    parts = [prefixed(p, c) for p, c in lists.items()]
     parts.append(F.array_compact(F.array(F.when(has_text(equation) & F.col(signature).isNotNull(), F.concat(F.lit("reaction:"), F.col(signature))), F.when(F.col(substrates).isNotNull(), F.concat(F.lit("substrates:"), F.col(substrates))))))
     return rows.select(id_col, F.explode(F.concat(*parts)).alias("token")).distinct()
 

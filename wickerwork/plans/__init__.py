@@ -1 +1 @@
-"""Part of wickerwork."""
+"""Registered queries of the library's own operators."""

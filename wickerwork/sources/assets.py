@@ -48,8 +48,8 @@ def profile(df: DataFrame, count_cols: Sequence[str] = ()) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("rows").alias("metric"), F.lit("").alias("key"), F.col("n").cast("string").alias("value")),
-                F.struct(F.lit("columns"), F.lit(""), F.lit(str(len(df.columns)))),
-                F.struct(F.lit("digest"), F.lit(""), F.coalesce(F.col("d").cast("string"), F.lit("0"))),
+                F.struct(F.lit("columns").alias("metric"), F.lit("").alias("key"), F.lit(str(len(df.columns))).alias("value")),
+                F.struct(F.lit("digest").alias("metric"), F.lit("").alias("key"), F.coalesce(F.col("d").cast("string"), F.lit("0")).alias("value")),
             )
         ).alias("r")
     ).select("r.*")

@@ -111,11 +111,24 @@ def test_components(spark):
 
 def test_winnow_guarantee():
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 50, 500).astype(np.uint64)
-    chosen = set(winnow(x, 7).tolist())
-    for s in range(len(x) - 6):
-        low = x[s : s + 7].min()
-        assert any(s + i in chosen for i in range(7) if x[s + i] == low)
+    common = rng.integers(0, 2**63, 30).astype(np.uint64)
+    parts = [rng.integers(0, 2**63, int(n)).astype(np.uint64) for n in (40, 3, 0, 25, 60, 11, 12)]
+    texts = [np.concatenate([p[: len(p) // 2], common[i : i + 12], p[len(p) // 2 :]]) for i, p in enumerate(parts)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    at, lines = winnow(np.concatenate(texts), first, 6, 7)
+    chosen = [set(lines[(at >= a) & (at < b)].tolist()) for a, b in zip(first, first[1:], strict=False)]
+    for i, t in enumerate(texts):
+        assert all(first[i] <= x <= first[i + 1] - 6 for x in at[(at >= first[i]) & (at < first[i + 1])])
+        for j in range(i):
+            if i == j:
+                continue
+            shared = len(common[i : i + 12]) - (i - j)
+            assert shared < 12 or chosen[i] & chosen[j]
+    again = np.concatenate([texts[0], texts[4], texts[0]])
+    ends = np.cumsum([0, len(texts[0]), len(texts[4]), len(texts[0])])
+    at, lines = winnow(again, ends, 6, 7)
+    own = [sorted(lines[(at >= a) & (at < b)].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+    assert own[0] == own[2] and max(np.diff(np.sort(at[at < ends[1]]))) <= 7
 
 
 def test_line_dedup(spark):

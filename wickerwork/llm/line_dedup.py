@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wickerwork.llm.shared import durable
-from wickerwork.llm.words import WordBatch, mix, pieces
+from wickerwork.llm.words import WordBatch, mix, pieces, span_hashes
 
 _U = np.uint64
 
@@ -25,24 +27,24 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def line_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the reflowed lines: one line of `width` words begins at every word."""
-    keys = mix(np.arange(1, width + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
-    n = len(words) - width + 1
-    out = np.zeros(n, _U)
-    for j in range(width):
-        out += words[j : j + n] * keys[j]
-    return mix(out)
+def winnow(words: np.ndarray, first: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the chosen lines of several texts at once. first: index of each text's first word, and the end.
 
-
-def winnow(lines: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the minima of all windows of `window` line hashes."""
-    window = min(window, len(lines))
+    A line of `width` words begins at every word (lines are reflowed); the minima of all windows of `window` line hashes
+    inside a text are chosen, so two equal stretches of width + window - 1 words have a chosen line in common."""
+    n = len(words) - width - window + 2
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    at = np.arange(len(words) - width + 1)
+    lines = mix(span_hashes(words, at, at + width)) | _U(1)
     low = _sliding_min(lines, window)
+    stop = np.repeat(first[1:], np.diff(first))[:n]
+    low[np.arange(n) + width + window - 1 > stop] = 0  # the window runs over the text's end
     # A line is chosen if it is the minimum of some window around it: the largest of those windows' minima is its own.
-    edge = np.full(window - 1, 0, _U)
+    edge = np.zeros(window - 1, _U)
     best = ~_sliding_min(~np.concatenate([edge, low, edge]), window)
-    return np.flatnonzero(lines == best)
+    chosen = np.flatnonzero(lines == best)
+    return chosen, lines[chosen]
 
 
 class _Passages:
@@ -67,30 +69,20 @@ def _batches(batches: Iterator[pd.DataFrame], *columns: str):
 
 def _fingerprints(docs: DataFrame, p: _Passages) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, held = [], 0
-        for (doc, version), _, words, a, b, _ in _batches(batches, "doc_id", "version"):
-            if b - a < p.min_words:
-                continue
-            lines = line_hashes(words.hash[a:b], p.width)
-            at = winnow(lines, p.window)
-            out.append((doc, version, at, lines[at].view(np.int64)))
-            held += len(at)
-            if held > 200_000:
-                yield _long(out)
-                out, held = [], 0
-        if out:
-            yield _long(out)
-
-    def _long(out: list) -> pd.DataFrame:
-        n = [len(x[2]) for x in out]
-        return pd.DataFrame(
-            {
-                "doc_id": np.repeat(np.array([x[0] for x in out]), n),
-                "version": np.repeat(np.array([x[1] for x in out], np.int32), n),
-                "pos": np.concatenate([x[2] for x in out]).astype(np.int32),
-                "fp": np.concatenate([x[3] for x in out]),
-            }
-        )
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in pieces(texts):
+                words = WordBatch(texts[lo:hi], fold=False)
+                at, lines = winnow(words.hash, words.first, p.width, p.window)
+                owner = np.searchsorted(words.first, at, side="right") - 1
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].to_numpy()[lo:hi][owner],
+                        "version": batch["version"].to_numpy()[lo:hi][owner],
+                        "pos": (at - words.first[owner]).astype(np.int32),
+                        "fp": lines.view(np.int64),
+                    }
+                )
 
     return docs.mapInPandas(run, f"doc_id {docs.dtypes[0][1]}, version int, pos int, fp long")
 
@@ -138,12 +130,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     p = _Passages(min_words)
     texts = _versions(docs, id_col, text_col)
     kind = texts.dtypes[0][1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (doc, version, matches), _, words, a, b, offset in _batches(batches, "doc_id", "version", "matches"):
+            if spans := _spans(words, a, b, offset, matches, p):
+                rows = [{"start": s, "stop": e, "words": n} for s, e, n in spans]
+                yield pd.DataFrame({"doc_id": [doc], "version": [version], "spans": [rows]})
+
+    return _only(texts, _matches(texts, p)).select("doc_id", "version", "text", "matches").mapInPandas(
+        run, f"doc_id {kind}, version int, spans array<struct<start:int,stop:int,words:int>>"
+    )
+
+
+def _matches(texts: DataFrame, p: _Passages) -> DataFrame:
+    """(doc_id, version, matches): the runs of fingerprints that a text shares with earlier text, with the earlier text's words around."""
+    kind = texts.dtypes[0][1]
     prints = durable(_fingerprints(texts, p))
     often = prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     repeated = durable(prints.join(often.hint("shuffle_hash"), "fp"))
     firsts = repeated.groupBy("fp").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"))
     firsts = firsts.select("fp", F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
-    hits = repeated.join(firsts, "fp").where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0").distinct()
+    hits = repeated.join(firsts, "fp").where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0")
 
     pair = ["doc_id", "version", "d0", "v0", "shift"]
     hits = hits.withColumn("shift", F.col("pos") - F.col("p0"))
@@ -161,38 +168,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = _contexts(_only(texts, asked).select("doc_id", "version", "text", "asked"), p, kind)
     sided = runs.select("doc_id", "version", "d0", "v0", "first", "last", F.posexplode(ends).alias("side", "e"))
     sided = sided.select("doc_id", "version", "first", "last", "d0", "v0", F.col("e.pos").alias("p0"), F.col("e.ahead").alias("ahead"))
-    matched = (
+    return (
         sided.join(around, ["d0", "v0", "p0", "ahead"])
         .groupBy("doc_id", "version")
         .agg(F.collect_list(F.struct("first", "last", "ahead", "words")).alias("matches"))  # at most twice a text's fingerprints
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (doc, version, matches), _, words, a, b, offset in _batches(batches, "doc_id", "version", "matches"):
-            own = words.hash[a:b]
-            covered = np.zeros(len(own) + 1, np.int32)
-            for m in matches:
-                first, stop = m["first"], m["last"] + p.width
-                beyond = np.frombuffer(m["words"], _U)
-                if m["ahead"]:
-                    stop += _same(own[stop:], beyond)
-                else:
-                    first -= _same(own[max(0, first - len(beyond)) : first][::-1], beyond)
-                covered[first] += 1
-                covered[stop] -= 1
-            inside = np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)
-            edges = np.flatnonzero(np.diff(inside))
-            spans = [
-                {"start": int(words.start[a + s] - offset), "stop": int(words.end[a + e - 1] - offset), "words": int(e - s)}
-                for s, e in zip(edges[::2], edges[1::2], strict=True)
-                if e - s >= p.min_words
-            ]
-            if spans:
-                yield pd.DataFrame({"doc_id": [doc], "version": [version], "spans": [spans]})
-
-    return _only(texts, matched).select("doc_id", "version", "text", "matches").mapInPandas(
-        run, f"doc_id {kind}, version int, spans array<struct<start:int,stop:int,words:int>>"
-    )
+
+def _spans(words: WordBatch, a: int, b: int, offset: int, matches, p: _Passages) -> list[tuple[int, int, int]]:
+    """(start byte, stop byte, words) of the stretches of text a:b that the matches cover, of min_words words and more."""
+    own = words.hash[a:b]
+    covered = np.zeros(len(own) + 1, np.int32)
+    for m in matches:
+        first, stop = m["first"], m["last"] + p.width
+        beyond = np.frombuffer(m["words"], _U)
+        if m["ahead"]:
+            stop += _same(own[stop:], beyond)
+        else:
+            first -= _same(own[max(0, first - len(beyond)) : first][::-1], beyond)
+        covered[first] += 1
+        covered[stop] -= 1
+    inside = np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)
+    edges = np.flatnonzero(np.diff(inside))
+    return [
+        (int(words.start[a + s] - offset), int(words.end[a + e - 1] - offset), int(e - s))
+        for s, e in zip(edges[::2], edges[1::2], strict=True)
+        if e - s >= p.min_words
+    ]
 
 
 def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -217,33 +219,14 @@ def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False) -> DataFrame:
-    """docs with the spans cut out of the text, in place of text_col; also words_cut and bytes_cut. A cut,
-    with the white space around it, becomes one line break; texts without spans stay as they are. Only rows that share
-    a hash value of their id with a row of spans are shuffled."""
-    payload = docs.columns
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_v"), "spans")
-    keyed = docs.withColumn("_h", _hash_value(id_col))
-    few = F.broadcast(_hash_values(spans, "_doc").withColumnRenamed("h", "_h"))
-    near = keyed.join(few, "_h", "left_semi").withColumn("_version", F.hash(text_col))
-    far = keyed.join(few, "_h", "left_anti").withColumns({"words_cut": F.lit(0), "bytes_cut": F.lit(0)})
-    joined = near.join(spans, (F.col(id_col) == F.col("_doc")) & (F.col("_version") == F.col("_v")), "left")
-    raw = F.encode(F.col(text_col), "UTF-8")
-    ends = F.concat(F.array(F.lit(0)), F.col("spans.stop"))
-    starts = F.concat(F.col("spans.start"), F.array(F.octet_length(text_col)))
-    parts = F.transform(
-        F.arrays_zip(ends.alias("a"), starts.alias("b")),
-        lambda x: F.decode(F.substring(raw, x["a"] + 1, x["b"] - x["a"]), "UTF-8"),
-    )
-    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    left = F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
-    cut = joined.withColumn("words_cut", F.coalesce(F.aggregate("spans.words", F.lit(0), lambda a, b: a + b), F.lit(0)))
-    cut = cut.withColumn("bytes_cut", F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"]), F.lit(0)))
-    cut = cut.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(left))
-    if drop_empty:
-        cut = cut.where((F.col("words_cut") == 0) | (F.col(text_col) != ""))
-    out = [*payload, "words_cut", "bytes_cut"]
-    return cut.select(*out).unionByName(far.select(*out))
+def cut_out(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text without the byte spans. A cut, with the white space around it, becomes one line break."""
+    data, at, left = text.encode("utf-8", "surrogatepass"), 0, []
+    for start, stop, _ in spans:
+        left.append(data[at:start])
+        at = stop
+    left.append(data[at:])
+    return "\n".join(x for x in (y.decode("utf-8", "replace").strip() for y in left) if x)
 
 
 def dedup_lines(
@@ -257,4 +240,34 @@ def dedup_lines(
     named words_cut or bytes_cut are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("words_cut", "bytes_cut")
-    return cut_spans(docs, durable(repeated_spans(docs, id_col, text_col, min_words)), id_col, text_col, drop_empty)
+    p = _Passages(min_words)
+    matched = durable(_matches(_versions(docs, id_col, text_col), p))
+    few = F.broadcast(_hash_values(matched, "doc_id").withColumnRenamed("h", "_h"))
+    keyed = docs.withColumn("_h", _hash_value(id_col))
+    far = keyed.join(few, "_h", "left_anti").drop("_h").withColumns({"words_cut": F.lit(0), "bytes_cut": F.lit(0)})
+    theirs = matched.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_v"), "matches")
+    near = keyed.join(few, "_h", "left_semi").drop("_h").withColumn("_version", F.hash(text_col))
+    near = near.join(theirs, (F.col(id_col) == F.col("_doc")) & (F.col("_version") == F.col("_v")), "left").select(*docs.columns, "matches")
+    schema = T.StructType([*docs.schema.fields, T.StructField("words_cut", T.IntegerType()), T.StructField("bytes_cut", T.IntegerType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, matches = batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()
+            words_cut, bytes_cut = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+            with_matches = [i for i, m in enumerate(matches) if m]
+            for lo, hi in pieces([texts[i] for i in with_matches]):
+                rows = with_matches[lo:hi]
+                words = WordBatch([texts[i] for i in rows], fold=False)
+                for k, i in enumerate(rows):
+                    if spans := _spans(words, words.first[k], words.first[k + 1], words.offset[k], matches[i], p):
+                        texts[i] = cut_out(texts[i], spans)
+                        words_cut[i], bytes_cut[i] = sum(s[2] for s in spans), sum(s[1] - s[0] for s in spans)
+            columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(docs_columns))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words_cut), pa.array(bytes_cut)], [*docs_columns, "words_cut", "bytes_cut"])
+
+    docs_columns = docs.columns
+    out = near.mapInArrow(run, schema)
+    if drop_empty:
+        out = out.where((F.col("words_cut") == 0) | (F.col(text_col) != ""))
+    return out.unionByName(far)

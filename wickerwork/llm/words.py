@@ -33,6 +33,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_kept_powers: dict[int, np.ndarray] = {}
+
+
+def _first_powers(base: int, n: int) -> np.ndarray:
+    """The first n powers; up to two million are kept for the next batch."""
+    kept = _kept_powers.get(base)
+    if kept is None or len(kept) < n:
+        kept = _powers(base, max(n, 1 << 20))
+        if len(kept) <= 1 << 21:
+            _kept_powers[base] = kept
+    return kept[:n]
+
+
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of values[start:stop] for all spans at once: differences of a running polynomial, shifted back to power 0."""
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * _first_powers(_BASE, len(values)), out=sums[1:])
+    return (sums[stop] - sums[start]) * _first_powers(_INVERSE, len(values) + 1)[start]
+
+
 class WordBatch:
     """hash: 64-bit hash of each word; start, end: its bytes in the batch's buffer; first[i]: index of text i's first word
     (first has one entry more than there are texts); offset[i]: where text i's bytes begin."""
@@ -46,16 +69,14 @@ class WordBatch:
         change = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.start, self.end = change[::2], change[1::2]
         self.data = data
-        values = (_FOLD[data] if fold else data).astype(_U) + _U(1)
-        values *= _powers(_BASE, len(data))
-        sums = np.concatenate([[_U(0)], np.cumsum(values, dtype=_U)])
-        inverse = _powers(pow(_BASE, -1, 2**64), len(data))
-        raw = (sums[self.end] - sums[self.start]) * inverse[self.start]
+        values = (_FOLD[data] if fold else data).astype(_U)
+        values += _U(1)
+        raw = span_hashes(values, self.start, self.end)
         self.hash = mix(raw + (self.end - self.start).astype(_U) * _MUL)
         self.first = np.concatenate([np.searchsorted(self.start, self.offset), [len(self.start)]]).astype(np.int64)
 
 
-def pieces(texts: list, limit_bytes: int = 8_000_000):
+def pieces(texts: list, limit_bytes: int = 1_000_000):
     """Index ranges of texts whose sizes sum to about limit_bytes: bounds what a batch needs in memory."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -240,8 +240,8 @@ def decode_tokens(df: DataFrame, id_col: str, ids: str, vocab: DataFrame, with_p
 def regression_metrics(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """n, r2, pearson, rmse, mae."""
     d = F.col(truth) - F.col(pred)
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(d * d).alias("_sse"), F.var_pop(truth).alias("_v"), F.corr(truth, pred).alias("pearson"), F.avg(F.abs(d)).alias("mae"))
-    return out.select(*by, "n", (1 - F.col("_sse") / F.nullif(F.col("_v") * F.col("n"), F.lit(0.0))).alias("r2"), "pearson", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), "mae")
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(d * d).alias("_sse"), F.var_pop(truth).alias("_v"), F.covar_pop(truth, pred).alias("_c"), F.stddev_pop(truth).alias("_st"), F.stddev_pop(pred).alias("_sp"), F.avg(F.abs(d)).alias("mae"))
+    return out.select(*by, "n", (1 - F.col("_sse") / F.nullif(F.col("_v") * F.col("n"), F.lit(0.0))).alias("r2"), (F.col("_c") / F.nullif(F.col("_st") * F.col("_sp"), F.lit(0.0))).alias("pearson"), F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), "mae")
 
 
 def _fold(id_col: str, seed: int, k: int) -> Column:

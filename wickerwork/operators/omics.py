@@ -53,9 +53,9 @@ def gene_correlation(expr: DataFrame, pairs: DataFrame, least: int = 3) -> DataF
     a = expr.select(F.col("gene_id").alias("gene_a"), "condition", F.col("value").alias("x"))
     b = expr.select(F.col("gene_id").alias("gene_b"), "condition", F.col("value").alias("y"))
     rows = pairs.select("gene_a", "gene_b").distinct().join(a, "gene_a").join(b, ["gene_b", "condition"])
-    per = rows.groupBy("gene_a", "gene_b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    per = rows.groupBy("gene_a", "gene_b").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     flat = (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12)
-    return per.select("gene_a", "gene_b", F.when(F.col("n") >= least, F.when(flat, 0.0).otherwise(F.col("c"))).alias("correlation"))
+    return per.select("gene_a", "gene_b", F.when(F.col("n") >= least, F.when(flat, 0.0).otherwise(F.col("c") / F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)))).alias("correlation"))
 
 
 def metabolite_neighbours(stoich: DataFrame, cap: int = 20, hub_degree: int | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def read_sectioned(spark: SparkSession, path, begin: str, end: str, id_regex: st
     """file, line_no, fields (array) of the lines between a begin and an end marker line. The first line of a section is its
     header and gives the number of columns; lines of another width, or whose first field does not fit id_regex, are
     left out. A file is one task's input: sections need the order of lines."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     w = Window.partitionBy("file").orderBy("line_no")
     marked = lines.withColumn("begun", F.sum(F.when(F.col("line") == begin, 1).otherwise(0)).over(w)).withColumn(
@@ -93,7 +93,7 @@ def read_keyed_json(spark: SparkSession, paths: Sequence[str], record_schema: st
     found = None
     for path in paths:
         try:
-            found = spark.read.option("wholetext", True).text(path)
+            found = spark.read.text(path, wholetext=True)
             break
         except Exception as problem:
             if "PATH_NOT_FOUND" not in str(problem):

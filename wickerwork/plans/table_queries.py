@@ -266,12 +266,12 @@ def d12_best_tier(t: Tables) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT user_id AS probe, user_id % 50 AS gene, event_type AS condition, CASE WHEN event_id % 9 = 0 OR user_id % 50 = 3 THEN NULL ELSE value END AS value FROM events)
-SELECT gene AS gene_id, condition, round(coalesce(avg(value), 0), 6) AS value FROM v WHERE gene IN (SELECT gene FROM v GROUP BY gene HAVING count(value) > 0) GROUP BY 1, 2
+SELECT gene AS gene_id, condition, round(coalesce(avg(value), 0), 10) AS value FROM v WHERE gene IN (SELECT gene FROM v GROUP BY gene HAVING count(value) > 0) GROUP BY 1, 2
 """)
 def d13_collapse_probes(t: Tables) -> DataFrame:
     values = t.events.select(F.col("user_id").alias("probe_id"), F.col("event_type").alias("condition"), F.expr("if(event_id % 9 = 0 or user_id % 50 = 3, double('nan'), value)").alias("value"))
     probes = t.events.select(F.col("user_id").alias("probe_id"), (F.col("user_id") % 50).alias("gene_id")).distinct()
-    return D.collapse_probes(values, probes, probes).withColumn("value", F.round("value", 6))
+    return D.collapse_probes(values, probes, probes).withColumn("value", F.round("value", 10))
 
 
 @query("""SELECT 'CUST:' || lpad(row_number() OVER (ORDER BY c_name, c_custkey)::VARCHAR, 7, '0') AS uid, c_custkey FROM customer""")

@@ -10,7 +10,7 @@ import pytest
 from wickerwork.llm.components import components
 from wickerwork.llm.exact_dedup import exact_dedup
 from wickerwork.llm.line_dedup import dedup_lines, winnow
-from wickerwork.llm.near_dedup import OnePermutation, drop_near_duplicates, near_duplicates, shingle_sets
+from wickerwork.llm.near_dedup import OnePermutation, common_counts, drop_near_duplicates, near_duplicates, shingle_sets
 
 DOCS = "doc_id long, text string, hi int, norm string, kept string"
 
@@ -97,6 +97,14 @@ def test_densified_bins_estimate_jaccard():
         assert abs(np.mean(same) - max(1, int(0.8 * size)) / size) < 0.06
 
 
+def test_common_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 90, int(n)).astype(np.uint64)) for n in (0, 5, 40, 80, 60, 1)]
+    got = common_counts(sets[:4], sets[2:], columns=7)
+    assert [[len(np.intersect1d(x, y)) for y in sets[2:]] for x in sets[:4]] == got.tolist()
+    assert common_counts([], sets).shape == (0, 6) and not common_counts(sets, [sets[0]]).any()
+
+
 def test_shingle_sets_count_distinct():
     sets = list(shingle_sets(["a b a b a", "A", "", "x y"], 2))
     assert [len(s) for s in sets] == [2, 1, 0, 1]

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from wickerwork.llm.shared import durable
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number and hash sum of distinct edges; equal for equal tables."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
@@ -21,16 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
         .where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .distinct()
     )
-    while True:
+    state = _digest(edges)
+    while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        new = durable(small.where("a <> b").distinct())
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = durable(large.join(down, "a").select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
+        before, state = state, _digest(edges)
+        if state == before:
             break
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(edges.select("b", "b")).distinct()

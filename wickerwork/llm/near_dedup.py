@@ -17,7 +17,7 @@ from wickerwork.llm.words import WordBatch, mix, pieces
 _U = np.uint64
 #: Ids are prefiltered by this many hash values at most: the bound of the broadcast in _texts_of.
 ID_BUCKETS = 1 << 19
-#: Buckets of more members are compared inside tasks, in blocks of about BLOCK members.
+#: Buckets of more members are compared inside tasks, in blocks of about BLOCK by BLOCK members.
 SMALL_BUCKET = 16
 BLOCK = 400
 
@@ -132,6 +132,32 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((large[np.minimum(at, len(large) - 1)] == small).sum())
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of left and right sets (sorted, distinct): a product of 0/1 matrices over the elements that occur
+    on both sides, `columns` of them at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    flat = [np.concatenate([np.zeros(0, _U), *sets]) for sets in (left, right)]
+    owner = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (left, right)]
+    shared = np.intersect1d(*flat)
+    if not len(shared):
+        return out
+    entries = []
+    for values, who in zip(flat, owner, strict=True):
+        column = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        kept = np.flatnonzero(shared[column] == values)
+        kept = kept[np.argsort(column[kept], kind="stable")]
+        entries.append((column[kept], who[kept]))
+    for lo in range(0, len(shared), columns):
+        sides = []
+        for (column, who), sets in zip(entries, (left, right), strict=True):
+            a, b = np.searchsorted(column, (lo, lo + columns))
+            dense = np.zeros((len(sets), min(columns, len(shared) - lo)), np.float32)
+            dense[who[a:b], column[a:b] - lo] = 1.0
+            sides.append(dense)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
 def _open_members(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Members of the buckets that hold several components: component, and of the bucket its largest component (main) and a
     random member (centre, its component cc and size n2)."""
@@ -143,9 +169,9 @@ def _open_members(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     )
     state = (
         by_component.groupBy("band", "key")
-        .agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main"), F.min("pick").alias("pick"))
+        .agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("main_rows"), F.min("pick").alias("pick"))
         .where("parts > 1")
-        .select("band", "key", "main", "pick.centre", "pick.cc", "pick.n2")
+        .select("band", "key", "main", "main_rows", "pick.centre", "pick.cc", "pick.n2")
     )
     return own.join(state, ["band", "key"])
 
@@ -160,7 +186,7 @@ def _more_stars(met, labels, compared, texts, width, percent, similar_size) -> D
 def _between_components(met, labels, texts, width, percent, similar_size) -> DataFrame:
     """All links between members of one bucket that are in different components."""
     kind = dict(met.dtypes)["doc_id"]
-    members = durable(_open_members(met, labels, 2).select("band", "key", "c", "main", "doc_id", "component", "n"))
+    members = durable(_open_members(met, labels, 2).select("band", "key", "c", "main", "main_rows", "doc_id", "component", "n"))
     small = members.where(F.col("c") <= SMALL_BUCKET)
     left = small.where("component <> main").select("band", "key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), "n")
     right = small.select("band", "key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("n2"))
@@ -168,11 +194,12 @@ def _between_components(met, labels, texts, width, percent, similar_size) -> Dat
     pairs = durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     found = confirm(pairs, texts, width, percent)
 
-    large = members.where(F.col("c") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    probes = large.where("component <> main").select(
-        "band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "component", "n", F.lit(True).alias("probe")
-    )
-    targets = large.select("band", "key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", "component", "n", F.lit(False).alias("probe"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    large = members.where(F.col("c") > SMALL_BUCKET).withColumns({"tb": blocks(F.col("c")), "pb": blocks(F.col("c") - F.col("main_rows"))})
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = large.where("component <> main").select("band", "key", own("pb").alias("i"), each("tb").alias("j"), "doc_id", "component", "n", F.lit(True).alias("probe"))
+    targets = large.select("band", "key", each("pb").alias("i"), own("tb").alias("j"), "doc_id", "component", "n", F.lit(False).alias("probe"))
     together = probes.union(targets)
     together = together.join(_texts_of(texts, large.select("doc_id")), "doc_id")
 
@@ -182,17 +209,16 @@ def _between_components(met, labels, texts, width, percent, similar_size) -> Dat
         ids, component = group["doc_id"].to_numpy(), group["component"].to_numpy()
         own = [sets[t] for t in group["text"]]
         size = np.array([len(x) for x in own], np.int64)
-        probe = group["probe"].to_numpy(bool)
-        target, out = np.flatnonzero(~probe), []
-        for i in np.flatnonzero(probe):
-            near = (component[target] != component[i]) & (100 * np.minimum(size[target], size[i]) >= percent * np.maximum(size[target], size[i]))
-            for j in target[near]:
-                common = _common(own[i], own[j])
-                if 100 * common >= percent * (size[i] + size[j] - common):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    inside = together.groupBy("band", "key", "block").applyInPandas(compare, f"a {kind}, b {kind}")
+        is_probe = group["probe"].to_numpy(bool)
+        probe, target = np.flatnonzero(is_probe), np.flatnonzero(~is_probe)
+        common = common_counts([own[i] for i in probe], [own[j] for j in target])
+        either = size[probe][:, None] + size[target][None, :] - common
+        linked = (common > 0) & (100 * common >= percent * either) & (component[probe][:, None] != component[target][None, :])
+        at = np.nonzero(linked)
+        x, y = ids[probe[at[0]]], ids[target[at[1]]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    inside = together.groupBy("band", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
     return durable(found.union(inside).distinct())
 
 

@@ -98,7 +98,7 @@ def parse_formula(c: Column | str) -> Column:
     """Molecular formula to map<element, count>; null for generic ones (R, brackets, signs) or if anything is left over."""
     c = F.trim(_c(c))
     elements, numbers = F.regexp_extract_all(c, F.lit(_ATOM), 1), F.regexp_extract_all(c, F.lit(_ATOM), 2)
-    pairs = F.zip_with(elements, numbers, lambda e, n: F.struct(e.alias("e"), F.coalesce(F.expr("try_cast(null as double)"), F.when(n == "", 1.0).otherwise(n.try_cast("double"))).alias("n")))
+    pairs = F.zip_with(elements, numbers, lambda e, n: F.struct(e.alias("e"), F.when(n == "", 1.0).otherwise(n.try_cast("double")).alias("n")))
     keys = F.array_distinct(elements)
     counts = F.transform(keys, lambda k: F.aggregate(F.filter(pairs, lambda p: p["e"] == k), F.lit(0.0), lambda a, p: a + p["n"]))
     whole = F.array_join(F.zip_with(elements, numbers, lambda e, n: F.concat(e, n)), "") == c

@@ -194,12 +194,11 @@ def group_bootstrap(df: DataFrame, group: str, label: str, score: str, threshold
         term /= k + 1
     for k in range(8, -1, -1):
         draw = F.when(u < cdf[k], float(k)).otherwise(draw if k < 8 else F.lit(9.0))
-    reps = df.sparkSession.range(replicates).withColumnRenamed("id", "rep")
     groups = df.select(group).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("_w", draw).where("_w > 0")
     weighted = rows.join(groups, group).withColumn("_w", F.col("_w") * F.col("_c"))
     metrics = pu_metrics(weighted, label, score, threshold, "_w", ["rep"])
     names = [c for c in metrics.columns if c not in ("rep", "n", "positives")]
-    long = metrics.join(reps, "rep", "left_semi").select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in names))).alias("r")).select("r.*")
+    long = metrics.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in names))).alias("r")).select("r.*")
     return long.where("v IS NOT NULL").groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
 
 

@@ -1 +1,2 @@
-"""Part of wickerwork."""
+"""The surveyed project has no streams, so there are no stateful operators here. Scalar functions and row-wise operators (splits by key,
+classification, evidence tiers, quality status) take streaming DataFrames as they are; tests/test_streaming.py runs them so."""

@@ -169,6 +169,13 @@ def test_line_dedup(spark):
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_of_a_passage_that_most_texts_have(spark):
+    passage = " ".join(f"p{i}" for i in range(52))
+    docs = [(i, f"a{i} b{i} {passage} c{i} d{i}", 0, "", "") for i in range(60)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {0: docs[0][1]} | {i: f"a{i} b{i}\nc{i} d{i}" for i in range(1, 60)}
+
+
 def test_line_dedup_keeps_beyond_ascii_bytes(spark):
     passage = " ".join(f"wörd{i}é" for i in range(55))
     docs = [(1, "Ünïcode vorher. " + passage + " danach ß", 0, "", ""), (2, "außen " + passage + "\nrest ñ", 0, "", "")]

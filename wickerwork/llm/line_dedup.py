@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.shared import durable
+from wickerwork.llm.shared import durable, partitions_of
 from wickerwork.llm.words import WordBatch, mix, pieces, span_hashes
 
 _U = np.uint64
@@ -146,11 +146,22 @@ def _matches(texts: DataFrame, p: _Passages) -> DataFrame:
     """(doc_id, version, matches): the runs of fingerprints that a text shares with earlier text, with the earlier text's words around."""
     kind = texts.dtypes[0][1]
     prints = durable(_fingerprints(texts, p))
-    often = prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    repeated = durable(prints.join(often.hint("shuffle_hash"), "fp"))
-    firsts = repeated.groupBy("fp").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"))
-    firsts = firsts.select("fp", F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
-    hits = repeated.join(firsts, "fp").where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0")
+    # Fingerprints that hold more than 1/(4 n) of all rows (n partitions) are fewer than 4 n: they and their first occurrences are
+    # broadcast, so their rows are never dealt by fingerprint; all others are too few for a hot task.
+    parts, rows = 4 * partitions_of(texts.sparkSession), prints.count()
+    often = durable(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
+    hot, cold = often.where(F.col("c") * parts > rows).select("fp"), often.where(F.col("c") * parts <= rows).select("fp")
+    common = prints.join(F.broadcast(hot), "fp").withColumn("hot", F.lit(True))
+    others = prints.join(F.broadcast(hot), "fp", "left_anti").join(cold.hint("shuffle_hash"), "fp").withColumn("hot", F.lit(False))
+    repeated = durable(common.unionByName(others))
+    earliest = F.min(F.struct("doc_id", "version", "pos")).alias("first")
+
+    def after_first(part: DataFrame, spread: bool) -> DataFrame:
+        first = part.groupBy("fp").agg(earliest).select("fp", F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
+        joined = part.join(F.broadcast(first) if spread else first, "fp")
+        return joined.where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0")
+
+    hits = after_first(repeated.where("hot"), True).unionByName(after_first(repeated.where("NOT hot"), False))
 
     pair = ["doc_id", "version", "d0", "v0", "shift"]
     hits = hits.withColumn("shift", F.col("pos") - F.col("p0"))

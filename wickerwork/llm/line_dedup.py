@@ -15,6 +15,8 @@ from wickerwork.llm.shared import durable, partitions_of
 from wickerwork.llm.words import WordBatch, mix, pieces, span_hashes
 
 _U = np.uint64
+#: Rows of an Arrow batch whose matches are Python objects at a time; bounds a worker's memory.
+SLICE_ROWS = 200
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -263,7 +265,7 @@ def dedup_lines(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             texts, matches = batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()
             words_cut, bytes_cut = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
             with_matches = [i for i, m in enumerate(matches) if m]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,3 +182,49 @@ def test_line_dedup_keeps_beyond_ascii_bytes(spark):
     docs = [(1, "Ünïcode vorher. " + passage + " danach ß", 0, "", ""), (2, "außen " + passage + "\nrest ñ", 0, "", "")]
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
     assert got[1] == docs[0][1] and got[2] == "außen\nrest ñ"
+
+
+def test_line_dedup_where_an_earlier_text_quotes_the_middle(spark):
+    rng = random.Random(11)
+    docs, gone = [], {}
+    for case in range(40):
+        size = rng.randrange(50, 98)
+        quoted = rng.randrange(26, min(size, 75))
+        at = rng.randrange(size - quoted + 1)
+        passage = [f"p{case}x{i}" for i in range(size)]
+        around = lambda n, c=case: [f"o{c}x{n}x{i}" for i in range(12)]
+        first = [*around(0), *passage[at : at + quoted], *around(1)]
+        for k, middle in enumerate([first, passage, passage, passage]):
+            own = (around(2 * k + 2), around(2 * k + 3))
+            docs.append((10 * case + k, " ".join([*own[0], *middle, *own[1]]), 0, "", ""))
+            gone[10 * case + k] = " ".join(own[0]) + "\n" + " ".join(own[1])
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, text, *_ in docs:
+        if i % 10 == 0:
+            assert got[i] == text
+        elif i % 10 > 1:
+            assert got[i] == gone[i], i
+
+
+def test_line_dedup_cuts_every_passage_that_occurs_earlier(spark):
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(len(pool) - 90)
+            text += pool[a : a + rng.randrange(20, 90)] + [f"n{rng.randrange(10**9)}" for _ in range(rng.randrange(4))]
+        texts.append(text)
+    docs = [(i, " ".join(t), 0, "", "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text.split() for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        repeated = set()
+        for j in range(len(text) - 49):
+            passage = tuple(text[j : j + 50])
+            if passage in seen:
+                repeated.update(range(j, j + 50))
+            seen.add(passage)
+        may_stay = Counter(w for j, w in enumerate(text) if j not in repeated)
+        assert not Counter(got[i]) - may_stay, i

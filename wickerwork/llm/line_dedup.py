@@ -127,7 +127,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of line hashes, which guarantees a fingerprint to every repeat of min_words words. Each fingerprint is joined
     to its first occurrence only, a star, so the rows follow the fingerprints and not their pairs; counts are combined
     before the shuffle. Matches side by side on the same two texts are chained into runs, and the ends of a run are
-    extended both ways, word by word, up to the next fingerprint's reach.
+    extended both ways, word by word, up to the next fingerprint's reach. The first occurrence may share less than a text
+    in between: passages of min_words words that go on where a run ends are joined with their own first occurrence.
+    So every passage of min_words words with an earlier occurrence is in a span.
     """
     p = _Passages(min_words)
     texts = _versions(docs, id_col, text_col)
@@ -144,26 +146,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _matches(texts: DataFrame, p: _Passages) -> DataFrame:
-    """(doc_id, version, matches): the runs of fingerprints that a text shares with earlier text, with the earlier text's words around."""
-    kind = texts.dtypes[0][1]
-    prints = durable(_fingerprints(texts, p))
-    # Fingerprints that hold more than 1/(4 n) of all rows (n partitions) are fewer than 4 n: they and their first occurrences are
-    # broadcast, so their rows are never dealt by fingerprint; all others are too few for a hot task.
-    parts, rows = 4 * partitions_of(texts.sparkSession), prints.count()
-    often = durable(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
-    hot, cold = often.where(F.col("c") * parts > rows).select("fp"), often.where(F.col("c") * parts <= rows).select("fp")
-    common = prints.join(F.broadcast(hot), "fp").withColumn("hot", F.lit(True))
-    others = prints.join(F.broadcast(hot), "fp", "left_anti").join(cold.hint("shuffle_hash"), "fp").withColumn("hot", F.lit(False))
-    repeated = durable(common.unionByName(others))
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs twice or more, and a column hot.
+
+    Keys that hold more than 1/(4 n) of all rows (n partitions) are fewer than 4 n: they are broadcast, so their rows are never dealt by
+    key; all others are too few for a hot task."""
+    parts, n = 4 * partitions_of(rows.sparkSession), rows.count()
+    often = durable(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1"))
+    hot, cold = often.where(F.col("c") * parts > n).select(key), often.where(F.col("c") * parts <= n).select(key)
+    common = rows.join(F.broadcast(hot), key).withColumn("hot", F.lit(True))
+    others = rows.join(F.broadcast(hot), key, "left_anti").join(cold.hint("shuffle_hash"), key).withColumn("hot", F.lit(False))
+    return durable(common.unionByName(others))
+
+
+def _after_first(places: DataFrame, key: str) -> DataFrame:
+    """(doc_id, version, pos, d0, v0, p0): all places (doc_id, version, pos) of a key but its first, and that first one."""
+    repeated = _repeated(places, key)
     earliest = F.min(F.struct("doc_id", "version", "pos")).alias("first")
 
-    def after_first(part: DataFrame, spread: bool) -> DataFrame:
-        first = part.groupBy("fp").agg(earliest).select("fp", F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
-        joined = part.join(F.broadcast(first) if spread else first, "fp")
+    def later(part: DataFrame, spread: bool) -> DataFrame:
+        first = part.groupBy(key).agg(earliest).select(key, F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
+        joined = part.join(F.broadcast(first) if spread else first, key)
         return joined.where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0")
 
-    hits = after_first(repeated.where("hot"), True).unionByName(after_first(repeated.where("NOT hot"), False))
+    return later(repeated.where("hot"), True).unionByName(later(repeated.where("NOT hot"), False))
+
+
+def _matches(texts: DataFrame, p: _Passages) -> DataFrame:
+    """(doc_id, version, matches): the runs of fingerprints that a text shares with earlier text, with the earlier text's words around."""
+    kind = texts.dtypes[0][1]
+    hits = _after_first(durable(_fingerprints(texts, p)), "fp")
 
     pair = ["doc_id", "version", "d0", "v0", "shift"]
     hits = hits.withColumn("shift", F.col("pos") - F.col("p0"))
@@ -181,24 +193,72 @@ def _matches(texts: DataFrame, p: _Passages) -> DataFrame:
     around = _contexts(_only(texts, asked).select("doc_id", "version", "text", "asked"), p, kind)
     sided = runs.select("doc_id", "version", "d0", "v0", "first", "last", F.posexplode(ends).alias("side", "e"))
     sided = sided.select("doc_id", "version", "first", "last", "d0", "v0", F.col("e.pos").alias("p0"), F.col("e.ahead").alias("ahead"))
-    return (
+    matched = durable(
         sided.join(around, ["d0", "v0", "p0", "ahead"])
         .groupBy("doc_id", "version")
         .agg(F.collect_list(F.struct("first", "last", "ahead", "words")).alias("matches"))  # at most twice a text's fingerprints
     )
 
+    # Where a match ends, passages that go on may be repeats of a text between the first occurrence and this one: those whose branch
+    # others take too get a star of their own, on the whole passage.
+    ends = durable(_branches(_only(texts, matched).select("doc_id", "version", "text", "matches"), p, kind))
+    taken = _repeated(ends, "branch")
+    passages = taken.select("doc_id", "version", F.posexplode("passages").alias("n", "passage"), "pos")
+    passages = durable(passages.select("doc_id", "version", (F.col("pos") + F.col("n")).alias("pos"), "passage").distinct())
+    whole = F.struct(
+        F.col("pos").alias("first"), (F.col("pos") + p.min_words - p.width).alias("last"), F.lit(True).alias("ahead"), F.lit(b"").alias("words")
+    )
+    more = _after_first(passages, "passage").groupBy("doc_id", "version").agg(F.collect_list(whole).alias("more"))
+    all_matches = F.concat("matches", F.coalesce("more", F.array().cast(matched.schema["matches"].dataType)))
+    return matched.join(more, ["doc_id", "version"], "left").select("doc_id", "version", all_matches.alias("matches"))
+
+
+def _extent(own: np.ndarray, m, p: _Passages) -> tuple[int, int]:
+    """First word and end of a match, extended on its side as far as the earlier text's words go on alike."""
+    first, stop = m["first"], m["last"] + p.width
+    beyond = np.frombuffer(m["words"], _U)
+    if m["ahead"]:
+        return first, stop + _same(own[stop:], beyond)
+    return first - _same(own[max(0, first - len(beyond)) : first][::-1], beyond), stop
+
+
+def _branches(sources: DataFrame, p: _Passages, kind: str) -> DataFrame:
+    """For every end of a match, its branch (the line that holds the first word beyond), and start and hashes of the passages of min_words
+    words that hold both a fingerprint of the match and that word: those of which the match's earlier text says nothing."""
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    names = ["doc_id", "version", "branch", "pos", "passages"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            docs, versions, texts, matches = (batch.column(c).to_pylist() for c in range(4))
+            for lo, hi in pieces(texts):
+                words, found = WordBatch(texts[lo:hi], fold=False), []
+                lines, passages = (mix(span_hashes(words.hash, at, at + n)).view(np.int64) for n in (p.width, p.min_words) for at in [np.arange(len(words.hash) - n + 1)])
+                for i in range(lo, hi):
+                    a, b = words.first[i - lo], words.first[i - lo + 1]
+                    own = words.hash[a:b]
+                    for m in matches[i]:
+                        first, stop = _extent(own, m, p)
+                        if m["ahead"]:
+                            start, last, branch = max(0, stop - p.min_words + 1), m["last"], stop - p.width + 1
+                        else:
+                            start, last, branch = max(0, m["first"] - p.window + 1), first - 1, first - 1
+                        last = min(last, len(own) - p.min_words)
+                        if start <= last:  # the lowest bit tells the sides apart
+                            found.append((docs[i], versions[i], lines[a + branch] & -2 | m["ahead"], start, passages[a + start : a + last + 1]))
+                if found:
+                    columns = zip(zip(*found, strict=True), [batch.column(0).type, *types], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names)
+
+    return sources.mapInArrow(run, f"doc_id {kind}, version int, branch long, pos int, passages array<long>")
+
 
 def _spans(words: WordBatch, a: int, b: int, offset: int, matches, p: _Passages) -> list[tuple[int, int, int]]:
     """(start byte, stop byte, words) of the stretches of text a:b that the matches cover, of min_words words and more."""
     own = words.hash[a:b]
     covered = np.zeros(len(own) + 1, np.int32)
     for m in matches:
-        first, stop = m["first"], m["last"] + p.width
-        beyond = np.frombuffer(m["words"], _U)
-        if m["ahead"]:
-            stop += _same(own[stop:], beyond)
-        else:
-            first -= _same(own[max(0, first - len(beyond)) : first][::-1], beyond)
+        first, stop = _extent(own, m, p)
         covered[first] += 1
         covered[stop] -= 1
     inside = np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)

@@ -52,6 +52,19 @@ def test_pfair_lag_within_a_period(spark):
         assert all(abs(done[x] - share[x] * slot / 60) < 1 for x in share)
 
 
+def test_mixing_keeps_the_given_weights(spark):
+    weights = {"hot": 0.2} | {f"s{i}": 0.8 / 18 for i in range(18)} | {"tiny": 0.0001, "never": 0.0}
+    docs = spark.createDataFrame([(i, s) for s in weights for i in range(1500 if s == "hot" else 20 if s in ("tiny", "never") else 330)], "doc_id long, source string")
+    got = mix_sources(docs, weights=weights, block_rows=1, buckets=4).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(docs.count())) and {r.source for r in got[-20:]} == {"never"}
+    total, done, left = sum(weights.values()), Counter(), Counter(r.source for r in got)
+    for n, r in enumerate(got):
+        assert r.mix_release <= r.mix_slot < r.mix_deadline and r.mix_block == done[r.source]
+        done[r.source] += 1
+        for s, w in weights.items():
+            assert done[s] == left[s] or s == "never" or abs(done[s] - w / total * (r.mix_slot + 1)) < 1 + 1e-9, (n, s)
+
+
 def test_sharding(spark):
     rng = np.random.default_rng(4)
     texts = ["w" * int(n) for n in rng.integers(0, 400, 900)] + ["hot text " * 9] * 500 + [None, None, "", "é" * 50, "x" * 30_000]

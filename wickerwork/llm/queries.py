@@ -29,7 +29,7 @@ def vocabulary() -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_sources(docs).drop("mix_source")
+    return mix_sources(docs, period=400).drop("mix_source")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from wickerwork.llm.ann import nearest_neighbours
 from wickerwork.llm.bpe import ByteBPE, bpe_decode, bpe_encode
 from wickerwork.llm.hmm_lm import HMM, Counts, cut_pieces, expect, log_likelihoods, score_documents
 from wickerwork.llm.mixing import in_mixed_order, mix_sources
-from wickerwork.llm.queries import vocabulary
+from wickerwork.llm.queries import QUERIES, vocabulary
 from wickerwork.llm.sharding import shard_by_size
 from wickerwork.llm.toxicity import FEATURES, Lexicon, features, fit_toxicity
 
@@ -65,6 +65,13 @@ def test_mixing_keeps_the_given_weights(spark):
             assert done[s] == left[s] or s == "never" or abs(done[s] - w / total * (r.mix_slot + 1)) < 1 + 1e-9, (n, s)
 
 
+def test_mixing_more_sources_than_400(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"s{i % 450}") for i in range(1000)], "doc_id long, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (mix_sources(docs), QUERIES["op1_mixing"](spark, str(tmp_path))):
+        assert sorted(r.mix_position for r in got.collect()) == list(range(1000))
+
+
 def test_sharding(spark):
     rng = np.random.default_rng(4)
     texts = ["w" * int(n) for n in rng.integers(0, 400, 900)] + ["hot text " * 9] * 500 + [None, None, "", "é" * 50, "x" * 30_000]

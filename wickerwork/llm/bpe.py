@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickerwork.llm.shared import bound_batches
+
 #: A piece of more bytes is merged with a heap instead of repeated scans; same result, n log n.
 LONG_PIECE = 96
 #: Pieces a Python worker remembers before it starts afresh; bounds its memory.
@@ -135,6 +137,7 @@ def bpe_encode(
     The strings of special tokens in a text become those tokens. Null text counts as empty: no tokens. Null and
     repeated ids pass through; other columns are ignored; very long pieces are merged with a heap.
     """
+    bound_batches(docs.sparkSession)
     schema = "doc_id " + docs.select(id_col).dtypes[0][1] + ", n_tokens long"
     schema += ", ids_sha256 string, decoded_sha256 string" if digests else ""
     schema += ", ids array<int>" if with_ids else ""
@@ -162,6 +165,7 @@ def bpe_encode(
 
 def bpe_decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of each row of ids; null ids give an empty text."""
+    bound_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _load(vocabulary)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickerwork.llm.shared import durable
+from wickerwork.llm.shared import bound_batches, durable
 from wickerwork.llm.words import WordBatch, mix, pieces
 
 _U = np.uint64
@@ -190,6 +190,7 @@ def score_documents(
     crc32(id as text) mod 7 is not 2. Null text counts as empty, a null id as ''; rows may repeat; other columns are
     ignored. Without any training text all probabilities are 1 and scores 0. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(F.col(id_col)).alias("held_out"))
 

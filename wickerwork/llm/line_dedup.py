@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.shared import durable, partitions_of
+from wickerwork.llm.shared import bound_batches, durable, partitions_of
 from wickerwork.llm.words import WordBatch, mix, pieces, span_hashes
 
 _U = np.uint64
@@ -131,6 +131,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in between: passages of min_words words that go on where a run ends are joined with their own first occurrence.
     So every passage of min_words words with an earlier occurrence is in a span.
     """
+    bound_batches(docs.sparkSession)
     p = _Passages(min_words)
     texts = _versions(docs, id_col, text_col)
     kind = texts.dtypes[0][1]
@@ -312,6 +313,7 @@ def dedup_lines(
     together. Shorter texts than min_words have no repeats. A row's other columns are untouched; columns
     named words_cut or bytes_cut are replaced. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("words_cut", "bytes_cut")
     p = _Passages(min_words)
     matched = durable(_matches(_versions(docs, id_col, text_col), p))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.llm.components import components
-from wickerwork.llm.shared import durable
+from wickerwork.llm.shared import bound_batches, durable
 from wickerwork.llm.words import WordBatch, mix, pieces
 
 _U = np.uint64
@@ -249,6 +249,7 @@ def near_duplicates(
     part: component_id null, kept true. Rows with the same id share that id's place in the order. Other columns are
     ignored. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketches = durable(_sketch(source, width, bands, rows))
     taking_part = sketches.where("doc_id IS NOT NULL AND n > 0")

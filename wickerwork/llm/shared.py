@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What Spark hands to a Python worker at a time, whatever the texts' lengths: bounds the memory of worker and executor.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dirs: dict[str, str] = {}
 
 
@@ -33,6 +37,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays. All operators that hand texts to Python
+    call this, as the setting counts when a plan runs, which may be after the operator has returned."""
+    found = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(_BATCH_SETTING, "256m").strip().lower())
+    now = int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.shared import durable
+from wickerwork.llm.shared import bound_batches, durable
 from wickerwork.llm.words import WordBatch, mix, pieces
 
 _U = np.uint64
@@ -175,6 +175,7 @@ def _learn_lexicon(train: DataFrame, most: int) -> Lexicon:
                     all_ = np.bincount(inverse, minlength=len(keys))
                     yield pd.DataFrame({"length": length, "h": keys.view(np.int64), "hot": hot.astype(np.int64), "n": all_})
 
+    bound_batches(train.sparkSession)
     totals = train.agg(F.sum("toxic").alias("hot"), F.count("*").alias("n")).first()
     hot, cold = totals["hot"] or 0, totals["n"] - (totals["hot"] or 0)
     if not hot or not cold:
@@ -206,6 +207,7 @@ def _with_features(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> D
             column = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_features"])
 
+    bound_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("_features", T.ArrayType(T.DoubleType()))])
     return df.mapInArrow(run, schema).withColumn("_features", array_to_vector("_features"))
 

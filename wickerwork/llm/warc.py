@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerwork.llm.shared import durable, shared_dir
+from wickerwork.llm.shared import bound_batches, durable, shared_dir
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
@@ -58,6 +58,7 @@ def write_warc(
     and payload are alike in type. Control characters in a URL are replaced by blanks; a null URL is left out.
     An empty table writes no file.
     """
+    bound_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     known = revisits(pages, id_col, payload, least_bytes).select(F.col("page_id").alias("_id"), "refers_to")
     rows = (

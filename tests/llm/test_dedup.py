@@ -3,14 +3,13 @@
 import hashlib
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
 
 from wickerwork.llm.components import components
 from wickerwork.llm.exact_dedup import exact_dedup
-from wickerwork.llm.line_dedup import dedup_lines, winnow
+from wickerwork.llm.line_dedup import Passages, dedup_lines
 from wickerwork.llm.near_dedup import OnePermutation, common_counts, drop_near_duplicates, near_duplicates, shingle_sets
 
 DOCS = "doc_id long, text string, hi int, norm string, kept string"
@@ -118,26 +117,96 @@ def test_components(spark):
     assert got == want
 
 
-def test_winnow_guarantee():
+def test_equal_passages_have_equal_fingerprints_at_equal_places():
     rng = np.random.default_rng(1)
-    common = rng.integers(0, 2**63, 30).astype(np.uint64)
-    parts = [rng.integers(0, 2**63, int(n)).astype(np.uint64) for n in (40, 3, 0, 25, 60, 11, 12)]
-    texts = [np.concatenate([p[: len(p) // 2], common[i : i + 12], p[len(p) // 2 :]]) for i, p in enumerate(parts)]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    at, lines = winnow(np.concatenate(texts), first, 6, 7)
-    chosen = [set(lines[(at >= a) & (at < b)].tolist()) for a, b in zip(first, first[1:], strict=False)]
-    for i, t in enumerate(texts):
-        assert all(first[i] <= x <= first[i + 1] - 6 for x in at[(at >= first[i]) & (at < first[i + 1])])
-        for j in range(i):
-            if i == j:
-                continue
-            shared = len(common[i : i + 12]) - (i - j)
-            assert shared < 12 or chosen[i] & chosen[j]
-    again = np.concatenate([texts[0], texts[4], texts[0]])
-    ends = np.cumsum([0, len(texts[0]), len(texts[4]), len(texts[0])])
-    at, lines = winnow(again, ends, 6, 7)
-    own = [sorted(lines[(at >= a) & (at < b)].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
-    assert own[0] == own[2] and max(np.diff(np.sort(at[at < ends[1]]))) <= 7
+    p = Passages(12)
+    texts = [rng.integers(0, 3 if i % 2 else 2**40, int(n)).astype(np.uint64) for i, n in enumerate([40, 200, 5, 12, 0, 90, 11, 60])]
+    texts += [np.concatenate([texts[1][20:60], texts[0][5:35], texts[5][50:]]), np.full(50, 7, np.uint64)]
+    words, first = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    start, mark, lines = p.winnow(words, first)
+    assert start.tolist() == [first[i] + j for i, t in enumerate(texts) for j in range(len(t) - 11)]
+    assert all(0 <= m - s < p.window for s, m in zip(start, mark, strict=True)) and len(lines) == len(words) - p.width + 1
+    seen, inside = {}, set()
+    again = p.repeated_inside(words, first, start, mark, lines)
+    for s, m, a in zip(start.tolist(), mark.tolist(), again.tolist(), strict=True):
+        passage, text = words[s : s + 12].tobytes(), int(np.searchsorted(first, s, side="right"))
+        assert seen.setdefault(passage, m - s) == m - s
+        assert a == ((text, passage) in inside)
+        inside.add((text, passage))
+
+
+def left_by_brute_force(texts, min_words=50, line_words=None):
+    """Words left of each text, by looking up every passage and every line in those of all earlier places."""
+    seen, lines, out = set(), set(), {}
+    for i in sorted(texts):
+        words = texts[i].split()
+        gone = set()
+        for j in range(len(words) - min_words + 1):
+            passage = tuple(words[j : j + min_words])
+            if passage in seen:
+                gone.update(range(j, j + min_words))
+            seen.add(passage)
+        at = 0
+        for line in texts[i].split("\n"):
+            own = tuple(line.split())
+            if line_words and line_words <= len(own) < min_words:
+                if own in lines:
+                    gone.update(range(at, at + len(own)))
+                lines.add(own)
+            at += len(own)
+        out[i] = [w for j, w in enumerate(words) if j not in gone]
+    return out
+
+
+@pytest.mark.parametrize("line_words", [None, 2])
+def test_line_dedup_equals_brute_force(spark, line_words):
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(400)]
+    lines = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+    texts = {}
+    for i in range(90):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(len(pool) - 90)
+            kind = rng.random()
+            if kind < 0.5:
+                text.append(" ".join(pool[a : a + rng.randrange(20, 90)]))
+            elif kind < 0.7:
+                text.append("\n" + rng.choice(lines) + "\n")
+            elif kind < 0.8:
+                text.append(" ".join(["la", "lo"][: rng.randrange(1, 3)] * rng.randrange(20, 70)))
+            else:
+                text.append(" ".join(f"n{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 60))))
+        texts[i] = rng.choice([" ", "\n", "\n\n"]).join(text)
+        if i % 9 == 8:
+            texts[i] = texts[i - rng.randrange(1, 8)].replace(" ", "  ")  # a copy but for the layout
+    docs = spark.createDataFrame([(i, t, 0, "", "") for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r for r in dedup_lines(docs, line_words=line_words).collect()}
+    want = left_by_brute_force(texts, 50, line_words)
+    for i, text in texts.items():
+        assert got[i].text.split() == want[i], i
+        assert got[i].words_cut == len(text.split()) - len(want[i])
+        assert got[i].words_cut or got[i].text == text
+
+
+def test_line_dedup_equals_brute_force_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.text for r in dedup_lines(docs, line_words=4).collect()}
+    want = left_by_brute_force(texts, 50, 4)
+    assert {i: t.split() for i, t in got.items()} == want and want != {i: t.split() for i, t in texts.items()}
+
+
+def test_line_dedup_takes_any_columns_and_repeated_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "a " + passage, 1, "x", "m"), (1, "a " + passage, 2, "y", "m"), (2, "b " + passage, 3, None, None), (2, "b " + passage, 4, "z", "m"), (1, "c " + passage, 5, "v", "m")]
+    docs = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, version int, row string, masks string, matches int, _doc int, `a.b` int")
+    cut = dedup_lines(docs)
+    assert cut.columns == [*docs.columns, "words_cut", "bytes_cut"]
+    got = sorted(cut.collect(), key=lambda r: r.version)
+    assert [(r.row, r.masks, r.matches, r._doc) for r in got] == [(*r[3:], 7, 8) for r in rows]
+    assert [r.text for r in got[2:4]] == ["b", "b"] and got[0].text == got[1].text
+    assert {got[0].text, got[4].text} in ({"a", rows[4][1]}, {rows[0][1], "c"})  # of two texts with one id, a hash says which is first
 
 
 def test_line_dedup(spark):
@@ -204,27 +273,3 @@ def test_line_dedup_where_an_earlier_text_quotes_the_middle(spark):
             assert got[i] == text
         elif i % 10 > 1:
             assert got[i] == gone[i], i
-
-
-def test_line_dedup_cuts_every_passage_that_occurs_earlier(spark):
-    rng = random.Random(12)
-    pool = [f"w{i}" for i in range(400)]
-    texts = []
-    for _ in range(60):
-        text = []
-        for _ in range(rng.randrange(1, 5)):
-            a = rng.randrange(len(pool) - 90)
-            text += pool[a : a + rng.randrange(20, 90)] + [f"n{rng.randrange(10**9)}" for _ in range(rng.randrange(4))]
-        texts.append(text)
-    docs = [(i, " ".join(t), 0, "", "") for i, t in enumerate(texts)]
-    got = {r.doc_id: r.text.split() for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
-    seen = set()
-    for i, text in enumerate(texts):
-        repeated = set()
-        for j in range(len(text) - 49):
-            passage = tuple(text[j : j + 50])
-            if passage in seen:
-                repeated.update(range(j, j + 50))
-            seen.add(passage)
-        may_stay = Counter(w for j, w in enumerate(text) if j not in repeated)
-        assert not Counter(got[i]) - may_stay, i

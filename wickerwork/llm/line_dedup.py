@@ -1,13 +1,12 @@
-"""Removal of repeated passages by winnowing over line hashes."""
+"""Removal of repeated passages and lines by winnowing over line hashes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +14,9 @@ from wickerwork.llm.shared import bound_batches, durable, partitions_of
 from wickerwork.llm.words import WordBatch, mix, pieces, span_hashes
 
 _U = np.uint64
-#: Rows of an Arrow batch whose matches are Python objects at a time; bounds a worker's memory.
-SLICE_ROWS = 200
+_LOW = _U((1 << 24) - 1)
+#: What a mark in the table of marks stands for.
+FINGERPRINT, WHOLE_TEXT, LINE, REPEATS_ITSELF = range(4)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -29,246 +29,261 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def winnow(words: np.ndarray, first: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions and hashes of the chosen lines of several texts at once. first: index of each text's first word, and the end.
-
-    A line of `width` words begins at every word (lines are reflowed); the minima of all windows of `window` line hashes
-    inside a text are chosen, so two equal stretches of width + window - 1 words have a chosen line in common."""
-    n = len(words) - width - window + 2
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    at = np.arange(len(words) - width + 1)
-    lines = mix(span_hashes(words, at, at + width)) | _U(1)
-    low = _sliding_min(lines, window)
-    stop = np.repeat(first[1:], np.diff(first))[:n]
-    low[np.arange(n) + width + window - 1 > stop] = 0  # the window runs over the text's end
-    # A line is chosen if it is the minimum of some window around it: the largest of those windows' minima is its own.
-    edge = np.zeros(window - 1, _U)
-    best = ~_sliding_min(~np.concatenate([edge, low, edge]), window)
-    chosen = np.flatnonzero(lines == best)
-    return chosen, lines[chosen]
-
-
-class _Passages:
-    """Winnowing parameters. A repeat of at least min_words words contains a common fingerprint, since width + window - 1
-    <= min_words; width >= window, so that the lines of neighbouring fingerprints leave no word between them."""
+class Passages:
+    """A passage is min_words words. It holds `window` reflowed lines of `width` words, one beginning at every word; its fingerprint is
+    the line with the smallest hash. So equal passages have equal fingerprints at equal places."""
 
     def __init__(self, min_words: int):
         self.min_words = min_words
-        self.width = (min_words + 2) // 2
-        self.window = min_words - self.width + 1
-
-
-def _batches(batches: Iterator[pd.DataFrame], *columns: str):
-    for batch in batches:
-        texts = batch["text"].tolist()
-        for lo, hi in pieces(texts):
-            words = WordBatch(texts[lo:hi], fold=False)
-            for i in range(lo, hi):
-                a, b = words.first[i - lo], words.first[i - lo + 1]
-                yield tuple(batch[c].iat[i] for c in columns), texts[i], words, a, b, words.offset[i - lo]
+        self.window = min(62, max(1, 2 * min_words // 3 + 1))  # a passage's place before its fingerprint is a bit of a 64-bit mask
+        self.width = min_words - self.window + 1
+
+    def winnow(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of several texts at once (first: index of each text's first word, and the end): where their passages begin, where each one's
+        fingerprint begins (the last of equal ones), and the hashes of all lines."""
+        n = len(words) - self.min_words + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+        at = np.arange(len(words) - self.width + 1)
+        lines = mix(span_hashes(words, at, at + self.width))
+        low = _sliding_min((lines & ~_LOW) | (_LOW - (at.astype(_U) & _LOW)), self.window)
+        stop = np.repeat(first[1:], np.diff(first))[:n]
+        start = np.flatnonzero(np.arange(n) + self.min_words <= stop)
+        mark = start + (((_LOW - (low[start] & _LOW)).astype(np.int64) - start) & int(_LOW))
+        return start, mark, lines
+
+    def hashes(self, words: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return mix(span_hashes(words, start, start + self.min_words))
+
+    def repeated_inside(self, words: np.ndarray, first: np.ndarray, start: np.ndarray, mark: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Which passages stand further up in the same text too. Only those whose fingerprint's hash does are looked at."""
+        out = np.zeros(len(start), bool)
+        if not len(start):
+            return out
+        owner = np.searchsorted(first, start, side="right").astype(_U)
+        runs = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+        _, which, count = np.unique(lines[mark[runs]] ^ mix(owner[runs]), return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero(np.repeat(count[which] > 1, np.diff(np.r_[runs, len(mark)])))
+        _, once = np.unique(self.hashes(words, start[open_]) ^ mix(owner[open_]), return_index=True)
+        out[open_] = True
+        out[open_[once]] = False
+        return out
+
+
+def _lines(words: WordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """First word and length in words of every physical line that has words."""
+    line = np.searchsorted(np.flatnonzero(words.data == 10), words.start)
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    return begin, np.diff(np.r_[begin, len(line)])
+
+
+def _short_lines(words: WordBatch, p: Passages, line_words: int | None) -> tuple[np.ndarray, np.ndarray]:
+    if not line_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin, size = _lines(words)
+    own = (size >= line_words) & (size < p.min_words)
+    return begin[own], size[own]
+
+
+def _marks(texts: DataFrame, p: Passages, line_words: int | None) -> DataFrame:
+    """(doc_id, version, pos, kind, mark): fingerprints of passages that are new in their text; digests of whole texts of a passage and
+    more; hashes of physical lines of line_words words and more that are shorter than a passage; texts that repeat their own passages."""
 
-
-def _fingerprints(docs: DataFrame, p: _Passages) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch.column(2).to_pylist()
             for lo, hi in pieces(texts):
                 words = WordBatch(texts[lo:hi], fold=False)
-                at, lines = winnow(words.hash, words.first, p.width, p.window)
-                owner = np.searchsorted(words.first, at, side="right") - 1
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].to_numpy()[lo:hi][owner],
-                        "version": batch["version"].to_numpy()[lo:hi][owner],
-                        "pos": (at - words.first[owner]).astype(np.int32),
-                        "fp": lines.view(np.int64),
-                    }
-                )
-
-    return docs.mapInPandas(run, f"doc_id {docs.dtypes[0][1]}, version int, pos int, fp long")
-
-
-def _contexts(sources: DataFrame, p: _Passages, kind: str) -> DataFrame:
-    """For the places asked for (array of structs pos, ahead): up to window - 1 word hashes after the line that begins at pos, or,
-    nearest first, before it."""
-    reach = p.window - 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = []
-        for (doc, ver, asked), _, words, a, b, _ in _batches(batches, "doc_id", "version", "asked"):
-            own = words.hash[a:b]
-            for x in asked:
-                at, ahead = x["pos"], x["ahead"]
-                near = own[at + p.width : at + p.width + reach] if ahead else own[max(0, at - reach) : at][::-1]
-                found.append((doc, ver, at, ahead, near.tobytes()))
-            if len(found) > 20_000:
-                yield pd.DataFrame(found, columns=["d0", "v0", "p0", "ahead", "words"])
-                found = []
-        if found:
-            yield pd.DataFrame(found, columns=["d0", "v0", "p0", "ahead", "words"])
-
-    return sources.mapInPandas(run, f"d0 {kind}, v0 int, p0 int, ahead boolean, words binary")
-
-
-def _same(x: np.ndarray, y: np.ndarray) -> int:
-    """How many leading entries agree."""
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """doc_id, version, spans of every text with later repeats; spans: arrays (start, stop, words) of UTF-8 byte offsets.
-
-    A span is a maximal stretch of at least min_words words that lies in matches with earlier text: earlier in
-    the order of doc_id (then a hash of the text), or further up in the same text. Layout does not matter: words
-    are compared, and a line of width words is taken to begin at every word. Winnowing keeps the minima of windows
-    of line hashes, which guarantees a fingerprint to every repeat of min_words words. Each fingerprint is joined
-    to its first occurrence only, a star, so the rows follow the fingerprints and not their pairs; counts are combined
-    before the shuffle. Matches side by side on the same two texts are chained into runs, and the ends of a run are
-    extended both ways, word by word, up to the next fingerprint's reach. The first occurrence may share less than a text
-    in between: passages of min_words words that go on where a run ends are joined with their own first occurrence.
-    So every passage of min_words words with an earlier occurrence is in a span.
-    """
-    bound_batches(docs.sparkSession)
-    p = _Passages(min_words)
-    texts = _versions(docs, id_col, text_col)
-    kind = texts.dtypes[0][1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (doc, version, matches), _, words, a, b, offset in _batches(batches, "doc_id", "version", "matches"):
-            if spans := _spans(words, a, b, offset, matches, p):
-                rows = [{"start": s, "stop": e, "words": n} for s, e, n in spans]
-                yield pd.DataFrame({"doc_id": [doc], "version": [version], "spans": [rows]})
-
-    return _only(texts, _matches(texts, p)).select("doc_id", "version", "text", "matches").mapInPandas(
-        run, f"doc_id {kind}, version int, spans array<struct<start:int,stop:int,words:int>>"
-    )
+                first = words.first
+                start, mark, lines = p.winnow(words.hash, first)
+                again = p.repeated_inside(words.hash, first, start, mark, lines)
+                chosen = np.unique(mark[~again])
+                size = np.diff(first)
+                whole = np.flatnonzero(size >= p.min_words)
+                line, n_words = _short_lines(words, p, line_words)
+                own = np.unique(np.searchsorted(first, start[again], side="right") - 1)
+                owner_of = lambda at: np.searchsorted(first, at, side="right") - 1  # noqa: B023, E731
+                owner = np.concatenate([owner_of(chosen), whole, owner_of(line), own])
+                parts = [(chosen, lines[chosen] if len(chosen) else np.zeros(0, _U)), (first[whole], mix(span_hashes(words.hash, first[whole], first[whole + 1]) + size[whole].astype(_U)))]
+                parts += [(line, mix(span_hashes(words.hash, line, line + n_words) + n_words.astype(_U))), (first[own], np.zeros(len(own), _U))]
+                pos = np.concatenate([x for x, _ in parts]) - first[owner]
+                kind = np.repeat(np.arange(4, dtype=np.int8), [len(x) for x, _ in parts])
+                value = np.concatenate([x for _, x in parts]).view(np.int64)
+                taken = pa.array(owner + lo)
+                columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(pos.astype(np.int32)), pa.array(kind), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "pos", "kind", "mark"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.dtypes[0][1]}, version int, pos int, kind tinyint, mark long")
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs twice or more, and a column hot.
 
-    Keys that hold more than 1/(4 n) of all rows (n partitions) are fewer than 4 n: they are broadcast, so their rows are never dealt by
-    key; all others are too few for a hot task."""
-    parts, n = 4 * partitions_of(rows.sparkSession), rows.count()
+    Keys that hold more than 1/(4 n) of these rows (n partitions) are fewer than 4 n: they are broadcast, so their rows are never dealt
+    by key; all others are too few for a hot task."""
+    parts = 4 * partitions_of(rows.sparkSession)
     often = durable(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1"))
-    hot, cold = often.where(F.col("c") * parts > n).select(key), often.where(F.col("c") * parts <= n).select(key)
+    most = (often.agg(F.sum("c")).first()[0] or 0) / parts
+    hot, cold = often.where(F.col("c") > most).select(key), often.where(F.col("c") <= most).select(key)
     common = rows.join(F.broadcast(hot), key).withColumn("hot", F.lit(True))
     others = rows.join(F.broadcast(hot), key, "left_anti").join(cold.hint("shuffle_hash"), key).withColumn("hot", F.lit(False))
     return durable(common.unionByName(others))
 
 
-def _after_first(places: DataFrame, key: str) -> DataFrame:
-    """(doc_id, version, pos, d0, v0, p0): all places (doc_id, version, pos) of a key but its first, and that first one."""
+def _later(places: DataFrame, key: str) -> DataFrame:
+    """(doc_id, version, pos) of all places of a key but its first, in the order of these columns; counts are combined before the shuffle."""
     repeated = _repeated(places, key)
-    earliest = F.min(F.struct("doc_id", "version", "pos")).alias("first")
 
-    def later(part: DataFrame, spread: bool) -> DataFrame:
-        first = part.groupBy(key).agg(earliest).select(key, F.col("first.doc_id").alias("d0"), F.col("first.version").alias("v0"), F.col("first.pos").alias("p0"))
+    def of(part: DataFrame, spread: bool) -> DataFrame:
+        first = part.groupBy(key).agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"))
         joined = part.join(F.broadcast(first) if spread else first, key)
-        return joined.where("NOT (doc_id = d0 AND version = v0 AND pos = p0)").select("doc_id", "version", "pos", "d0", "v0", "p0")
+        return joined.where("struct(doc_id, version, pos) <> first").select("doc_id", "version", "pos")
 
-    return later(repeated.where("hot"), True).unionByName(later(repeated.where("NOT hot"), False))
+    return of(repeated.where("hot"), True).unionByName(of(repeated.where("NOT hot"), False))
 
 
-def _matches(texts: DataFrame, p: _Passages) -> DataFrame:
-    """(doc_id, version, matches): the runs of fingerprints that a text shares with earlier text, with the earlier text's words around."""
-    kind = texts.dtypes[0][1]
-    hits = _after_first(durable(_fingerprints(texts, p)), "fp")
+def _extended(asked: DataFrame, p: Passages) -> DataFrame:
+    """For texts with places (of fingerprints): a row for each, with the fingerprint, where its first passage begins, and the hashes of all its
+    passages, which extend it to both sides."""
 
-    pair = ["doc_id", "version", "d0", "v0", "shift"]
-    hits = hits.withColumn("shift", F.col("pos") - F.col("p0"))
-    along = Window.partitionBy(*pair).orderBy("pos")  # at most a text's fingerprints
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(along) > p.width).cast("int"), F.lit(1))
-    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(along))
-    runs = durable(runs.groupBy(*pair, "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last")))
-
-    ends = F.array(
-        F.struct((F.col("first") - F.col("shift")).alias("pos"), F.lit(False).alias("ahead")),
-        F.struct((F.col("last") - F.col("shift")).alias("pos"), F.lit(True).alias("ahead")),
-    )
-    places = runs.select("d0", "v0", F.explode(ends).alias("e")).distinct()
-    asked = places.groupBy(F.col("d0").alias("doc_id"), F.col("v0").alias("version")).agg(F.collect_list("e").alias("asked"))
-    around = _contexts(_only(texts, asked).select("doc_id", "version", "text", "asked"), p, kind)
-    sided = runs.select("doc_id", "version", "d0", "v0", "first", "last", F.posexplode(ends).alias("side", "e"))
-    sided = sided.select("doc_id", "version", "first", "last", "d0", "v0", F.col("e.pos").alias("p0"), F.col("e.ahead").alias("ahead"))
-    matched = durable(
-        sided.join(around, ["d0", "v0", "p0", "ahead"])
-        .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("first", "last", "ahead", "words")).alias("matches"))  # at most twice a text's fingerprints
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in pieces(texts):
+                words = WordBatch(texts[lo:hi], fold=False)
+                start, mark, lines = p.winnow(words.hash, words.first)
+                places = batch.column(3).slice(lo, hi - lo)
+                wanted = np.zeros(len(words.hash), bool)
+                wanted[np.repeat(words.first[:-1], places.value_lengths().to_numpy()) + places.flatten().to_numpy()] = True
+                kept = wanted[mark]
+                start, mark = start[kept], mark[kept]
+                if not len(start):
+                    continue
+                runs = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+                owner = np.searchsorted(words.first, mark[runs], side="right") - 1
+                taken = pa.array(owner + lo)
+                held = pa.ListArray.from_arrays(pa.array(np.r_[runs, len(start)].astype(np.int32)), pa.array(p.hashes(words.hash, start).view(np.int64)))
+                columns = [pa.array(lines[mark[runs]].view(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)]
+                columns += [pa.array((start[runs] - words.first[owner]).astype(np.int32)), held]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "doc_id", "version", "start", "passages"])
+
+    return asked.mapInArrow(run, f"mark long, doc_id {asked.dtypes[0][1]}, version int, start int, passages array<long>")
+
+
+def _compare(held: pa.Table) -> pa.RecordBatch:
+    """Of whole groups of rows with one fingerprint, in order: (doc_id, version, start, mask); bit j of a row's mask says that an
+    earlier row has its passage j."""
+    rows = held.combine_chunks().to_batches()[0]
+    passages, sizes = rows.column(4).flatten().to_numpy(), rows.column(4).value_lengths().to_numpy().astype(np.int64)
+    order = np.argsort(passages, kind="stable")
+    again = np.zeros(len(passages), bool)
+    again[order[1:]] = passages[order[1:]] == passages[order[:-1]]
+    begin = np.cumsum(sizes) - sizes
+    mask = np.add.reduceat(again.astype(np.int64) << (np.arange(len(passages)) - np.repeat(begin, sizes)), begin)
+    taken = pa.array(np.flatnonzero(mask))
+    return pa.RecordBatch.from_arrays([*(rows.column(c).take(taken) for c in (1, 2, 3)), pa.array(mask[mask != 0])], ["doc_id", "version", "start", "mask"])
+
+
+def _compare_groups(rows: DataFrame) -> DataFrame:
+    """rows, sorted by fingerprint inside each partition, a group at a time: a worker holds a batch and the group that runs over its end."""
 
-    # Where a match ends, passages that go on may be repeats of a text between the first occurrence and this one: those whose branch
-    # others take too get a star of their own, on the whole passage.
-    ends = durable(_branches(_only(texts, matched).select("doc_id", "version", "text", "matches"), p, kind))
-    taken = _repeated(ends, "branch")
-    passages = taken.select("doc_id", "version", F.posexplode("passages").alias("n", "passage"), "pos")
-    passages = durable(passages.select("doc_id", "version", (F.col("pos") + F.col("n")).alias("pos"), "passage").distinct())
-    whole = F.struct(
-        F.col("pos").alias("first"), (F.col("pos") + p.min_words - p.width).alias("last"), F.lit(True).alias("ahead"), F.lit(b"").alias("words")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            marks = batch.column(0).to_numpy()
+            if not len(marks):
+                continue
+            cut = int(np.searchsorted(marks, marks[-1]))  # where the last group begins
+            before = open_ + ([batch.slice(0, cut)] if cut else [])
+            if cut or (open_ and open_[-1].column(0)[0].as_py() != marks[0]):
+                if before:
+                    yield _compare(pa.Table.from_batches(before))
+                open_ = []
+            open_.append(batch.slice(cut))
+        if open_:
+            yield _compare(pa.Table.from_batches(open_))
+
+    return rows.mapInArrow(run, f"doc_id {rows.dtypes[1][1]}, version int, start int, mask long")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_words: int | None = None) -> DataFrame:
+    """What has an earlier occurrence, one row per text that holds any: doc_id, version (a hash of the text), copy (the whole text has one),
+    itself (some passages have one in the same text), masks (passages: start of the first, and a bit for each word on) and lines (first words).
+
+    Earlier is by doc_id, then version, then place; words are compared, not layout. A passage is any min_words words. Of the
+    passages of a text that are new in it, winnowing keeps the fingerprints (Passages). Fingerprints that occur once are dropped; counts
+    are combined before the shuffle. Copies of whole texts go by one digest. For all others each fingerprint is extended to
+    both sides: the hashes of the passages that it stands for are sorted by fingerprint, and a task looks through one group at a time for
+    passages with an earlier occurrence. Fingerprints that hold a large share of the rows are not grouped: their passages are
+    rows of their own whose first occurrence is an aggregate. So exactly the passages with an earlier occurrence are found, whoever has it.
+    """
+    bound_batches(docs.sparkSession)
+    p = Passages(min_words)
+    texts = _versions(docs, id_col, text_col)
+    marks = durable(_marks(texts, p, line_words))
+    of_kind = lambda kind: marks.where(F.col("kind") == kind).select("doc_id", "version", "pos", "mark")
+    text = ["doc_id", "version"]
+
+    copies = _later(of_kind(WHOLE_TEXT), "mark").select(*text).distinct()
+    copies = durable(copies.withColumn("copy", F.lit(True)))
+    met = _repeated(of_kind(FINGERPRINT), "mark")
+    hot = durable(met.where("hot").select("mark").distinct())  # fewer than 4 n rows
+    places = met.join(copies.hint("shuffle_hash"), text, "left_anti").groupBy(*text).agg(F.collect_set("pos").alias("places"))  # at most a text's fingerprints
+    asked = _only(texts, durable(places)).select("doc_id", "version", "text", "places")
+    held = durable(_extended(asked, p))
+
+    grouped = held.join(F.broadcast(hot), "mark", "left_anti").select("mark", *text, "start", "passages")
+    grouped = grouped.repartition(partitions_of(docs.sparkSession), "mark").sortWithinPartitions("mark", *text, "start")
+    common = held.join(F.broadcast(hot), "mark").select(*text, "start", F.posexplode("passages").alias("n", "passage"))
+    common = common.select(*text, (F.col("start") + F.col("n")).alias("pos"), "passage")
+    found = _compare_groups(grouped).unionByName(_later(common, "passage").select(*text, F.col("pos").alias("start"), F.lit(1).cast("long").alias("mask")))
+
+    kinds = {"copy": "boolean", "itself": "boolean", "mask": "struct<start:int,mask:bigint>", "line": "int"}
+    row = lambda df, **own: df.select(*text, *(own.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+    parts = [
+        row(copies, copy=F.lit(True)),
+        row(of_kind(REPEATS_ITSELF), itself=F.lit(True)),
+        row(found, mask=F.struct("start", "mask")),
+        row(_later(of_kind(LINE), "mark"), line=F.col("pos")),
+    ]
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return everything.groupBy(*text).agg(
+        F.coalesce(F.bool_or("copy"), F.lit(False)).alias("copy"),
+        F.coalesce(F.bool_or("itself"), F.lit(False)).alias("itself"),
+        F.collect_list("mask").alias("masks"),  # at most a text's passages
+        F.collect_set("line").alias("lines"),  # at most a text's lines
     )
-    more = _after_first(passages, "passage").groupBy("doc_id", "version").agg(F.collect_list(whole).alias("more"))
-    all_matches = F.concat("matches", F.coalesce("more", F.array().cast(matched.schema["matches"].dataType)))
-    return matched.join(more, ["doc_id", "version"], "left").select("doc_id", "version", all_matches.alias("matches"))
 
 
-def _extent(own: np.ndarray, m, p: _Passages) -> tuple[int, int]:
-    """First word and end of a match, extended on its side as far as the earlier text's words go on alike."""
-    first, stop = m["first"], m["last"] + p.width
-    beyond = np.frombuffer(m["words"], _U)
-    if m["ahead"]:
-        return first, stop + _same(own[stop:], beyond)
-    return first - _same(own[max(0, first - len(beyond)) : first][::-1], beyond), stop
-
-
-def _branches(sources: DataFrame, p: _Passages, kind: str) -> DataFrame:
-    """For every end of a match, its branch (the line that holds the first word beyond), and start and hashes of the passages of min_words
-    words that hold both a fingerprint of the match and that word: those of which the match's earlier text says nothing."""
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    names = ["doc_id", "version", "branch", "pos", "passages"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
-            docs, versions, texts, matches = (batch.column(c).to_pylist() for c in range(4))
-            for lo, hi in pieces(texts):
-                words, found = WordBatch(texts[lo:hi], fold=False), []
-                lines, passages = (mix(span_hashes(words.hash, at, at + n)).view(np.int64) for n in (p.width, p.min_words) for at in [np.arange(len(words.hash) - n + 1)])
-                for i in range(lo, hi):
-                    a, b = words.first[i - lo], words.first[i - lo + 1]
-                    own = words.hash[a:b]
-                    for m in matches[i]:
-                        first, stop = _extent(own, m, p)
-                        if m["ahead"]:
-                            start, last, branch = max(0, stop - p.min_words + 1), m["last"], stop - p.width + 1
-                        else:
-                            start, last, branch = max(0, m["first"] - p.window + 1), first - 1, first - 1
-                        last = min(last, len(own) - p.min_words)
-                        if start <= last:  # the lowest bit tells the sides apart
-                            found.append((docs[i], versions[i], lines[a + branch] & -2 | m["ahead"], start, passages[a + start : a + last + 1]))
-                if found:
-                    columns = zip(zip(*found, strict=True), [batch.column(0).type, *types], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names)
-
-    return sources.mapInArrow(run, f"doc_id {kind}, version int, branch long, pos int, passages array<long>")
-
-
-def _spans(words: WordBatch, a: int, b: int, offset: int, matches, p: _Passages) -> list[tuple[int, int, int]]:
-    """(start byte, stop byte, words) of the stretches of text a:b that the matches cover, of min_words words and more."""
-    own = words.hash[a:b]
-    covered = np.zeros(len(own) + 1, np.int32)
-    for m in matches:
-        first, stop = _extent(own, m, p)
-        covered[first] += 1
-        covered[stop] -= 1
-    inside = np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)
-    edges = np.flatnonzero(np.diff(inside))
-    return [
-        (int(words.start[a + s] - offset), int(words.end[a + e - 1] - offset), int(e - s))
-        for s, e in zip(edges[::2], edges[1::2], strict=True)
-        if e - s >= p.min_words
-    ]
+def _covered(words: WordBatch, p: Passages, line_words: int | None, copy: np.ndarray, itself: np.ndarray, masks: pa.ListArray, lines: pa.ListArray) -> np.ndarray:
+    """Which words of some texts lie in passages or lines that have an earlier occurrence; a text's copy, itself, masks and lines as in repeats."""
+    first, n = words.first, len(words.hash)
+    of_copy = np.repeat(copy, np.diff(first))
+    edges = np.zeros(n + 1, np.int64)
+    flat = masks.flatten()
+    start = flat.field(0).to_numpy() + np.repeat(first[:-1], masks.value_lengths().to_numpy())
+    bits = flat.field(1).to_numpy()
+    begin = np.concatenate([np.zeros(0, np.int64), *(start[(bits >> j) & 1 > 0] + j for j in range(p.window))])
+    if copy.any() or itself.any():
+        all_, mark, hashes = p.winnow(words.hash, first)
+        again = p.repeated_inside(words.hash, first, all_, mark, hashes) if itself.any() else np.zeros(len(all_), bool)
+        begin = np.concatenate([begin, all_[again | of_copy[all_]]])
+    np.add.at(edges, begin, 1)
+    np.add.at(edges, begin + p.min_words, -1)
+    line, size = _short_lines(words, p, line_words)
+    gone = np.zeros(n + 1, bool)
+    gone[lines.flatten().to_numpy() + np.repeat(first[:-1], lines.value_lengths().to_numpy())] = True
+    own = gone[line] | of_copy[line] if len(line) else gone[:0]
+    np.add.at(edges, line[own], 1)
+    np.add.at(edges, line[own] + size[own], -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _spans(words: WordBatch, covered: np.ndarray, i: int) -> list[tuple[int, int, int]]:
+    """(start byte, stop byte, words) of the covered stretches of text i."""
+    a, b = words.first[i], words.first[i + 1]
+    edges = a + np.flatnonzero(np.diff(np.r_[False, covered[a:b], False].astype(np.int8)))
+    return [(int(words.start[s] - words.offset[i]), int(words.end[e - 1] - words.offset[i]), int(e - s)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,18 +293,18 @@ def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _hash_values(wanted: DataFrame, id_col: str) -> DataFrame:
     """The hash values, at most 2**19 of them, that ids of wanted have: a bounded filter that may be broadcast."""
-    return wanted.select(_hash_value(id_col).alias("h")).distinct()
+    return wanted.select(_hash_value(F.col(id_col)).alias("h")).distinct()
 
 
-def _hash_value(id_col: str):
-    return F.pmod(F.xxhash64(id_col), F.lit(1 << 19)).cast("int")
+def _hash_value(id_):
+    return F.pmod(F.xxhash64(id_), F.lit(1 << 19)).cast("int")
 
 
 def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """texts joined with wanted on (doc_id, version), rows that are alike once. The texts are first filtered by a hash of the id,
     so that a small share of wanted texts means a small shuffle."""
     few = _hash_values(wanted, "doc_id")
-    near = texts.withColumn("h", _hash_value("doc_id")).join(F.broadcast(few), "h", "left_semi").drop("h")
+    near = texts.withColumn("h", _hash_value(F.col("doc_id"))).join(F.broadcast(few), "h", "left_semi").drop("h")
     return near.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
 
 
@@ -304,45 +319,50 @@ def cut_out(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, drop_empty: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_words: int | None = None, drop_empty: bool = False
 ) -> DataFrame:
-    """docs, all columns, with later repeats of at least min_words words deleted from the text; plus words_cut, bytes_cut.
+    """docs, all columns, with later repeats deleted from the text; plus words_cut, bytes_cut.
 
-    The first occurrence always stays. With drop_empty, rows of whose text nothing is left go. Null texts and rows with
-    a null id are returned as they are. Rows with the same id and text count as one occurrence and stay or change
-    together. Shorter texts than min_words have no repeats. A row's other columns are untouched; columns
+    Every word goes that lies in a passage of min_words words with an earlier occurrence, wherever in a line it begins, and, with
+    line_words, in a physical line of line_words words and more with an earlier occurrence. No others go, and the first
+    occurrence always stays; occurrences are those of the given texts (see repeats). With drop_empty, rows of whose text nothing
+    is left go. Null texts and rows with a null id are returned as they are. Rows with the same id and text count as one
+    occurrence and stay or change together. A row's other columns are untouched, whatever their names; columns
     named words_cut or bytes_cut are replaced. An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
     docs = docs.drop("words_cut", "bytes_cut")
-    p = _Passages(min_words)
-    matched = durable(_matches(_versions(docs, id_col, text_col), p))
-    few = F.broadcast(_hash_values(matched, "doc_id").withColumnRenamed("h", "_h"))
-    keyed = docs.withColumn("_h", _hash_value(id_col))
-    far = keyed.join(few, "_h", "left_anti").drop("_h").withColumns({"words_cut": F.lit(0), "bytes_cut": F.lit(0)})
-    theirs = matched.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_v"), "matches")
-    near = keyed.join(few, "_h", "left_semi").drop("_h").withColumn("_version", F.hash(text_col))
-    near = near.join(theirs, (F.col(id_col) == F.col("_doc")) & (F.col("_version") == F.col("_v")), "left").select(*docs.columns, "matches")
+    p = Passages(min_words)
+    found = durable(repeats(docs, id_col, text_col, min_words, line_words))
+    few = F.broadcast(_hash_values(found, "doc_id"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    id_, text = F.col("row")[id_col], F.col("row")[text_col]
+    keyed = keyed.withColumn("h", _hash_value(id_))
+    far = keyed.join(few, "h", "left_anti").select("row.*", F.lit(0).alias("words_cut"), F.lit(0).alias("bytes_cut"))
+    near = keyed.join(few, "h", "left_semi").select("row", id_.alias("doc_id"), F.hash(text).alias("version"))
+    near = near.join(found, ["doc_id", "version"], "left").drop("doc_id", "version")
     schema = T.StructType([*docs.schema.fields, T.StructField("words_cut", T.IntegerType()), T.StructField("bytes_cut", T.IntegerType())])
-    at = docs.columns.index(text_col)
+    names, at = [*docs.columns, "words_cut", "bytes_cut"], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
-            texts, matches = batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            texts = columns[at].to_pylist()
             words_cut, bytes_cut = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-            with_matches = [i for i, m in enumerate(matches) if m]
-            for lo, hi in pieces([texts[i] for i in with_matches]):
-                rows = with_matches[lo:hi]
+            touched = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            for lo, hi in pieces([texts[i] for i in touched]):
+                rows = touched[lo:hi]
                 words = WordBatch([texts[i] for i in rows], fold=False)
+                copy, itself, masks, lines = (batch.column(c).take(pa.array(rows)) for c in (1, 2, 3, 4))
+                copy, itself = (x.to_numpy(zero_copy_only=False).astype(bool) for x in (copy, itself))
+                covered = _covered(words, p, line_words, copy, itself, masks, lines)
                 for k, i in enumerate(rows):
-                    if spans := _spans(words, words.first[k], words.first[k + 1], words.offset[k], matches[i], p):
+                    if spans := _spans(words, covered, k):
                         texts[i] = cut_out(texts[i], spans)
                         words_cut[i], bytes_cut[i] = sum(s[2] for s in spans), sum(s[1] - s[0] for s in spans)
-            columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(docs_columns))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words_cut), pa.array(bytes_cut)], [*docs_columns, "words_cut", "bytes_cut"])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words_cut), pa.array(bytes_cut)], names)
 
-    docs_columns = docs.columns
-    out = near.mapInArrow(run, schema)
+    out = near.select("row", "copy", "itself", "masks", "lines").mapInArrow(run, schema)
     if drop_empty:
-        out = out.where((F.col("words_cut") == 0) | (F.col(text_col) != ""))
+        out = out.where((F.col("words_cut") == 0) | (F.col(f"`{text_col}`") != ""))
     return out.unionByName(far)

@@ -48,7 +48,7 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    cut = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50, line_words=4)
     return cut.select("doc_id", "words_cut", "bytes_cut", F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.shared import bound_batches, durable, partitions_of
+from wickerwork.llm.shared import bound_batches, durable, partitions_of, split_by_weight
 from wickerwork.llm.words import WordBatch, mix, pieces, span_hashes
 
 _U = np.uint64
@@ -116,17 +116,18 @@ def _marks(texts: DataFrame, p: Passages, line_words: int | None) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {texts.dtypes[0][1]}, version int, pos int, kind tinyint, mark long")
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs twice or more, and a column hot.
+def _never_empty(keys: DataFrame) -> DataFrame:
+    """keys and 0, so that plans stay alike whether there are hot keys or not; rows of a key here are only treated as hot ones."""
+    return keys.where(F.col(keys.columns[0]) != 0).union(keys.sparkSession.range(1).select(F.lit(0).cast("long")))
+
 
-    Keys that hold more than 1/(4 n) of these rows (n partitions) are fewer than 4 n: they are broadcast, so their rows are never dealt
-    by key; all others are too few for a hot task."""
-    parts = 4 * partitions_of(rows.sparkSession)
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs twice or more, and a column hot: those of hot keys (see split_by_weight) are never dealt by key."""
     often = durable(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1"))
-    most = (often.agg(F.sum("c")).first()[0] or 0) / parts
-    hot, cold = often.where(F.col("c") > most).select(key), often.where(F.col("c") <= most).select(key)
-    common = rows.join(F.broadcast(hot), key).withColumn("hot", F.lit(True))
-    others = rows.join(F.broadcast(hot), key, "left_anti").join(cold.hint("shuffle_hash"), key).withColumn("hot", F.lit(False))
+    hot, cold = split_by_weight(often, "c")
+    hot = F.broadcast(_never_empty(hot.select(key)))
+    common = rows.join(hot, key).withColumn("hot", F.lit(True))
+    others = rows.join(hot, key, "left_anti").join(cold.select(key).hint("shuffle_hash"), key).withColumn("hot", F.lit(False))
     return durable(common.unionByName(others))
 
 
@@ -227,14 +228,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     copies = _later(of_kind(WHOLE_TEXT), "mark").select(*text).distinct()
     copies = durable(copies.withColumn("copy", F.lit(True)))
     met = _repeated(of_kind(FINGERPRINT), "mark")
-    hot = durable(met.where("hot").select("mark").distinct())  # fewer than 4 n rows
+    hot = F.broadcast(_never_empty(durable(met.where("hot").select("mark").distinct())))  # fewer than 4 n rows
     places = met.join(copies.hint("shuffle_hash"), text, "left_anti").groupBy(*text).agg(F.collect_set("pos").alias("places"))  # at most a text's fingerprints
     asked = _only(texts, durable(places)).select("doc_id", "version", "text", "places")
     held = durable(_extended(asked, p))
 
-    grouped = held.join(F.broadcast(hot), "mark", "left_anti").select("mark", *text, "start", "passages")
+    grouped = held.join(hot, "mark", "left_anti").select("mark", *text, "start", "passages")
     grouped = grouped.repartition(partitions_of(docs.sparkSession), "mark").sortWithinPartitions("mark", *text, "start")
-    common = held.join(F.broadcast(hot), "mark").select(*text, "start", F.posexplode("passages").alias("n", "passage"))
+    common = held.join(hot, "mark").select(*text, "start", F.posexplode("passages").alias("n", "passage"))
     common = common.select(*text, (F.col("start") + F.col("n")).alias("pos"), "passage")
     found = _compare_groups(grouped).unionByName(_later(common, "passage").select(*text, F.col("pos").alias("start"), F.lit(1).cast("long").alias("mask")))
 

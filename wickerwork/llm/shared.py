@@ -50,6 +50,13 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_by_weight(groups: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
+    """groups (one row a key, count its rows) as (hot, cold). Hot keys hold more than 1/(4 n) of all counted rows, n the shuffle partitions:
+    so there are fewer than 4 n, a proven bound for a broadcast, and a cold key is too small for a hot task."""
+    share = (groups.agg(F.sum(count)).first()[0] or 0) / (4 * partitions_of(groups.sparkSession))
+    return groups.where(F.col(count) > share), groups.where(F.col(count) <= share)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Texts of one byte a character take the fast built-in."""
     one_byte = F.octet_length(text) == F.length(text)

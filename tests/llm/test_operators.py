@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -13,7 +14,7 @@ from wickerwork.llm.ann import nearest_neighbours
 from wickerwork.llm.bpe import ByteBPE, bpe_decode, bpe_encode
 from wickerwork.llm.hmm_lm import HMM, Counts, cut_pieces, expect, log_likelihoods, score_documents
 from wickerwork.llm.mixing import in_mixed_order, mix_sources
-from wickerwork.llm.queries import QUERIES, vocabulary
+from wickerwork.llm.queries import QUERIES, SQL, vocabulary
 from wickerwork.llm.sharding import shard_by_size
 from wickerwork.llm.toxicity import FEATURES, Lexicon, features, fit_toxicity
 
@@ -164,6 +165,72 @@ def test_salvage(spark, tmp_path, zipped):
     assert sum(r.length for r in got) == len(data)
 
 
+def _gz(data):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def _ids(data):
+    return [x["record_id"].removeprefix("urn:page:") for x in warc.salvage(data) if x["kind"] == "record"]
+
+
+def test_salvage_decides_at_every_place():
+    zipped_body = [_plain(i, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + _gz(b"hello %d" % i)) for i in range(5)]
+    assert _ids(b"".join(zipped_body)) == ["0", "1", "2", "3", "4"]
+    assert all(x["kind"] == "record" for x in warc.salvage(b"".join(zipped_body)))
+    damaged = zipped_body[2].replace(b"Content-Length: ", b"Content-Length: 9")
+    found = list(warc.salvage(b"".join(zipped_body[:2]) + damaged + b"".join(zipped_body[3:])))
+    assert [x["kind"] for x in found] == ["record", "record", "gap", "record", "record"] and found[2]["length"] == len(damaged)
+    mixed = _gz(_plain(0, b"a")) + _plain(1, b"b") + b"noise" + _gz(_plain(2, b"c") + _plain(3, b"d")) + _plain(4, b"e")
+    assert _ids(mixed) == ["0", "1", "2", "3", "4"]
+    assert [(x["offset"], x["length"]) for x in warc.salvage(mixed) if x["kind"] == "gap"] == [(mixed.index(b"noise"), 5)]
+
+
+def test_salvage_keeps_what_a_broken_member_still_holds():
+    rng = np.random.default_rng(3)
+    many = [_plain(i, rng.bytes(3000)) for i in range(20)]
+    member = bytearray(_gz(b"".join(many)))
+    for damaged in (bytes(member[:-6]), bytes(member[: len(member) * 3 // 4]), bytes(member[:-8]) + b"\0" * 8):
+        got = _ids(damaged + _gz(_plain(99, b"z")))
+        whole = 20 if len(damaged) > len(member) - 10 else 14
+        assert got[-1] == "99" and got[:-1] == [str(i) for i in range(len(got) - 1)] and len(got) - 1 >= whole
+    member[len(member) // 2] ^= 0xFF
+    got = _ids(bytes(member) + _plain(98, b"y"))
+    assert got[-1] == "98" and len(got) >= 9
+    assert list(warc.salvage(b"")) == [] and [x["kind"] for x in warc.salvage(b"\x1f\x8b\x08junk")] == ["gap"]
+
+
+def test_warc_pages_with_one_id_and_different_payloads(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (2, "c"), (1, "a")] + [(10 + i, None) for i in range(40)]
+    pages = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages).collect())
+    first = {}
+    for i, t in sorted((i, t or "") for i, t in rows):
+        first.setdefault(t, i)
+    want = [(i, warc.sha1_base32((t or "").encode()), *(("response", 0) if first[t or ""] == i else ("revisit", first[t or ""]))) for i, t in rows]
+    assert got == sorted(want)
+
+
+def test_warc_files_have_a_bound(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, f"{i} " * 50) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_warc(pages, f"file://{tmp_path}/w", max_bytes=5000).collect()
+    assert len(files) > 3 and sum(f.records for f in files) == 200 and all(f.bytes < 6000 for f in files)
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").where("kind = 'record'").count() == 200
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cursor = con.execute(SQL[name])
+    columns = [c[0] for c in cursor.description]
+    df = QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, df.select(*columns).collect()), key=key) == sorted(map(tuple, cursor.fetchall()), key=key)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.normal(c, 1, (250, 16)) for c in rng.normal(0, 2, (5, 16))]).astype(np.float32)

@@ -121,6 +121,13 @@ SELECT b.doc_id, b.source, b.b AS mix_block, b.b // b.e * 400 + sl.slot AS mix_s
   (list_sum(list_transform(range(1, len(sl.es) + 1), lambda i: least(sl.ns[i], 16 * (b.b // b.e * sl.es[i] + sl.before[i]))))
     + b.r % 16)::BIGINT AS mix_position
 FROM blocks b JOIN slots sl ON sl.s = b.s AND sl.nth = b.b % b.e
+""",
+    "op9_warc": """
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(sha1(t), 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type, nullif(origin, page_id) AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS t, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS origin FROM pages)
 """,
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,

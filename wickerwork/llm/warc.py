@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerwork.llm.shared import bound_batches, durable, shared_dir
+from wickerwork.llm.shared import bound_batches, durable, shared_dir, split_by_weight
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
+_BEGINNING = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -31,11 +32,14 @@ def _member(headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
 
 
 def revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page with a smaller id has too. Narrow: ids and digests only."""
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("d"), F.octet_length(payload).alias("n"))
-    keyed = keyed.where(F.col("n") >= least_bytes).where("page_id IS NOT NULL")
-    groups = keyed.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1")
-    return keyed.join(groups, "d").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    """(page_id, digest, refers_to) of the pages whose payload a page with a smaller id has too. Narrow: ids and digests only; payloads that
+    a large share of the pages have, such as the empty one, are joined by a broadcast of bounded size."""
+    keyed = pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
+    keyed = keyed.where(F.col("n") >= least_bytes).where("page_id IS NOT NULL").select("page_id", "digest")
+    groups = durable(keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1"))
+    hot, cold = split_by_weight(groups, "c")
+    met = keyed.join(F.broadcast(hot), "digest").unionByName(keyed.join(cold, "digest"))
+    return met.where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_warc(
@@ -46,12 +50,13 @@ def write_warc(
     payload_col: str = "html",
     least_bytes: int = 0,
     level: int = 3,
+    max_bytes: int = 1_000_000_000,
 ) -> DataFrame:
-    """Write one record a page as gzip members, one file a partition, below path (a folder that all executors share);
+    """Write one record a page as gzip members, files of at most about max_bytes, below path (a folder that all executors share);
     returns (file, records, bytes) of what was written, and has written when it returns.
 
     Of pages with equal payloads of at least least_bytes bytes the one with the smallest id is a response record, the
-    others are revisit records without payload that name it. A file gets its final name by a rename when it is
+    others are revisit records without payload that name it; a page counts by its id and its payload. A file gets its final name by a rename when it is
     complete; a task that runs again makes the same file again, so a lost executor leaves no half or double one.
 
     Null payloads are empty. A page with a null id is a response of its own, 'urn:page:null'. Pages with the same id
@@ -60,10 +65,10 @@ def write_warc(
     """
     bound_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    known = revisits(pages, id_col, payload, least_bytes).select(F.col("page_id").alias("_id"), "refers_to")
+    known = revisits(pages, id_col, payload, least_bytes)
     rows = (
-        pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-        .join(known, F.col("page_id") == F.col("_id"), "left")
+        pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+        .join(known, ["page_id", "digest"], "left")
         .select("page_id", "url", F.encode("payload", "UTF-8").alias("payload"), "refers_to")
         .select(
             F.col("page_id").cast("string").alias("page_id"),
@@ -79,8 +84,16 @@ def write_warc(
 
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        name = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        part, records, size, out = f"{name}.{uuid.uuid4().hex}", 0, 0, None
+        part, records, size, out, made = "", 0, 0, None, []
+
+        def close() -> None:
+            nonlocal out, records, size
+            out.close()
+            name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{len(made):04d}.warc.gz"
+            store.move(part, name)
+            made.append((name, records, size))
+            records, size, out = 0, 0, None
+
         for batch in batches:
             for page_id, url, body, refers in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
@@ -90,13 +103,17 @@ def write_warc(
                 if refers is not None:
                     headers += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", _PROFILE)]
                 data = _member(headers, http if refers is not None else http + bytes(body), level)
-                out = out or store.open_output_stream(part)
+                if out is None:
+                    part = f"{folder}/{uuid.uuid4().hex}.unfinished"
+                    out = store.open_output_stream(part)
                 out.write(data)
                 records, size = records + 1, size + len(data)
+                if size >= max_bytes:
+                    close()
         if out:
-            out.close()
-            store.move(part, name)
-            yield pd.DataFrame({"file": [name], "records": [records], "bytes": [size]})
+            close()
+        if made:
+            yield pd.DataFrame(made, columns=["file", "records", "bytes"])
 
     return durable(rows.mapInPandas(run, "file string, records long, bytes long"))
 
@@ -145,27 +162,6 @@ def _one(data: bytes, at: int) -> tuple[dict, int] | str:
     }, stop + 4
 
 
-def salvage_plain(data: bytes, base: int = 0) -> Iterator[dict]:
-    """Records of uncompressed bytes; between them, for bytes that pass no check, gaps with offset, length, reason."""
-    at, bad, why = 0, None, ""
-    while at < len(data):
-        found = _one(data, at)
-        if isinstance(found, str):
-            if bad is None:
-                bad, why = at, found
-            following = _VERSION.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if bad is not None:
-            yield {"kind": "gap", "offset": base + bad, "length": at - bad, "reason": why}
-            bad = None
-        fields, end = found
-        yield {"kind": "record", "offset": base + at, "length": end - at, **fields}
-        at = end
-    if bad is not None:
-        yield {"kind": "gap", "offset": base + bad, "length": len(data) - bad, "reason": why}
-
-
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
     """The gzip member at `at` and its end, or None where it fails its checks."""
     unpacker, out, fed = zlib.decompressobj(31), [], at
@@ -178,35 +174,74 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), fed - len(unpacker.unused_data)) if unpacker.eof else None
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of a whole file, gzip members or plain. After a member or record that fails, reading goes on at the
-    next member that unpacks or the next version line that starts a valid record."""
-    if _MAGIC not in data[:1024] and _VERSION.search(data):
-        yield from salvage_plain(data)
-        return
-    view, at, bad = memoryview(data), 0, None
+def _inflate_some(data: memoryview, at: int) -> bytes:
+    """What the member at `at` unpacks to before it breaks off."""
+    unpacker, out, fed, step = zlib.decompressobj(31), [], at, 65536
+    while step and not unpacker.eof and fed < len(data):
+        before = unpacker.copy()
+        try:
+            out.append(unpacker.decompress(data[fed : fed + step]))
+            fed += step
+        except zlib.error:
+            unpacker, step = before, step // 16  # the good bytes before the bad one, down to single ones
+    return b"".join(out)
+
+
+def salvage_plain(data: bytes) -> Iterator[dict]:
+    """Records of bytes without gzip members; between them, for bytes that pass no check, gaps with offset, length, reason."""
+    yield from _salvage(data, _VERSION, lambda at: _one(data, at))
+
+
+def _salvage(data: bytes, beginning: re.Pattern, read) -> Iterator[dict]:
+    """read(at) gives (a record's fields or a list of findings, the end), or why there is nothing; then the next beginning is tried."""
+    at, bad, why = 0, None, ""
     while at < len(data):
-        member = _inflate(view, at) if data[at : at + 3] == _MAGIC else None
-        if member is None:
-            bad = at if bad is None else bad
-            following = data.find(_MAGIC, at + 1)
-            at = following if following >= 0 else len(data)
+        found = read(at)
+        if isinstance(found, str):
+            if bad is None:
+                bad, why = at, found
+            following = beginning.search(data, at + 1)
+            at = following.start() if following else len(data)
             continue
+        what, end = found
         if bad is not None:
-            yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": "no gzip member that unpacks"}
+            yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
             bad = None
-        plain, end = member
-        for found in salvage_plain(plain):
-            yield found | {"offset": at, "length": end - at}
+        for x in what if isinstance(what, list) else [{"kind": "record", **what}]:
+            yield x | {"offset": at, "length": end - at}
         at = end
     if bad is not None:
-        yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": "no gzip member that unpacks"}
+        yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": why}
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records and gaps of a whole file of gzip members, plain records, or both. After a check that fails, reading goes on at the next
+    place, member or version line, from which a valid record can be read; the bytes up to there are a gap. Members may hold several
+    records. Of a member that breaks off, the valid records before the break are kept; their offset is the member's and their
+    length reaches to the next member or version line, from which reading goes on."""
+    view = memoryview(data)
+
+    def read(at: int):
+        if not data.startswith(_MAGIC, at):
+            return _one(data, at)
+        member = _inflate(view, at)
+        findings = list(salvage_plain(member[0] if member else _inflate_some(view, at)))
+        records = [x for x in findings if x["kind"] == "record"]
+        if member and (records or not member[0]):
+            return findings, member[1]
+        if not records:
+            return "gzip member without a valid record" if member else "gzip member that does not unpack"
+        following = _BEGINNING.search(data, at + 1)
+        end = following.start() if following else len(data)
+        return [*records, {"kind": "gap", "reason": "gzip member that breaks off"}], end
+
+    yield from _salvage(data, _BEGINNING, read)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Records and gaps of all *.warc and *.warc.gz files below path: file, kind ('record' or 'gap'), offset, length, reason,
     record_type, record_id, target_uri, refers_to, payload_bytes, payload_digest[, payload]. A file is one task's
-    input; write_warc makes one a partition, so their size is that of a shuffle partition. Empty files give nothing."""
+    input and may hold up to 2 GB, Spark's bound for one value; write_warc starts another at 1 GB. Empty files give nothing."""
     names = ["file", "kind", "offset", "length", "reason", "record_type", "record_id", "target_uri", "refers_to", "payload_bytes", "payload_digest"]
     kinds = {"offset": "long", "length": "long", "payload_bytes": "long"}
     schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names) + (", payload binary" if with_payload else "")

@@ -8,15 +8,17 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wickerwork.llm import warc
 from wickerwork.llm.ann import nearest_neighbours
 from wickerwork.llm.bpe import ByteBPE, bpe_decode, bpe_encode
-from wickerwork.llm.hmm_lm import HMM, Counts, cut_pieces, expect, log_likelihoods, score_documents
+from wickerwork.llm.hmm_lm import HMM, Counts, Pieces, _endings, expect, log_likelihoods, score_documents
 from wickerwork.llm.mixing import in_mixed_order, mix_sources
 from wickerwork.llm.queries import QUERIES, SQL, vocabulary
-from wickerwork.llm.sharding import shard_by_size
+from wickerwork.llm.sharding import shard_by_size, write_shards
 from wickerwork.llm.toxicity import FEATURES, Lexicon, features, fit_toxicity
+from wickerwork.llm.words import WordBatch
 
 
 def test_mixing(spark):
@@ -76,28 +78,36 @@ def test_mixing_more_sources_than_400(spark, tmp_path):
 def test_sharding(spark):
     rng = np.random.default_rng(4)
     texts = ["w" * int(n) for n in rng.integers(0, 400, 900)] + ["hot text " * 9] * 500 + [None, None, "", "é" * 50, "x" * 30_000]
+    texts += [f"group {i} " * 40 for i in range(10) for _ in range(12)] + ["cut in rows " * 30] * 700 + [""] * 2000
     docs = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)] + [(None, "w", 1, "s"), (3, texts[3], 1, "s")], "doc_id long, text string, size int, shard string")
-    got = shard_by_size(docs, 8, ranges=64, group_share=0.1).collect()
+    got = shard_by_size(docs, 4).collect()
     assert len(got) == len(texts) + 2
-    by = defaultdict(list)
+    by, shards = defaultdict(list), defaultdict(set)
     for r in got:
         by[r.shard].append(r)
         if r.doc_id is not None:
             t = texts[r.doc_id] or ""
-            assert r.size == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode()) and r.law == "bytes"
+            shards[t].add(r.shard)
+            assert r.size == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode()) and r.law == "bytes" and r.grown_shard is None
     total = sum(r.size for r in got)
-    assert set(by) == set(range(8))
+    assert set(by) == set(range(4))
     for own in by.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
-        assert abs(sum(r.size for r in own) - total / 8) < 30_000
-    sizes = sorted(sum(r.size for r in own) for own in by.values())
-    assert sizes[4] < 1.2 * total / 8
-    small = defaultdict(set)
-    for r in got:
-        if r.doc_id is not None and (texts[r.doc_id] or "") != "hot text " * 9:
-            small[texts[r.doc_id] or ""].add(r.shard)
-    assert all(len(s) == 1 for s in small.values())
+        assert abs(sum(r.size for r in own) - total / 4) < total / 4 / 10
+    assert all(len(s) == 1 for t, s in shards.items() if t != "cut in rows " * 30)
+    assert total / 4 > 500 * 82 and total / 4 < 700 * 361 and len(shards["cut in rows " * 30]) > 1
     assert shard_by_size(docs.limit(0), 8).count() == 0
+    assert sum(r.size for r in shard_by_size(docs.limit(3), 8).collect()) == sum(len(t) + 1 for t in texts[:3])
+
+
+def test_written_shards_hold_every_row_in_order(spark, tmp_path):
+    rows = [(i % 50, f"t{i % 70} " * (i % 9), i) for i in range(400)] + [(None, None, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int")
+    write_shards(docs, 3, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(back.columns) == ["doc_id", "shard", "slot", "text"]
+    assert sorted(map(str, back.select("doc_id", "text", "slot").collect())) == sorted(map(str, docs.collect()))
+    assert back.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
 
 
 def test_bpe_equals_the_library(spark):
@@ -321,22 +331,43 @@ def test_baum_welch_raises_the_likelihood():
             s.append(rng.choice(6, p=source.emit[z]))
             z = rng.choice(2, p=source.move[z])
         sequences.append(np.array(s, np.uint16))
-    obs, length = cut_pieces(sequences)
-    assert length.sum() == sum(map(len, sequences))
+    tokens = sum(map(len, sequences))
     prior = np.full(6, 1 / 6)
     hmm, last = HMM.guess(2, prior, rng), -np.inf
-    rows = [o[:n].astype(np.uint16) for o, n in zip(obs, length, strict=True)]
     for _ in range(6):
-        now = log_likelihoods(hmm, rows).sum()
+        now = log_likelihoods(hmm, sequences).sum()
         assert now > last - 1.0
         last = now
         sums = Counts(np.zeros(2), np.zeros((2, 2)), np.zeros((2, 6)))
-        expect(hmm, obs, length, sums)
-        assert sums.emit.sum() == pytest.approx(length.sum()) and sums.start.sum() == pytest.approx(len(obs))
-        assert sums.move.sum() == pytest.approx(length.sum() - len(obs))
+        expect(hmm, Pieces.of(sequences), sums)
+        assert sums.emit.sum() == pytest.approx(tokens) and sums.start.sum() == pytest.approx(len(sequences))
+        assert sums.move.sum() == pytest.approx(tokens - len(sequences))
         hmm = sums.model(prior)
 
 
+@pytest.mark.parametrize("most", [1, 2, 5, 64, 1000])
+def test_expected_counts_are_those_of_uncut_sequences(most):
+    rng = np.random.default_rng(9)
+    hmm = _random_hmm(rng, 3, 5)
+    sequences = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 6, 4, 7, 0, 60, 5, 131)]
+    got, want = (Counts(np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))) for _ in range(2))
+    expect(hmm, Pieces.of(sequences, most), got)
+    for s in sequences:
+        forward, backward = np.zeros((len(s), 3)), np.ones((len(s), 3))
+        for t in range(len(s)):
+            forward[t] = (forward[t - 1] @ hmm.move if t else hmm.start) * hmm.emit[:, s[t]]
+        for t in range(len(s) - 2, -1, -1):
+            backward[t] = hmm.move @ (hmm.emit[:, s[t + 1]] * backward[t + 1])
+        for t in range(len(s)):
+            p = forward[t] * backward[t] / forward[-1].sum()
+            want.emit[:, s[t]] += p
+            if t:
+                want.move += hmm.move * np.outer(forward[t - 1], hmm.emit[:, s[t]] * backward[t]) / forward[-1].sum()
+            else:
+                want.start += p
+    assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
+
+
 def test_language_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(5001, None), (5002, ""), (5003, "The x the ÉÉ"), (None, "the of")], "doc_id long, text string")).withColumn("h", docs.doc_id)
@@ -348,15 +379,37 @@ def test_language_model(spark):
         if not h:
             count.update([*t, None])
     n, v = sum(count.values()), len(count)
-    got = {r.doc_id: r for r in score_documents(docs, local_words=500, own_classes=100, buckets=64).collect()}
+    trace = []
+    got = {r.doc_id: r for r in score_documents(docs, local_words=500, own_classes=100, buckets=64, trace=trace).collect()}
     assert len(got) == len(rows)
+    vocabulary = sorted({x for t in tokens for x in t})
+    batch = WordBatch([" ".join(vocabulary)], fold=True)
+    hashed, ending = dict(zip(vocabulary, batch.hash.view(np.int64).tolist(), strict=True)), dict(zip(vocabulary, _endings(batch, 64).tolist(), strict=True))
+    own = {w: i for i, w in enumerate(sorted((w for w in vocabulary if count[w]), key=lambda w: (-count[w], hashed[w]))[:100])}
+    in_ending = [w for w in vocabulary if count[w] and w not in own]
+    held_by, words_of = Counter(), Counter(ending[w] for w in in_ending)
+    for w in in_ending:
+        held_by[ending[w]] += count[w]
+    hmm = trace[0]
+
+    def brute_score(t):
+        total, state = 0.0, None
+        for w in [*t, None]:
+            c = 164 if w is None else own.get(w, 100 + ending.get(w, 0))
+            state = (hmm.start if state is None else state @ hmm.move) * hmm.emit[:, c]
+            total += math.log10(state.sum())
+            state = state / state.sum()
+            if w is not None and w not in own:
+                total += math.log10((count[w] + 1) / (held_by[ending[w]] + words_of[ending[w]] + 1))
+        return total
+
     gain = []
     for r, t, h in zip(rows, tokens, held, strict=True):
         g = got[r.doc_id]
         assert (g.held_out, g.n_tokens, g.train_tokens) == (h, len(t) + 1, n)
         assert g.n_known == sum(count[x] > 0 for x in [*t, None])
         assert g.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in [*t, None]), abs=1e-6)
-        assert g.score < 0
+        assert g.score == pytest.approx(brute_score(t), rel=1e-9, abs=1e-6)
         if h:
             gain.append(g.score - g.base_score)
     assert sum(gain) > 0  # the latent states help on unseen texts

@@ -14,8 +14,8 @@ from wickerwork.llm.shared import bound_batches, durable
 from wickerwork.llm.words import WordBatch, mix, pieces
 
 _U = np.uint64
-#: Training sequences are cut into pieces of so many tokens; scores are always of whole texts.
-PIECE = 64
+#: Longer training sequences are worked on in pieces of so many tokens side by side; messages carry the states over the borders.
+PIECE = 512
 #: Longer texts are scored by products of transfer matrices of their parts, side by side, and not step by step.
 LONG_TEXT = 8192
 
@@ -46,46 +46,103 @@ class Counts:
         return HMM(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def expect(hmm: HMM, obs: np.ndarray, length: np.ndarray, into: Counts) -> None:
-    """Forward-backward over pieces obs (n, PIECE), each `length` long; adds the expected counts to `into`."""
-    order = np.argsort(-length, kind="stable")
-    obs, length = obs[order], length[order]
-    steps, n = int(length[0]) if len(length) else 0, len(length)
+@dataclass
+class Pieces:
+    """Whole sequences in pieces of at most PIECE classes: obs (n, PIECE), each piece's length, and whether it goes on from the piece before."""
+
+    obs: np.ndarray
+    length: np.ndarray
+    goes_on: np.ndarray
+
+    @staticmethod
+    def of(sequences: list[np.ndarray], most: int = PIECE) -> Pieces:
+        size = np.array([len(s) for s in sequences], np.int64)
+        per = (size + most - 1) // most
+        flat = np.concatenate([np.zeros(0, np.uint16), *sequences])
+        row0 = np.cumsum(per) - per
+        within = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        obs = np.zeros((int(per.sum()), min(most, int(size.max(initial=1)))), np.int64)
+        obs[np.repeat(row0, size) + within // most, within % most] = flat
+        length = np.full(len(obs), most, np.int64)
+        last = row0[per > 0] + per[per > 0] - 1
+        length[last] = size[per > 0] - (per[per > 0] - 1) * most
+        goes_on = np.ones(len(obs), bool)
+        goes_on[row0[per > 0]] = False
+        return Pieces(obs, length, goes_on)
+
+
+def _messages(hmm: HMM, x: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Of every piece: the states' probabilities given all tokens before it, and the weights that all tokens after it give its last states.
+    The product of a piece's steps after its first token carries both over the piece; only sequences of several pieces need it."""
+    n, k = len(x.obs), len(hmm.start)
+    enter, leave = np.zeros((n, k)), np.ones((n, k))
+    goes_on = np.flatnonzero(x.goes_on)
+    if not len(goes_on):
+        return enter, leave
+    several = np.unique(np.concatenate([goes_on - 1, goes_on]))
+    order = several[np.argsort(-x.length[several], kind="stable")]
+    length, emit = x.length[order], np.ascontiguousarray(hmm.emit.T)
+    steps = np.broadcast_to(np.eye(k), (len(order), k, k)).copy()
+    for t in range(1, int(length[0])):
+        m = int(np.searchsorted(-length, -t, side="left"))
+        moved = (steps[:m].reshape(m * k, k) @ hmm.move).reshape(m, k, k) * emit[x.obs[order[:m], t]][:, None, :]
+        steps[:m] = moved / moved.sum((1, 2))[:, None, None]
+    product = dict(zip(order.tolist(), steps, strict=True))
+    for i in goes_on:
+        own = (enter[i - 1] @ hmm.move if x.goes_on[i - 1] else hmm.start) * emit[x.obs[i - 1, 0]]
+        enter[i] = own @ product[i - 1]
+        enter[i] /= enter[i].sum()
+    for i in goes_on[::-1]:
+        leave[i - 1] = hmm.move @ (emit[x.obs[i, 0]] * (product[i] @ leave[i]))
+        leave[i - 1] /= leave[i - 1].sum()
+    return enter, leave
+
+
+def expect(hmm: HMM, x: Pieces, into: Counts) -> None:
+    """Forward-backward over whole sequences; adds the expected counts of states, moves and classes to `into`."""
+    if not len(x.obs):
+        return
+    enter, leave = _messages(hmm, x)
+    order = np.argsort(-x.length, kind="stable")
+    obs, length, goes_on, enter, leave = x.obs[order], x.length[order], x.goes_on[order], enter[order], leave[order]
+    steps, n, k = int(length[0]), len(length), len(hmm.start)
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # pieces longer than t
     emit = np.ascontiguousarray(hmm.emit.T)
-    alpha, scale = np.empty((steps, n, len(hmm.start))), np.empty((steps, n))
+    alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
     for t in range(steps):
         m = active[t]
-        a = (alpha[t - 1, :m] @ hmm.move if t else hmm.start[None, :]) * emit[obs[:m, t]]
+        before = alpha[t - 1, :m] @ hmm.move if t else np.where(goes_on[:, None], enter @ hmm.move, hmm.start[None, :])
+        a = before * emit[obs[:m, t]]
         scale[t, :m] = a.sum(1)
         alpha[t, :m] = a / scale[t, :m, None]
-    beta = np.ones((n, len(hmm.start)))
+    beta = leave / (alpha[length - 1, np.arange(n)] * leave).sum(1)[:, None]
     for t in range(steps - 1, -1, -1):
         m = active[t]
-        gamma = alpha[t, :m] * beta[:m]
-        for k in range(len(hmm.start)):
-            into.emit[k] += np.bincount(obs[:m, t], weights=gamma[:, k], minlength=into.emit.shape[1])
+        ahead = emit[obs[:m, t]] * beta[:m] / scale[t, :m, None]
         if t:
-            ahead = emit[obs[:m, t]] * beta[:m] / scale[t, :m, None]
             into.move += hmm.move * (alpha[t - 1, :m].T @ ahead)
-            beta[:m] = ahead @ hmm.move.T
         else:
-            into.start += gamma.sum(0)
-
-
-def cut_pieces(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences as rows of at most PIECE classes, and the rows' lengths."""
-    size = np.array([len(s) for s in sequences], np.int64)
-    per = (size + PIECE - 1) // PIECE
-    flat = np.concatenate(sequences) if sequences else np.zeros(0, np.uint16)
-    row0 = np.cumsum(per) - per
-    within = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    obs = np.zeros((int(per.sum()), PIECE), np.int64)
-    obs[np.repeat(row0, size) + within // PIECE, within % PIECE] = flat
-    length = np.full(len(obs), PIECE, np.int64)
-    last = row0[per > 0] + per[per > 0] - 1
-    length[last] = size[per > 0] - (per[per > 0] - 1) * PIECE
-    return obs, length
+            into.move += hmm.move * (enter[goes_on].T @ ahead[goes_on])
+            into.start += (alpha[0] * beta)[~goes_on].sum(0)
+        alpha[t, :m] *= beta[:m]
+        beta[:m] = ahead @ hmm.move.T
+    inside = np.arange(steps)[:, None] < length[None, :]
+    classes, weights = obs[:, :steps].T[inside], alpha[inside]
+    for i in range(k):
+        into.emit[i] += np.bincount(classes, weights=weights[:, i], minlength=into.emit.shape[1])
+
+
+def _packs(sequences: Iterator[np.ndarray], tokens: int = 600_000) -> Iterator[list[np.ndarray]]:
+    """Lists of sequences whose pieces have room for about so many tokens: bounds what forward-backward holds."""
+    held, n = [], 0
+    for x in sequences:
+        held.append(x)
+        n += max(len(x), PIECE)
+        if n > tokens:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def log_likelihoods(hmm: HMM, sequences: list[np.ndarray]) -> np.ndarray:
@@ -173,6 +230,7 @@ def score_documents(
     local_words: int = 131_072,
     iterations: int = 3,
     warm_rows: int = 1500,
+    trace: list | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -180,9 +238,10 @@ def score_documents(
     that of a hidden Markov model over word classes times the word's add-one share of its class. The
     own_classes commonest words are classes of their own, other words fall into `buckets` classes by their ending, so
     the model has states * classes parameters whatever the corpus. Baum-Welch starts from a fit to about warm_rows
-    texts (a hash sample, only a starting point) and then runs `iterations` times over all training texts, cut into
-    pieces of PIECE tokens: every task returns expected counts, Spark sums them, and the last sums are the model. Scores
-    are exact: the forward recursion runs over the whole text.
+    texts and 500 * warm_rows tokens (a hash sample without texts over 100,000 tokens, only a starting point: a documented bound of
+    what the driver holds) and then runs `iterations` times over all training texts, each as one whole sequence: every
+    task returns expected counts, Spark sums them, and the last sums are the model. Scores are exact: the forward recursion
+    runs over the whole text. `trace`, if given, gets the final HMM.
 
     Word counts are Spark aggregates over all training texts, keyed by a 64-bit word hash. The local_words
     commonest (a fixed bound) are looked up in the tasks, all other words of a text are joined with the counts in a
@@ -261,35 +320,24 @@ def score_documents(
     n_classes = end_class + 1
     empty = lambda: Counts(np.zeros(states), np.zeros((states, states)), np.zeros((states, n_classes)))
     learning = coded.where("NOT held_out").select("row", "classes")
-    share = min(1.0, warm_rows / max(1, ends))
-    warm = learning.where(F.pmod(F.xxhash64("row", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))).select("row", "classes").toPandas()
-    obs, length = cut_pieces([np.frombuffer(x, np.uint16) for x in warm.sort_values("row")["classes"]])
+    share = min(1.0, warm_rows / max(1, ends), 500 * warm_rows / max(1, n_train))
+    drawn = learning.where(F.pmod(F.xxhash64("row", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    warm = drawn.where(F.octet_length("classes") <= 200_000).toPandas()
+    sample = [Pieces.of(x) for x in _packs(np.frombuffer(x, np.uint16) for x in warm.sort_values("row")["classes"])]
     hmm = HMM.guess(states, prior, np.random.default_rng(5))
-    for _ in range(15 if len(obs) else 0):
+    for _ in range(15 if sample else 0):
         sums = empty()
-        for i in range(0, len(obs), 8192):
-            expect(hmm, obs[i : i + 8192], length[i : i + 8192], sums)
+        for x in sample:
+            expect(hmm, x, sums)
         hmm = sums.model(prior)
 
     for _ in range(iterations if ends else 0):
         current = hmm
 
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, held, n = empty(), [], 0
-
-            def flush() -> None:
-                obs, length = cut_pieces(held)
-                for i in range(0, len(obs), 8192):
-                    expect(current, obs[i : i + 8192], length[i : i + 8192], sums)  # noqa: B023
-
-            for batch in batches:
-                for x in batch["classes"]:
-                    held.append(np.frombuffer(x, np.uint16))
-                    n += len(held[-1])
-                    if n > 2_000_000:
-                        flush()
-                        held, n = [], 0
-            flush()
+            sums = empty()
+            for held in _packs(np.frombuffer(x, np.uint16) for batch in batches for x in batch["classes"]):
+                expect(current, Pieces.of(held), sums)  # noqa: B023
             table = np.concatenate([sums.start[:, None], sums.move, sums.emit], axis=1)
             yield pd.DataFrame({"i": np.arange(table.size), "x": table.ravel()})
 
@@ -300,6 +348,8 @@ def score_documents(
         table = table.reshape(states, -1)
         hmm = Counts(table[:, 0], table[:, 1 : 1 + states], table[:, 1 + states :]).model(prior)
     final = hmm
+    if trace is not None:
+        trace.append(final)
 
     def likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

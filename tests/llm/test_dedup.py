@@ -88,6 +88,17 @@ def test_near_duplicates(spark, width):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_duplicates_in_a_large_bucket_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr("wickerwork.llm.near_dedup.BLOCK", 7)
+    monkeypatch.setattr("wickerwork.llm.near_dedup.BLOCK_SHINGLES", 300)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(mutated(rng, base, 0.09)) for _ in range(60)] + ["long " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(60_000))] * 2
+    docs = spark.createDataFrame([*rows_of(texts), (5, texts[5], 0, "", "")], DOCS)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, bands=4, rows=1).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_components(texts, 5, 80))}
+
+
 def test_densified_bins_estimate_jaccard():
     rng = np.random.default_rng(0)
     hasher = OnePermutation(64, 1)

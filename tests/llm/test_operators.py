@@ -275,6 +275,12 @@ def test_toxicity_on_held_out_rows(spark):
     scored = model.score(docs).join(labels.select("doc_id", "toxic"), "doc_id").where("pmod(crc32(cast(doc_id as string)), 5) = 0").collect()
     right = np.mean([r.predicted == r.toxic for r in scored])
     assert len(scored) > 300 and right > 0.97 and all(0 <= r.score <= 1 for r in scored)
+    some = docs.limit(40).withColumnsRenamed({"lang": "_features", "source": "row", "n_chars": "score"})
+    some = some.union(some)
+    clean = model.keep_clean(some)
+    assert clean.columns == some.columns
+    want = {r.doc_id for r in model.score(some).collect() if r.score < 0.5}
+    assert sorted(clean.collect(), key=str) == sorted((r for r in some.collect() if r.doc_id in want), key=str)
     hot = [r.score for r in scored if r.toxic]
     cold = [r.score for r in scored if not r.toxic]
     assert np.mean([h > c for h in hot for c in cold]) > 0.98

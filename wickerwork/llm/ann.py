@@ -105,8 +105,8 @@ def nearest_neighbours(
     """query_id, rank (from 1), vec_id, score: for each row of queries its k nearest rows of vectors by cosine, its own id
     excepted; nearest first, ties to the smaller id. queries has the same two columns as vectors.
 
-    The tree is fitted on a hash sample of about sample_size vectors (documented bound: what the driver holds; the tree
-    then has fewer than sample_size leaves), but every vector is indexed by its leaf. How many leaves a query visits is
+    The tree is fitted on a hash sample of about sample_size vectors, twice that at most (documented bound: what the driver holds; the
+    tree then has fewer leaves), but every vector is indexed by its leaf. How many leaves a query visits is
     calibrated: the fewest with which probes of the sample reach target_recall against brute force over the sample;
     a query also goes on until the leaves it has visited hold 4 k rows. Queries and vectors meet by leaf in a
     shuffle; leaves above block_rows vectors, or visited by as many queries, are cut into blocks by hashes of the
@@ -132,8 +132,8 @@ def nearest_neighbours(
     dims = commonest["d"]
     base, asked = base.where(F.size("v") == dims), asked.where(F.size("v") == dims)
     rows = commonest["count"]
-    drawn = base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample_size / rows) * (1 << 30)))
-    fitted = drawn.select("id", "v").toPandas().sort_values("id")
+    drawn = base.where(F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample_size / rows) * (1 << 30)))
+    fitted = drawn.select("id", "v").limit(2 * sample_size).toPandas().sort_values("id")  # the limit counts only where rows repeat
     if fitted.empty:
         fitted = base.orderBy("id").limit(1).select("id", "v").toPandas()
     sample = _unit(np.stack(fitted["v"].to_numpy()).astype(np.float64))

@@ -17,9 +17,11 @@ from wickerwork.llm.words import WordBatch, mix, pieces
 _U = np.uint64
 #: Ids are prefiltered by this many hash values at most: the bound of the broadcast in _texts_of.
 ID_BUCKETS = 1 << 19
-#: Buckets of more members are compared inside tasks, in blocks of about BLOCK by BLOCK members.
+#: Buckets of more members are compared inside tasks, in blocks of about BLOCK by BLOCK members, or fewer of long texts, so that
+#: either side has about BLOCK_SHINGLES.
 SMALL_BUCKET = 16
 BLOCK = 400
+BLOCK_SHINGLES = 500_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -159,19 +161,19 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def _open_members(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members of the buckets that hold several components: component, and of the bucket its largest component (main) and a
-    random member (centre, its component cc and size n2)."""
+    """Members of the buckets that hold several components: component, and of the bucket its shingles, its largest component (main,
+    its rows and shingles) and a random member (centre, its component cc and size n2)."""
     known = labels.select(F.col("node").alias("doc_id"), "component")
     own = met.where("c > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rank = F.xxhash64("doc_id", "band", "key", F.lit(turn))
     by_component = own.groupBy("band", "key", "component").agg(
-        F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), F.col("doc_id").alias("centre"), F.col("component").alias("cc"), F.col("n").alias("n2"))).alias("pick")
+        F.count("*").alias("m"), F.sum("n").alias("w"), F.min(F.struct(rank.alias("r"), F.col("doc_id").alias("centre"), F.col("component").alias("cc"), F.col("n").alias("n2"))).alias("pick")
     )
     state = (
         by_component.groupBy("band", "key")
-        .agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("main_rows"), F.min("pick").alias("pick"))
+        .agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max(F.struct("m", "component", "w")).alias("most"), F.sum("w").alias("weight"), F.min("pick").alias("pick"))
         .where("parts > 1")
-        .select("band", "key", "main", "main_rows", "pick.centre", "pick.cc", "pick.n2")
+        .select("band", "key", "main", F.col("most.m").alias("main_rows"), F.col("most.w").alias("main_weight"), "weight", "pick.centre", "pick.cc", "pick.n2")
     )
     return own.join(state, ["band", "key"])
 
@@ -186,7 +188,7 @@ def _more_stars(met, labels, compared, texts, width, percent, similar_size) -> D
 def _between_components(met, labels, texts, width, percent, similar_size) -> DataFrame:
     """All links between members of one bucket that are in different components."""
     kind = dict(met.dtypes)["doc_id"]
-    members = durable(_open_members(met, labels, 2).select("band", "key", "c", "main", "main_rows", "doc_id", "component", "n"))
+    members = durable(_open_members(met, labels, 2).select("band", "key", "c", "main", "main_rows", "weight", "main_weight", "doc_id", "component", "n"))
     small = members.where(F.col("c") <= SMALL_BUCKET)
     left = small.where("component <> main").select("band", "key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), "n")
     right = small.select("band", "key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("n2"))
@@ -194,8 +196,9 @@ def _between_components(met, labels, texts, width, percent, similar_size) -> Dat
     pairs = durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     found = confirm(pairs, texts, width, percent)
 
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    large = members.where(F.col("c") > SMALL_BUCKET).withColumns({"tb": blocks(F.col("c")), "pb": blocks(F.col("c") - F.col("main_rows"))})
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    others = blocks(F.col("c") - F.col("main_rows"), F.col("weight") - F.col("main_weight"))
+    large = members.where(F.col("c") > SMALL_BUCKET).withColumns({"tb": blocks(F.col("c"), F.col("weight")), "pb": others})
     own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     probes = large.where("component <> main").select("band", "key", own("pb").alias("i"), each("tb").alias("j"), "doc_id", "component", "n", F.lit(True).alias("probe"))

@@ -197,12 +197,15 @@ def _learn_lexicon(train: DataFrame, most: int) -> Lexicon:
     return lexicon
 
 
-def _with_features(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """df, its columns passed through as they are, with the vector _features."""
+def _with_features(df: DataFrame, lexicon: Lexicon, text: tuple[str, ...] = ("text",)) -> DataFrame:
+    """df, its columns passed through as they are, with the vector _features of the text (a column, or a field of a struct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = features([t or "" for t in batch.column(text_col).to_pylist()], lexicon)
+            column = batch.column(text[0])
+            for field_name in text[1:]:
+                column = column.field(field_name)
+            made = features([t or "" for t in column.to_pylist()], lexicon)
             offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FEATURES))
             column = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_features"])
@@ -219,24 +222,26 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.base_rate = lexicon, trees, calibration, base_rate
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with _score (0 to 1); a null text scores as an empty one. A narrow map: no shuffle."""
+        """(row, score): every row of docs, whatever its columns, and its score (0 to 1); a null text scores as an empty one. A narrow
+        map: no shuffle."""
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
         if self.trees is None:
-            return docs.withColumn("_score", F.lit(self.base_rate))
-        scored = self.trees.transform(_with_features(docs, self.lexicon, text_col))
+            return rows.withColumn("score", F.lit(self.base_rate))
+        scored = self.trees.transform(_with_features(rows, self.lexicon, ("row", text_col)))
         scored = scored.withColumn("_raw", vector_to_array("_probability")[1])
         scored = self.calibration.transform(scored)
         # Calibrated levels are steps; a trace of the raw score keeps the order inside a step.
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated") * 0.999 + F.col("_raw") * 0.001))
-        return scored.withColumn("_score", score).select(*docs.columns, "_score")
+        return scored.select("row", score.alias("score"))
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every row."""
         scored = self.apply(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-        return scored.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+        return scored.select("row.doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
     def keep_clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """The rows of docs, as they are, that score below 0.5. Columns of docs must not start with an underscore."""
-        return self.apply(docs, text_col).where(F.col("_score") < 0.5).select(*docs.columns)
+        """The rows of docs, as they are, that score below 0.5."""
+        return self.apply(docs, text_col).where(F.col("score") < 0.5).select("row.*")
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:

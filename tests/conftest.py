@@ -24,6 +24,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .config("spark.local.dir", scratch)
+        .config("spark.checkpoint.dir", f"file://{scratch}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -35,8 +35,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, range-partitioned and sorted so that the files read in order are the mixture."""
-    return in_mixed_order(docs)
+    """All documents, range-partitioned and sorted so that the files read in order are the mixture: by shares of a period of 400 slots, or
+    of four slots a source where that is more, in SQL functions only."""
+    sources = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(""))).distinct().count()
+    return in_mixed_order(docs, period=max(400, 4 * sources))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

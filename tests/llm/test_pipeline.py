@@ -43,7 +43,7 @@ def test_stages(spark, sf):
 
     before, after = held["mixing"]
     assert sorted(before.collect()) == sorted(after.collect())
-    place = {r.doc_id: r.mix_position for r in mix_sources(before).collect()}
+    place = {r.doc_id: r.mix_position for r in mix_sources(before, period=400).collect()}
     parts = defaultdict(list)
     for r in corpus_pipeline.mixing(spark, before, sf).select("doc_id", F.spark_partition_id().alias("p")).collect():
         parts[r.p].append(place[r.doc_id])

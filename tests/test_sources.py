@@ -86,3 +86,12 @@ def test_profile_digest_ignores_order_and_sees_repeats(spark):
 def test_export_by(spark, tmp_path):
     assets.export_by(spark.range(20).withColumn("g", F.col("id") % 2), "g", str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/g=1")).count() == 10
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_sdf_lines_may_end_in_crlf(spark, tmp_path, end):
+    lines = ["mol", "M  END", "> <ID>", "A1", "", "> <NOTE>", "two", "lines", "", "$$$$", "mol", "M  END", "> <ID>", "B2", "", "$$$$", ""]
+    (tmp_path / "x.sdf").write_bytes(end.join(lines).encode())
+    rows = readers.read_sdf_properties(spark, f"file://{tmp_path}/x.sdf").orderBy("record", "property").collect()
+    assert [(r.property, r.value) for r in rows] == [("ID", "A1"), ("NOTE", "two\nlines"), ("ID", "B2")]
+    assert len({r.record for r in rows}) == 2

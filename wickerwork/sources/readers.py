@@ -65,9 +65,9 @@ def read_sectioned(spark: SparkSession, path, begin: str, end: str, id_regex: st
 
 
 def read_sdf_properties(spark: SparkSession, path, props: Sequence[str] | None = None) -> DataFrame:
-    """file, record (a number that grows along the file), property, value of SDF property blocks; props: only these."""
-    records = spark.read.option("lineSep", "$$$$\n").text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("record"), "value"
+    """file, record (a number that grows along the file), property, value of SDF property blocks; props: only these. Lines may end in CRLF."""
+    records = spark.read.option("lineSep", "$$$$").text(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("record"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value")
     )
     shape = F.lit(r">\s*<([^>\n]+)>[^\n]*\r?\n((?:(?!>\s*<)[^\n]+\r?\n?)*)")
     names = F.regexp_extract_all("value", shape, 1)

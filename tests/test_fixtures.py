@@ -199,6 +199,21 @@ def test_metabolite_gate(spark):
     assert (r.structure_status, r.availability, r.review) == ("parser_unavailable", "blocked", "review_required")
 
 
+def test_remediation(spark):
+    rows = [("ok", True, True, ["m"], []), ("out", False, True, ["sn_1"], ["r"]), ("map", False, False, ["sn_1", "gone"], []), ("rev", False, True, [], ["bad"]), ("none", False, None, [], [])]
+    audit = spark.createDataFrame(rows, "reaction_id string, formula_balanced boolean, charge_balanced boolean, missing_formula array<string>, unparsable_formula array<string>")
+    mets = spark.createDataFrame([("sn_1", "x", "R"), ("r", "Protein", "C6"), ("bad", None, "C("), ("m", "", "nan")], "met_id string, name string, formula string")
+    got = {r.reaction_id: (r.action, r.issue_classes) for r in governance.remediation_action(audit, mets).collect()}
+    template, macro, unmapped = "underground_template_metabolite_missing_formula", "macromolecule_or_redox_carrier_formula", "missing_formula_no_local_mapping"
+    assert got == {
+        "ok": ("training_ready_mass_charge_balanced", unmapped),
+        "out": ("exclude_from_structure_sensitive_training_or_apply_curated_carrier_rules", f"{macro}|{template}"),
+        "map": ("requires_external_structure_mapping", f"{unmapped}|{template}"),
+        "rev": ("requires_manual_balance_review", "other_formula_issue"),
+        "none": ("requires_manual_balance_review", ""),
+    }
+
+
 def test_components_and_unions(spark):
     got = dict(connected_components(spark.createDataFrame([("b", "a"), ("b", "c"), ("x", "y")] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)], "a string, b string")).collect())
     assert got["c"] == "a" and got["y"] == "x" and {got[f"n{i:02}"] for i in range(31)} == {"n00"}

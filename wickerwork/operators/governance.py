@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickerwork.functions.text import contains_any, has_text, parse_formula, structure_status
+from wickerwork.functions.text import classify_first_match, has_text, parse_formula, structure_status
 
 
 def waterfall_resolve(rows: DataFrame, candidates: DataFrame, tiers: Sequence[str]) -> DataFrame:
@@ -205,33 +205,48 @@ def gate_summary(metabolites: DataFrame, reactions: DataFrame, failures: DataFra
     return out.union(n.select(F.lit("gate"), F.lit("status"), F.when(F.col("n") == 0, "passed").otherwise("failed")))
 
 
-MACROMOLECULES = ("cytochrome", "thioredoxin", "ferredoxin", "protein", "trna", "enzyme")
-
-
-def metabolite_class(met_id: str = "met_id", name: str = "name", formula: str = "formula") -> Column:
-    text = F.lower(F.coalesce(F.col(name), F.lit("")))
-    return (
-        F.when(F.col(met_id).startswith("sn_"), "template")
-        .when(F.col(formula).rlike("[RX]"), "generic_formula")
-        .when(contains_any(text, MACROMOLECULES), "macromolecule")
-        .when(~has_text(formula), "no_mapping")
-        .otherwise("other")
-    )
-
-
-def remediation_action(audit: DataFrame, compounds: DataFrame) -> DataFrame:
-    """reaction_id, issue_classes, action: what to do about a reaction's metabolite issues."""
-    issues = audit.select("reaction_id", F.explode_outer(F.array_distinct(F.concat("missing_formula", "unparsable_formula", "missing_charge"))).alias("met_id"))
-    classed = issues.join(compounds.select("met_id", metabolite_class().alias("class")), "met_id", "left")
-    per = classed.groupBy("reaction_id").agg(F.array_sort(F.collect_set(F.when(F.col("met_id").isNotNull(), F.coalesce("class", F.lit("other"))))).alias("classes"))
-    simple = F.array(F.lit("template"), F.lit("generic_formula"), F.lit("macromolecule"))
+# Classes of a metabolite's issue in order of precedence, with their terms, and the actions that follow.
+ISSUE_RULES = [
+    {"when": "startswith(met_id, 'sn_')", "out": {"class": "underground_template_metabolite_missing_formula"}},
+    {"when": "formula RLIKE '[RX]'", "out": {"class": "generic_r_group_or_polymer_formula"}},
+    {"any_of": ["cytochrome", "thioredoxin", "ferredoxin", "protein", "trna", "enzyme"], "out": {"class": "macromolecule_or_redox_carrier_formula"}},
+    {"when": "coalesce(lower(trim(formula)), '') IN ('', 'nan', 'none', 'null')", "out": {"class": "missing_formula_no_local_mapping"}},
+]
+OTHER_ISSUE = "other_formula_issue"
+EXCLUDED_ISSUES = ("underground_template_metabolite_missing_formula", "generic_r_group_or_polymer_formula", "macromolecule_or_redox_carrier_formula")
+ACTIONS = {
+    "balanced": "training_ready_mass_charge_balanced",
+    "excluded": "exclude_from_structure_sensitive_training_or_apply_curated_carrier_rules",
+    "mapping": "requires_external_structure_mapping",
+    "review": "requires_manual_balance_review",
+}
+
+
+def remediation_action(
+    audit: DataFrame,
+    compounds: DataFrame,
+    rules: Sequence[dict] = ISSUE_RULES,
+    other: str = OTHER_ISSUE,
+    excluded: Sequence[str] = EXCLUDED_ISSUES,
+    actions: Mapping[str, str] = ACTIONS,
+    lists: Sequence[str] = ("missing_formula", "unparsable_formula"),
+) -> DataFrame:
+    """reaction_id, issue_classes, action. The metabolites in the audit's `lists` are classed by `rules` (as classify_first_match takes
+    them, over met_id, name and formula of compounds(met_id, name, formula); a metabolite that is not there has neither name nor
+    formula), then a balanced reaction, one with classes of `excluded` only and one without some formula get their action."""
+    ids = F.array_distinct(F.concat(*lists))
+    issues = audit.select("reaction_id", F.explode(ids).alias("met_id")).join(compounds.select("met_id", "name", "formula"), "met_id", "left")
+    classed = classify_first_match(issues, ["name"], rules, {"class": other})
+    per = classed.groupBy("reaction_id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    out = audit.join(per, "reaction_id", "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
+    only = (F.size("classes") > 0) & F.forall("classes", lambda c: c.isin(*excluded))
     action = (
-        F.when(F.col("formula_balanced") & F.col("charge_balanced"), "training_ready")
-        .when((F.size("classes") > 0) & (F.size(F.array_except("classes", simple)) == 0), "exclude_or_carrier_rules")
-        .when(F.size("missing_formula") > 0, "external_mapping")
-        .otherwise("manual_review")
+        F.when(F.col("formula_balanced") & F.col("charge_balanced"), actions["balanced"])
+        .when(only, actions["excluded"])
+        .when(F.size("missing_formula") > 0, actions["mapping"])
+        .otherwise(actions["review"])
     )
-    return audit.join(per, "reaction_id").select("reaction_id", F.array_join("classes", "|").alias("issue_classes"), action.alias("action"))
+    return out.select("reaction_id", F.array_join("classes", "|").alias("issue_classes"), action.alias("action"))
 
 
 def gate_delta(before: DataFrame, after: DataFrame) -> DataFrame:

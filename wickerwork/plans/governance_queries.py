@@ -167,11 +167,12 @@ SELECT reaction_id, coalesce(array_to_string(ks, '|'), '') AS issue_classes, CAS
 """)
 def g11_remediation_action(t: Tables) -> DataFrame:
     stoich, compounds = balance_tables(t)
-    named = compounds.withColumns({"met_id": F.col("met_id"), "name": F.expr("if(name like '%gear%', 'a Protein', name)")})
-    named = named.withColumn("formula", F.when(F.col("formula") == "nan", None).otherwise(F.col("formula")))
-    audit = balance_audit(stoich, compounds)
-    lists = {c: F.col(c).cast("array<string>") for c in ("missing_formula", "unparsable_formula", "missing_charge")}
-    return G.remediation_action(audit.withColumns(lists), named.withColumn("met_id", F.col("met_id").cast("string")))
+    rules = [{"any_of": ["gear"], "out": {"class": "macromolecule"}}, {"when": "formula = 'nan'", "out": {"class": "no_mapping"}}]
+    actions = {"balanced": "training_ready", "excluded": "exclude_or_carrier_rules", "mapping": "external_mapping", "review": "manual_review"}
+    lists = ("missing_formula", "unparsable_formula", "missing_charge")
+    audit = balance_audit(stoich, compounds).withColumns({c: F.col(c).cast("array<string>") for c in lists})
+    named = compounds.withColumn("met_id", F.col("met_id").cast("string"))
+    return G.remediation_action(audit, named, rules, "other", ["macromolecule"], actions, lists)
 
 
 @query("""

@@ -232,6 +232,27 @@ def test_global_rank_without_gaps(spark):
     assert sorted((r.v, r["rank"]) for r in got) == [(i, i + 1) for i in range(500)]
 
 
+def test_global_rank_keeps_wide_rows_over_many_partitions(spark):
+    """Rows wide enough that merging partitions at run time differs between a whole and a pruned reading."""
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        df = spark.range(0, 60_000, 1, 12).select(F.xxhash64("id").alias("v"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("pad"))
+        r = ranking.global_rank(df, ["v"]).agg(F.count("pad"), F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert tuple(r) == (60_000, 60_000, 1, 60_000)
+
+
+def test_running_sums(spark):
+    rows = [(g, i * 7 % 50, float(i)) for g in ("a", "b", None) for i in range(50)]
+    got = ranking.running_sums(spark.createDataFrame(rows, "g string, k int, x double").repartition(7), ["g"], [F.desc("k")], {"s": "x"})
+    assert {(r.g, r.k): r.s for r in got.collect()} == {(g, k): sum(x for h, j, x in rows if h == g and j >= k) for g, k, _ in rows}
+    plain = ranking.running_sums(spark.range(100), [], ["id"], {"s": "id"})
+    assert {r.id: r.s for r in plain.collect()} == {i: i * (i + 1) // 2 for i in range(100)}
+    assert ranking.running_sums(spark.range(0), [], ["id"], {"s": "id"}).count() == 0 and ranking.global_rank(spark.range(0), ["id"]).count() == 0
+
+
 def test_expression(spark):
     wide = spark.createDataFrame([("g1", "10.5", ""), ("g2", "x", "3")], "gene string, a string, b string")
     long = omics.expression_long(wide, "gene", ["a", "b"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wickerwork.functions.text import json_size, split_multi, to_num0
 from wickerwork.operators.graph import written
+from wickerwork.operators.ranking import global_rank, running_sums
 
 
 def prepare_features(df: DataFrame, text_cols: Sequence[str], num_cols: Sequence[str] = (), list_cols: Sequence[str] = (), json_cols: Sequence[str] = ()) -> DataFrame:
@@ -90,12 +91,16 @@ def fit_baseline(train: DataFrame, features: str, label: str, iterations: int =
 
 
 def pu_sample(df: DataFrame, id_col: str, label: str, member: int, ratio: float, seed: int) -> DataFrame:
-    """All positives and exactly round(ratio * positives) unlabelled rows, those with the smallest hashes of (seed, member, id)."""
+    """All positives and exactly round(ratio * positives) unlabelled rows, those with the smallest hashes of (seed, member, id). Only
+    hashes a little above the expected cut are ranked; if these are too few after all, every row is."""
     positives = df.where(F.col(label) == 1)
     n = max(1, int(round(ratio * positives.count())))
-    rank = F.xxhash64(F.lit(seed), F.lit(member), F.col(id_col))
-    unlabelled = df.where(F.col(label) == 0).withColumn("_h", rank).orderBy("_h", id_col).limit(n).drop("_h")
-    return positives.unionByName(unlabelled)
+    unlabelled = df.where(F.col(label) == 0).withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), F.lit(member), F.col(id_col)), F.lit(1 << 40)))
+    rows = unlabelled.count()
+    share = n / max(rows, 1)
+    near = unlabelled.where(F.col("_h") < min(1.0, share + 6 * math.sqrt(share / max(rows, 1)) + 1e-6) * float(1 << 40))
+    near = near if near.count() >= min(n, rows) else unlabelled
+    return positives.unionByName(global_rank(near, ["_h", id_col], "_r").where(F.col("_r") <= n).drop("_h", "_r"))
 
 
 def fit_pu_bagging(df: DataFrame, id_col: str, features: str, label: str, members: int = 25, ratio: float = 0.6, seed: int = 0, iterations: int = 30):
@@ -117,11 +122,10 @@ def fit_pu_bagging(df: DataFrame, id_col: str, features: str, label: str, member
 
 
 def recall_threshold(df: DataFrame, label: str, score: str, target: float) -> DataFrame:
-    """threshold: the highest cut that keeps at least the target share of positives. Positives are counted by distinct score, so the
-    window runs over scores and not rows."""
+    """threshold: the highest cut that keeps at least the target share of positives, which are counted by distinct score."""
     per = df.where(F.col(label) == 1).groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"))
     total = per.agg(F.sum("n").alias("all"))
-    cum = per.withColumn("kept", F.sum("n").over(Window.orderBy(F.desc("threshold")))).join(F.broadcast(total))
+    cum = running_sums(per, [], [F.desc("threshold")], {"kept": "n"}).join(F.broadcast(total))
     return cum.where(F.col("kept") >= F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(float(target)) - 1e-9))).agg(F.max("threshold").alias("threshold"))
 
 
@@ -135,8 +139,7 @@ def pu_metrics(df: DataFrame, label: str, score: str, threshold: float, weight:
     per = df.groupBy(*by, s.alias("_s")).agg(
         F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"), F.sum(w * F.pow(s - y, 2)).alias("b"), F.sum(-w * (y * F.log(p) + (1 - y) * F.log(1 - p))).alias("ll")
     )
-    down = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    cum = running_sums(per, by, [F.desc("_s")], {"tp": "pos", "fp": "neg"})
     out = cum.groupBy(*by).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),
         F.sum("pos").alias("positives"),
@@ -209,8 +212,6 @@ def build_vocab(df: DataFrame, tokens: str, min_freq: int = 1, max_size: int | N
         counted = counted.orderBy(F.desc("count"), "token").limit(max(0, max_size - len(specials)))
         ranked = counted.withColumn("index", F.row_number().over(Window.orderBy(F.desc("count"), "token")) + len(specials) - 1)
     else:
-        from wickerwork.operators.ranking import global_rank
-
         ranked = global_rank(counted, [F.desc("count"), "token"], "_r").withColumn("index", F.col("_r") + len(specials) - 1).drop("_r")
     head = df.sparkSession.createDataFrame([(t, 0, i) for i, t in enumerate(specials)], "token string, count long, index int")
     return head.unionByName(ranked.select("token", "count", F.col("index").cast("int").alias("index")))

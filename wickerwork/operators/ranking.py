@@ -7,20 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickerwork.operators.graph import written
+
+
+def _numbered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """df as a table of range-partitioned rows with _part and _nth (from 1), their place in the partition. It is written once: bounds
+    are sampled and partitions merged at run time, so two readings of the plan could place a row differently."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    place = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    return written(placed).withColumns({"_part": F.shiftright("_place", 33), "_nth": F.col("_place").bitwiseAND((1 << 33) - 1) + 1}).drop("_place")
+
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
     """1, 2, 3, ... in the given order. Rows are range-partitioned and numbered inside the partitions; the partitions' offsets
     come from their counts, so no task holds the table. The order should be total."""
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    here = Window.partitionBy("_part")
-    numbered = placed.withColumn("_nth", F.row_number().over(here.orderBy(*order)))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_c"))
+    numbered = _numbered(df, order)
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_c"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     return numbered.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
 
 
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: dict[str, str]) -> DataFrame:
+    """df with sums (name -> column) over the rows of the same `by` up to and with each row in a total order. Sums run inside range
+    partitions; what a `by` has in earlier partitions is added from a table of one row a partition and `by`."""
+    by = list(by)
+    numbered = _numbered(df, [*by, *order])
+    upto = Window.partitionBy("_part", *by).orderBy("_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = numbered.withColumns({name: F.sum(c).over(upto) for name, c in sums.items()})
+    per = numbered.groupBy("_part", *by).agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_part", *(F.col(b).alias(f"_by_{b}") for b in by), *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums)).withColumnRenamed("_part", "_p")
+    same = F.col("_part") == F.col("_p")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return here.join(before, same).withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).select(*df.columns, *sums)
+
+
 def assign_uids(df: DataFrame, order: Sequence[Column | str], prefix: str, out: str = "uid") -> DataFrame:
     """PREFIX:0000001 and so on in the given order."""
     return global_rank(df, order, "_r").withColumn(out, F.concat(F.lit(prefix + ":"), F.lpad(F.col("_r").cast("string"), 7, "0"))).drop("_r")

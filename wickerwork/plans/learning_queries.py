@@ -35,7 +35,7 @@ def i1_prepare_features(t: Tables) -> DataFrame:
 def _baseline_frame(t: Tables) -> tuple[DataFrame, list[str]]:
     docs = t.documents.join(t.labels, "doc_id").withColumn("split", assign_split(F.col("doc_id").cast("string")))
     df = L.prepare_features(docs, ["lang", "source"], ["n_chars"]).withColumn("num_lines", F.size(F.split("text", "\n")).cast("double"))
-    _, vectors = L.char_wb_tfidf(df, "feature_text", "tfidf", 5000)
+    _, vectors = L.char_wb_tfidf(df, "feature_text", "tfidf")
     nums = ["num_n_chars", "num_lines"]
     return L.feature_pipeline(nums, "tfidf").fit(vectors).transform(vectors), nums
 
@@ -50,7 +50,7 @@ def i2_i3_i4_baseline_scores(t: Tables) -> DataFrame:
 @query()
 def i5_pu_bagging(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", F.when(F.col("label") < 3, 1).otherwise(0).alias("y"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
-    return L.fit_pu_bagging(rows, "vec_id", "x", "y", members=5)(rows).select("vec_id", "y", "score")
+    return L.fit_pu_bagging(rows, "vec_id", "x", "y")(rows).select("vec_id", "y", "score")
 
 
 @query(_S + "SELECT max(score) AS threshold FROM (SELECT score, row_number() OVER (ORDER BY score DESC) AS n, count(*) OVER () AS c FROM s WHERE quality = 1) WHERE n = ceil(0.9 * c - 1e-9)")
@@ -86,7 +86,7 @@ def i8_calibration(t: Tables) -> DataFrame:
 @query()
 def i9_group_bootstrap(t: Tables) -> DataFrame:
     rows = _scored(t).join(t.documents.select("doc_id", "source"), "doc_id")
-    return L.group_bootstrap(rows, "source", "quality", "score", 0.6, 200)
+    return L.group_bootstrap(rows, "source", "quality", "score", 0.6)
 
 
 @query("""
@@ -111,11 +111,12 @@ def i11_encode_tokens(t: Tables) -> DataFrame:
     return coded.select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query()
+@query("SELECT item_id, text AS tokens FROM benchmark")
 def i11_round_trip(t: Tables) -> DataFrame:
     words = t.benchmark.select("item_id", F.split("text", " ").alias("w"))
     vocab = L.build_vocab(words, "w")
-    back = L.decode_tokens(L.encode_tokens(words, "item_id", "w", vocab, 64), "item_id", "ids", vocab)
+    longest = (words.agg(F.max(F.size("w"))).first()[0] or 0) + 2
+    back = L.decode_tokens(L.encode_tokens(words, "item_id", "w", vocab, longest), "item_id", "ids", vocab)
     return back.select("item_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -125,12 +126,12 @@ def _regression(t: Tables) -> DataFrame:
 
 @query()
 def i12_holdout_regression(t: Tables) -> DataFrame:
-    return L.holdout_regression(_regression(t), "p_partkey", "x", "y", reps=2, trees=5)
+    return L.holdout_regression(_regression(t), "p_partkey", "x", "y")
 
 
 @query()
 def i12_kfold_regression(t: Tables) -> DataFrame:
-    return L.kfold_regression(_regression(t), "p_partkey", "x", "y", k=2, trees=5)
+    return L.kfold_regression(_regression(t), "p_partkey", "x", "y")
 
 
 @query("""

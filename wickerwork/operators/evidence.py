@@ -108,7 +108,7 @@ def score_pairs(pairs: DataFrame, registry: DataFrame, key: str, predictor: Call
     complete = F.lit(True)
     for c in inputs:
         complete = complete & has_text(F.col(c).cast("string"))
-    known = registry.select("plugin", "capability", F.col("status").alias("_rs")).dropDuplicates(["plugin", "capability"])
+    known = registry.groupBy("plugin", "capability").agg(F.min("status").alias("_rs"))
     gate = pairs.join(known, ["plugin", "capability"], "left").withColumn(
         "reason", F.when(~complete, "missing_inputs").when(F.col("_rs").isNull(), "not_in_registry").when(F.col("_rs") != "ready", "plugin_not_ready")
     )
@@ -141,7 +141,7 @@ def score_pairs(pairs: DataFrame, registry: DataFrame, key: str, predictor: Call
 def requested_readiness(pairs: DataFrame, registry: DataFrame) -> DataFrame:
     """plugin, capability, requests, readiness of what pairs ask for."""
     asked = pairs.groupBy("plugin", "capability").agg(F.count("*").alias("requests"))
-    out = asked.join(registry.select("plugin", "capability", F.col("status").alias("_s")).dropDuplicates(["plugin", "capability"]), ["plugin", "capability"], "left")
+    out = asked.join(registry.groupBy("plugin", "capability").agg(F.min("status").alias("_s")), ["plugin", "capability"], "left")
     return out.withColumn("readiness", F.when(F.col("_s").isNull(), "not_registered").when(F.col("_s") == "ready", "ready").otherwise("not_ready")).drop("_s")
 
 

@@ -54,10 +54,16 @@ def build_crossrefs(rxn: DataFrame, xref: DataFrame, id_list: str, xref_key: str
     return joined.withColumn("crossref_status", status)
 
 
+def _least(cols: Sequence[str]) -> Column:
+    """One row's values of these columns, the same on every run and for every type: the least by its JSON."""
+    return F.min_by(F.struct(*cols), F.to_json(F.struct(*cols)))
+
+
 def attach_provenance(rxn: DataFrame, db: DataFrame, key: str, db_key: str, prefix: str, payload: Sequence[str]) -> DataFrame:
-    """Rows whose key begins with prefix, joined to the database by the rest of the key; match_status matched or unmatched."""
+    """Rows whose key begins with prefix, joined to the database by the rest of the key; match_status matched or unmatched. Of rows that
+    repeat a database key the one with the least payload counts."""
     ours = rxn.where(F.col(key).startswith(prefix)).withColumn("_k", F.expr(f"substring({key}, {len(prefix) + 1})"))
-    db = db.dropDuplicates([db_key]).select(F.col(db_key).alias("_db"), *payload)
+    db = db.groupBy(F.col(db_key).alias("_db")).agg(_least(payload).alias("_p")).select("_db", "_p.*")
     joined = ours.join(db, F.col("_k") == F.col("_db"), "left")
     return joined.withColumn("match_status", F.when(F.col("_db").isNotNull(), "matched").otherwise("unmatched")).drop("_k", "_db")
 
@@ -108,10 +114,13 @@ def evidence_matrix(pred: DataFrame, sides: Mapping[str, tuple[DataFrame, Sequen
 
 
 def split_cached(seqs: DataFrame, cache: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose (id, hash of the text) the cache(id, seq_hash, ...) has, joined to it; rows still to be computed)."""
+    """(rows whose (id, hash of the text) the cache(id, seq_hash, ...) has, joined to it; rows still to be computed).
+    Of cache rows that repeat a key the one with the least other columns counts."""
     hashed = seqs.withColumn("seq_hash", F.sha2(text_col, 256))
     keys = [id_col, "seq_hash"]
-    return hashed.join(cache.dropDuplicates(keys), keys), hashed.join(cache, keys, "left_anti")
+    rest = [c for c in cache.columns if c not in keys]
+    once = cache.groupBy(*keys).agg(_least(rest).alias("_r")).select(*keys, "_r.*") if rest else cache.distinct()
+    return hashed.join(once, keys), hashed.join(cache, keys, "left_anti")
 
 
 def assemble_labels(base: DataFrame, labels: Mapping[str, tuple[DataFrame, str]], id_col: str, order: str) -> DataFrame:

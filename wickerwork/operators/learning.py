@@ -230,7 +230,7 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame, len
 
 
 def decode_tokens(df: DataFrame, id_col: str, ids: str, vocab: DataFrame, with_pad: bool = False) -> DataFrame:
-    """id and tokens up to the end mark; pads only with with_pad."""
+    """id and tokens, start and end marks among them; pads only with with_pad."""
     long = df.select(id_col, F.posexplode(ids).alias("pos", "index")).join(vocab.select("index", "token"), "index")
     kept = long if with_pad else long.where("token <> '<pad>'")
     out = kept.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))

@@ -221,7 +221,7 @@ def h5_threshold_sweep(t: Tables) -> DataFrame:
 
 
 _EDGES = """
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w AS (SELECT a AS node, a AS r FROM u UNION SELECT u.b, w.r FROM w JOIN u ON u.a = w.node)
 """
@@ -229,7 +229,7 @@ w AS (SELECT a AS node, a AS r FROM u UNION SELECT u.b, w.r FROM w JOIN u ON u.a
 
 @query(_EDGES + "SELECT node, min(r) AS component FROM w GROUP BY 1")
 def h6_connected_components(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_quantity >= 50").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return connected_components(edges.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")))
 
 

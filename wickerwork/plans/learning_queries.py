@@ -111,7 +111,7 @@ def i11_encode_tokens(t: Tables) -> DataFrame:
     return coded.select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query("SELECT item_id, text AS tokens FROM benchmark")
+@query("SELECT item_id, '<sos> ' || text || ' <eos>' AS tokens FROM benchmark")
 def i11_round_trip(t: Tables) -> DataFrame:
     words = t.benchmark.select("item_id", F.split("text", " ").alias("w"))
     vocab = L.build_vocab(words, "w")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StandardScaler, VectorAssembler
@@ -90,26 +92,37 @@ def fit_baseline(train: DataFrame, features: str, label: str, iterations: int =
     return lambda df: model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def pu_sample(df: DataFrame, id_col: str, label: str, member: int, ratio: float, seed: int) -> DataFrame:
-    """All positives and exactly round(ratio * positives) unlabelled rows, those with the smallest hashes of (seed, member, id). Only
-    hashes a little above the expected cut are ranked; if these are too few after all, every row is."""
-    positives = df.where(F.col(label) == 1)
-    n = max(1, int(round(ratio * positives.count())))
-    unlabelled = df.where(F.col(label) == 0).withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), F.lit(member), F.col(id_col)), F.lit(1 << 40)))
-    rows = unlabelled.count()
+def pu_draw(df: DataFrame, id_col: str, label: str, members: Sequence[int], ratio: float, seed: int) -> DataFrame:
+    """For each member (_m) exactly round(ratio * positives) unlabelled rows, those with the smallest hashes of (seed, member, id), all
+    in one pass. Only hashes a little above the expected cut are ranked; if a member has too few after all, every row is."""
+    positives, rows = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    n = max(1, int(round(ratio * positives)))
     share = n / max(rows, 1)
+    unlabelled = df.where(F.col(label) == 0).withColumn("_m", F.explode(F.array(*(F.lit(m) for m in members))))
+    unlabelled = unlabelled.withColumns({"_h": F.pmod(F.xxhash64(F.lit(seed), "_m", F.col(id_col)), F.lit(1 << 40)), "_one": F.lit(1)})
     near = unlabelled.where(F.col("_h") < min(1.0, share + 6 * math.sqrt(share / max(rows, 1)) + 1e-6) * float(1 << 40))
-    near = near if near.count() >= min(n, rows) else unlabelled
-    return positives.unionByName(global_rank(near, ["_h", id_col], "_r").where(F.col("_r") <= n).drop("_h", "_r"))
+    enough = near.groupBy("_m").agg(F.count("*").alias("c")).where(F.col("c") >= min(n, rows)).count() == len(members)
+    ranked = running_sums(near if enough else unlabelled, ["_m"], ["_h", id_col], {"_r": "_one"})
+    return ranked.where(F.col("_r") <= n).drop("_h", "_one", "_r")
+
+
+def pu_sample(df: DataFrame, id_col: str, label: str, member: int, ratio: float, seed: int) -> DataFrame:
+    """All positives and one member's unlabelled rows."""
+    return df.where(F.col(label) == 1).unionByName(pu_draw(df, id_col, label, [member], ratio, seed).drop("_m"))
 
 
-def fit_pu_bagging(df: DataFrame, id_col: str, features: str, label: str, members: int = 25, ratio: float = 0.6, seed: int = 0, iterations: int = 30):
-    """Bagged logistic regressions; returns a function that gives a frame score, the members' mean."""
+def fit_pu_bagging(df: DataFrame, id_col: str, features: str, label: str, members: int = 25, ratio: float = 0.6, seed: int = 0, iterations: int = 30, parallelism: int = 4):
+    """Bagged logistic regressions, `parallelism` of them fitted at a time; returns a function that gives a frame score, the members'
+    mean."""
     table = written(df.select(id_col, features, label))
-    models = []
-    for m in range(members):
-        sample = pu_sample(table, id_col, label, m, ratio, seed).withColumn(label, F.col(label).cast("double"))
-        models.append(LogisticRegression(featuresCol=features, labelCol=label, maxIter=iterations, regParam=0.01, probabilityCol=f"_p{m}", rawPredictionCol="_raw", predictionCol="_pred").fit(sample))
+    drawn = written(pu_draw(table, id_col, label, range(members), ratio, seed))
+
+    def fit(m: int):
+        sample = table.where(F.col(label) == 1).unionByName(drawn.where(F.col("_m") == m).drop("_m")).withColumn(label, F.col(label).cast("double"))
+        return LogisticRegression(featuresCol=features, labelCol=label, maxIter=iterations, regParam=0.01, probabilityCol=f"_p{m}", rawPredictionCol="_raw", predictionCol="_pred").fit(sample)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(members)))
 
     def score(frame: DataFrame) -> DataFrame:
         out = frame

@@ -72,13 +72,13 @@ def metabolite_neighbours(stoich: DataFrame, cap: int = 20, hub_degree: int | No
 
 def infer_pseudo_gpr(expr: DataFrame, stoich: DataFrame, gpr: DataFrame, least: float = 0.5, cap: int = 20, genes: int = 5, hub_degree: int | None = None) -> DataFrame:
     """reaction_id, gene_id, mean_correlation, rank for reactions without rule: neighbours' genes whose mean correlation with the other
-    candidates is at least `least`; the best `genes`."""
+    candidates is at least `least`; the best `genes`. Means are rounded to nine places, so that the order of their sums decides no tie."""
     bare = stoich.select("reaction_id").distinct().join(gpr.select("reaction_id"), "reaction_id", "left_anti")
     near = metabolite_neighbours(stoich, cap, hub_degree).join(bare, "reaction_id", "left_semi")
     cand = near.join(gpr.select(F.col("reaction_id").alias("neighbour"), "gene_id"), "neighbour").select("reaction_id", "gene_id").distinct()
     pairs = cand.select("reaction_id", F.col("gene_id").alias("gene_a")).join(cand.select("reaction_id", F.col("gene_id").alias("gene_b")), "reaction_id").where("gene_a <> gene_b")
     corr = gene_correlation(expr, pairs)
-    mean = pairs.join(corr, ["gene_a", "gene_b"]).groupBy("reaction_id", F.col("gene_a").alias("gene_id")).agg(F.avg("correlation").alias("mean_correlation"))
+    mean = pairs.join(corr, ["gene_a", "gene_b"]).groupBy("reaction_id", F.col("gene_a").alias("gene_id")).agg(F.round(F.avg("correlation"), 9).alias("mean_correlation"))
     return top_k_per_group(mean.where(F.col("mean_correlation") >= least), "reaction_id", [F.desc("mean_correlation"), "gene_id"], genes)
 
 

@@ -210,12 +210,26 @@ def h3_cluster_split(t: Tables) -> DataFrame:
     return H.cluster_split(t.orders, "o_orderkey", ids, reps).select("o_orderkey", "split_key", "split")
 
 
-@query()
+#: All pairs of texts compared, and (t, node, r): node and r are linked at threshold t, directly or through others.
+_ALIKE = """
+WITH RECURSIVE g AS (SELECT item_id AS id, list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5))) AS s FROM benchmark WHERE trim(text) <> ''),
+c AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS n, len(x.s) AS na, len(y.s) AS nb FROM g x JOIN g y ON x.id <> y.id),
+u AS (SELECT t, a, b FROM c, (SELECT unnest({}) AS t) WHERE n / (na + nb - n) >= t AND n / greatest(na, nb) >= 0.5),
+w AS (SELECT t, a AS node, a AS r FROM u UNION SELECT u.t, u.b, w.r FROM w JOIN u ON u.t = w.t AND u.a = w.node)
+"""
+
+
+@query(_ALIKE.format("[0.5]") + "SELECT item_id AS member, coalesce(min(r), item_id) AS representative FROM benchmark LEFT JOIN w ON node = item_id GROUP BY item_id")
 def h4_similarity_clusters(t: Tables) -> DataFrame:
     return H.similarity_clusters(t.benchmark, "item_id", "text", 5, 0.5, 0.5)
 
 
-@query()
+@query(_ALIKE.format("[0.3, 0.5, 0.7, 0.9]") + f"""
+, k AS (SELECT o.t, 'cluster_set:' || sha256(coalesce(min(r), item_id)::VARCHAR) AS k FROM (SELECT item_id, unnest([0.3, 0.5, 0.7, 0.9]) AS t FROM benchmark) o LEFT JOIN w ON node = item_id AND w.t = o.t GROUP BY o.t, item_id),
+d AS (SELECT *, {_SPLIT} AS split FROM (SELECT *, ('0x' || substr(sha256(k), 1, 12))::BIGINT % 100 AS b FROM k))
+SELECT t::DOUBLE AS threshold, count(DISTINCT k) AS clusters, count(*) AS rows, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev,
+  count(*) FILTER (split = 'test') AS test, 0::BIGINT AS crossing_keys FROM d GROUP BY t
+""")
 def h5_threshold_sweep(t: Tables) -> DataFrame:
     return H.threshold_sweep(t.benchmark, "item_id", "text", [0.3, 0.5, 0.7, 0.9])
 
@@ -242,7 +256,17 @@ def h7_unified_group_split(t: Tables) -> DataFrame:
     return H.unified_group_split(t.documents.select("doc_id"), "doc_id", tokens).select("doc_id", "group_key")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE l AS (SELECT DISTINCT doc_id, sha256(x) AS token FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE length(x) >= 40),
+tok AS (SELECT * FROM l UNION ALL SELECT doc_id, 'reaction_id:' || doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l)),
+e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY token) AS b FROM tok),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT a AS node, a AS r FROM u UNION SELECT u.b, w.r FROM w JOIN u ON u.a = w.node),
+m AS (SELECT node, min(r) AS r FROM w GROUP BY 1),
+k AS (SELECT r, 'unified:' || sha256(min(token)) AS group_key FROM m JOIN tok ON doc_id = node GROUP BY 1),
+d AS (SELECT node AS doc_id, group_key, ('0x' || substr(sha256(group_key), 1, 12))::BIGINT % 100 AS b FROM m JOIN k USING (r))
+SELECT doc_id, group_key, {_SPLIT} AS split FROM d
+""")
 def h7_paragraph_groups(t: Tables) -> DataFrame:
     """Documents that share a line of 40 characters and more, directly or through others, in one split."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40)

@@ -251,9 +251,21 @@ def o5_metabolite_neighbours(t: Tables) -> DataFrame:
     return O.metabolite_neighbours(_stoich(t), 10, hub_degree=100)
 
 
-@query()
+@query("""
+WITH x AS (SELECT user_id AS g, event_type AS c, round(sum(value), 4) AS v FROM events GROUP BY 1, 2), ru AS (SELECT DISTINCT user_id % 60 AS r, user_id AS g FROM events),
+s AS (SELECT DISTINCT l_suppkey % 500 AS r, l_partkey AS m FROM lineitem), s2 AS (SELECT * FROM s WHERE m NOT IN (SELECT m FROM s GROUP BY m HAVING count(*) > 100)),
+p AS (SELECT a.r, b.r AS o, count(*) AS shared FROM s2 a JOIN s2 b ON a.m = b.m AND a.r <> b.r WHERE a.r NOT IN (SELECT r FROM ru) GROUP BY 1, 2),
+nb AS (SELECT r, o FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY shared DESC, o) AS n FROM p) WHERE n <= 10),
+cand AS (SELECT DISTINCT nb.r, ru.g FROM nb JOIN ru ON ru.r = nb.o),
+q AS (SELECT a.r, a.g AS a, b.g AS b FROM cand a JOIN cand b ON a.r = b.r AND a.g <> b.g),
+k AS (SELECT a, b, count(*) AS n, corr(x.v, y.v) AS r, stddev_pop(x.v) AS sx, stddev_pop(y.v) AS sy
+  FROM (SELECT DISTINCT a, b FROM q) JOIN x ON x.g = a JOIN x AS y ON y.g = b AND y.c = x.c GROUP BY 1, 2),
+mean AS (SELECT q.r, a, round(avg(CASE WHEN n >= 3 THEN CASE WHEN sx < 1e-12 OR sy < 1e-12 THEN 0 ELSE k.r END END), 9) AS m FROM q JOIN k USING (a, b) GROUP BY 1, 2)
+SELECT r AS reaction_id, a AS gene_id, m AS mean_correlation, n::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY m DESC, a) AS n FROM mean WHERE m >= 0.2) WHERE n <= 5
+""")
 def o6_infer_pseudo_gpr(t: Tables) -> DataFrame:
-    return O.infer_pseudo_gpr(_expression(t), _stoich(t), _rules(t), 0.2, 5, hub_degree=100)
+    return O.infer_pseudo_gpr(_expression(t), _stoich(t), _rules(t), 0.2, 10, hub_degree=100)
 
 
 @query("""

@@ -154,7 +154,10 @@ def b11_extract_ids(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.extract_ids(raw).alias("i")).select("page_id", "i.uniprot", "i.pmid", "i.rhea")
 
 
-@query()
+@query("""
+SELECT p_partkey, len(x)::INTEGER AS tokens, array_to_string(x, ' ') AS text FROM (
+  SELECT p_partkey, regexp_extract_all('CC(Cl)N%12Br' || repeat('C', p_size) || '[Na]', '%..|Cl|Br|Si|Se|se|As|Na|Li|Ca|Mg|Zn|Fe|Al|@@|.') AS x FROM part)
+""")
 def b12_smiles_tokens(t: Tables) -> DataFrame:
     smiles = F.expr("'CC(Cl)N%12Br' || repeat('C', p_size) || '[Na]'")
     return t.part.select("p_partkey", F.size(X.tokenize_smiles(smiles)).alias("tokens"), F.array_join(X.tokenize_smiles(smiles), " ").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import assign_split, has_text, stable_bucket
-from wickerwork.operators.graph import connected_components
+from wickerwork.operators.graph import connected_components, written
 
 
 def _with_split(df: DataFrame, key: str = "split_key") -> DataFrame:
@@ -48,12 +48,13 @@ def cluster_split(df: DataFrame, id_col: str, ids: DataFrame, member_rep: DataFr
 def similarity_candidates(df: DataFrame, id_col: str, text: str, k: int = 5, bands: int = 20, rows: int = 3) -> DataFrame:
     """(a, b, jaccard, coverage) of texts that share a bucket of a banded MinHash over k-character shingles, compared exactly:
     jaccard of the shingle sets, coverage = the smaller share that the common shingles have of either set. Equal sets are one
-    node; a bucket is a star around its smallest member, so its rows grow with its members and not their pairs."""
+    node; a bucket is a star around its smallest member, so its rows grow with its members and not their pairs. The bucket keys are
+    written once, as both the centres and their members are read from them."""
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(k)))))
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles).alias("s")).where(has_text(text))
     least = lambda j: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(j))))
     keys = [F.xxhash64(*(least(j) for j in range(b * rows, b * rows + rows)), F.lit(b)) for b in range(bands)]
-    keyed = sets.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
+    keyed = written(sets.select("id", F.posexplode(F.array(*keys)).alias("band", "key")))
     centres = keyed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = keyed.join(centres, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")

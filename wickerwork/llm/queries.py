@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with their SQL where SQL can express them."""
+"""The registered queries of the operators, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wickerwork.llm.ann import nearest_neighbours
 from wickerwork.llm.bpe import bpe_encode
+from wickerwork.llm.collocations import COLLOCATION_SQL, mine_collocations
 from wickerwork.llm.exact_dedup import exact_dedup
+from wickerwork.llm.filter_audit import AUDIT_SQL, audit_filters
 from wickerwork.llm.hmm_lm import score_documents
 from wickerwork.llm.line_dedup import dedup_lines
 from wickerwork.llm.mixing import mix_sources
@@ -74,6 +76,14 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
@@ -85,9 +95,13 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_hmm_lm": op10_hmm_lm,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
 }
 
 SQL = {
+    "op11_filter_audit": AUDIT_SQL,
+    "op12_collocations": COLLOCATION_SQL,
     "op1_mixing": """
 WITH RECURSIVE src AS (
   SELECT coalesce(source, '') AS s, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY 1),

@@ -14,6 +14,7 @@ from wickerwork.llm.hmm_lm import score_documents
 from wickerwork.llm.line_dedup import dedup_lines
 from wickerwork.llm.mixing import mix_sources
 from wickerwork.llm.near_dedup import near_duplicates
+from wickerwork.llm.secret_scan import scan_secrets
 from wickerwork.llm.sharding import shard_by_size
 from wickerwork.llm.toxicity import fit_toxicity, held_out
 from wickerwork.llm.warc import round_trip
@@ -84,6 +85,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
@@ -97,6 +102,7 @@ QUERIES = {
     "op10_hmm_lm": op10_hmm_lm,
     "op11_filter_audit": op11_filter_audit,
     "op12_collocations": op12_collocations,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 SQL = {

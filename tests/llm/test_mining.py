@@ -135,25 +135,23 @@ def test_collocations_by_hand(spark, monkeypatch, longest, small):
     docs += [docs[0]] * 3
     table = spark.createDataFrame([(*d, 1, "y") for d in docs], "text string, lang string, n int, phrase string")
     if small:
-        # Tasks load the module anew, so that the limits are lowered where the counting happens.
-        counter, slice_ = collocations.PhraseCounter, collocations.word_slices
-        monkeypatch.setattr(collocations, "SLICE", 200)
-        monkeypatch.setattr(collocations, "MAX_ENTRIES", 60)
-        monkeypatch.setattr(collocations, "MAX_WORDS", 25)
-        monkeypatch.setattr(collocations, "BURST", 3)
-        for size in range(1, longest + 1):
-            c = counter("en", size, None, None)
-            seen, want = Counter(), Counter()
-            texts = [(d[0] or "").encode() for d in docs]
-            for batch in [*c.feed(texts), *c.flush()]:
-                for p, n in zip(batch["phrase"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                    seen[p] += n
-            line = [w.decode() for part in slice_(texts) for w in part]
-            for i in range(len(line) - size + 1):
-                if "." not in line[i : i + size]:
-                    want[" ".join(line[i : i + size])] += 1
-            seen.pop("", None)
-            assert seen == want
+        # Workers load the module anew, so the limits are lowered for a counter of this process.
+        for name, value in (("SLICE", 200), ("MAX_ENTRIES", 60), ("MAX_WORDS", 25), ("BURST", 3)):
+            monkeypatch.setattr(collocations, name, value)
+        texts = [(d[0] or "").encode() for d in docs]
+        counter = collocations.PhraseCounter("en", dict.fromkeys(range(1, longest + 1)), with_total=True)
+        seen, want = Counter(), Counter()
+        for batch in [*counter.feed(texts), *counter.flush()]:
+            assert batch["size"][0].as_py() == 0 or batch["phrase"].to_pylist() == sorted(batch["phrase"].to_pylist(), key=str.encode)
+            for size, p, n in zip(batch["size"].to_pylist(), batch["phrase"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                seen[size, p] += n
+        for text in texts:
+            for piece in re.split(rb"[.,;:!?\x0A-\x0D]", text.lower()):
+                w = [x.decode() for x in re.split(rb"[ \t]+", piece) if x]
+                want[0, ""] += len(w)
+                for size in range(1, longest + 1):
+                    want.update((size, " ".join(w[i : i + size])) for i in range(len(w) - size + 1))
+        assert seen == want
     got = mine_collocations(table, least=5, longest=longest, top=40).collect()
     assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got) == phrases_by_hand(docs, 5, longest, 40)
     assert mine_collocations(table.limit(0)).count() == 0

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.llm.shared import bound_batches, durable
-from wickerwork.llm.words import mix
+from wickerwork.llm.words import mix, span_hashes
 
 _U = np.uint64
 _ID_BITS = 20
@@ -33,55 +34,61 @@ SALT = 16
 
 # Signs that end a piece, and the one they are all mapped to.
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
+_BREAK = ord(".")
 _FOLD = bytearray(range(256))
 _FOLD[65:91] = bytes(range(97, 123))
 _FOLD[9] = 32
 for _b in _BREAKS:
-    _FOLD[_b] = ord(".")
+    _FOLD[_b] = _BREAK
 _FOLD = bytes(_FOLD)
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[32, _BREAK]] = False
 _KEYS = mix(np.arange(1, LONGEST + 1, dtype=_U) * _U(0x2545F4914F6CDD1D)) | _U(1)
-
-SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
-
-
-def word_slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The words of all texts in order, about SLICE bytes at a time; b"." stands between pieces and between texts."""
-    data = b".".join(texts).translate(_FOLD)
-    at = 0
+_LENGTH = _U(0x9E3779B97F4A7C15)
+
+SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+@dataclass
+class Words:
+    """Words of a slice of text: their bytes data[start:end], the piece each is in, and a 64-bit hash; the first `known` of them were in
+    the slice before, which a phrase over the border needs."""
+
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    hash: np.ndarray
+    known: int
+
+    def phrases(self, size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each word whether a phrase of `size` words of one piece starts there that ends among the new words; and all such phrases' hashes."""
+        m = max(0, len(self.start) - size + 1)
+        here = self.piece[:m] == self.piece[size - 1 : m + size - 1]
+        here[: max(0, self.known - size + 1)] = False
+        h = np.full(m, (salt + size) % 2**64, _U)
+        for j in range(size):
+            h += self.hash[j : m + j] * _KEYS[j]
+        return here, mix(h)
+
+
+def word_slices(texts: list[bytes], keep: int) -> Iterator[Words]:
+    """The words of all texts in order, about SLICE bytes at a time, after the last `keep` words of the slice before."""
+    data = b".".join(texts).translate(_FOLD) + b"."
+    at, head, known = 0, b"", 0
     while at < len(data):
         cut = data.find(b" ", at + SLICE)
         stop = len(data) if cut < 0 else cut
-        yield data[at:stop].replace(b".", b" . ").split()
+        own = head + data[at:stop]
         at = stop
-    yield [b"."]
-
-
-class _Words(dict):
-    """word -> id, 1 and up in order of appearance; 0 for a break and for words that the filter says are rare."""
-
-    def __init__(self, salt: int, known: np.ndarray | None):
-        self.salt, self.text, self.hashes = salt, [b""], [0]
-        self.known = None if known is None else memoryview(known.view(np.uint8))
-        self[b"."] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        raw = xxhash.xxh64_intdigest(word, self.salt)
-        if self.known is not None:
-            at = raw & len(self.known) * 8 - 1
-            if not self.known[at >> 3] >> (at & 7) & 1:
-                self[word] = 0
-                return 0
-        self[word] = found = len(self.text)
-        self.text.append(word)
-        self.hashes.append(raw)
-        return found
-
-
-def phrase_hashes(word_hashes: np.ndarray) -> np.ndarray:
-    """Hash of each row, a phrase of word hashes; a single word's is its own."""
-    if word_hashes.shape[1] == 1:
-        return word_hashes[:, 0]
-    return mix((word_hashes * _KEYS[: word_hashes.shape[1]]).sum(1, dtype=_U) + _U(word_hashes.shape[1]))
+        raw = np.frombuffer(own, np.uint8)
+        inside = np.concatenate([[False], _IN_WORD[raw], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        spans = span_hashes(raw.astype(_U) + _U(1), start, end)
+        yield Words(own, start, end, np.cumsum(raw == _BREAK)[start], mix(spans + (end - start).astype(_U) * _LENGTH), known)
+        known = min(keep, len(start))
+        head = own[start[len(start) - known] :] if known else b""
 
 
 def has_bits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -89,6 +96,10 @@ def has_bits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
+def salt_of(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
 class HatTrie:
     """Counts of phrases of `size` word ids: below each first word a container, a hash table from the packed ids of the other words to
     a count. A container of more than BURST suffixes bursts: a node of containers by the next word takes its place, as deep as words last."""
@@ -157,123 +168,163 @@ class HatTrie:
 
 
 class PhraseCounter:
-    """Counts phrases of `size` words of one language in a task; spilled subtrees come out as sorted runs. Single words need no trie below
-    them: their counts are an array by id."""
+    """Counts frequent phrases of one language in a task by their words, in one HAT-trie for each size; spilled subtrees come out as sorted
+    runs. sizes: size -> the filter that both parts of one word less pass (None: all phrases). Words that no phrase needs get no id."""
 
-    def __init__(self, lang: str, size: int, word_filter: np.ndarray | None, part_filter: np.ndarray | None):
-        self.lang, self.size, self.word_filter, self.part_filter = lang, size, word_filter, part_filter
-        self.salt = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        self.total, self.words, self.trie, self.single = 0, _Words(self.salt, word_filter), HatTrie(size), np.zeros(0, np.int64)
+    def __init__(self, lang: str, sizes: Mapping[int, np.ndarray | None], own: Mapping[int, np.ndarray] | None = None, with_total: bool = False):
+        self.lang, self.sizes, self.own, self.with_total, self.salt = lang, sizes, own or {}, with_total, salt_of(lang)
+        self.total = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[int, int] = {}
+        self.text: list[bytes] = []
+        self.tries = {size: HatTrie(size) for size in self.sizes}
+
+    @property
+    def entries(self) -> int:
+        return sum(t.entries for t in self.tries.values())
 
     def feed(self, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        carry = np.zeros(0, np.int64)
-        for words in word_slices(texts):
-            self.total += len(words) - words.count(b".")
-            new = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            ids = np.concatenate([carry, new])
-            carry = ids[max(0, len(ids) - self.size + 1) :] if self.size > 1 else carry
-            self._count(ids)
-            if len(self.words) > MAX_WORDS:
-                texts_of_carry = [self.words.text[i] for i in carry.tolist()]
-                yield from self.flush()
-                carry = np.array([self.words[w] if w else 0 for w in texts_of_carry], np.int64)
-            elif self.trie.entries > MAX_ENTRIES:
+        for words in word_slices(texts, max(self.sizes) - 1):
+            self.total += len(words.start) - words.known
+            self._count(words)
+            if len(self.text) > MAX_WORDS:
+                yield from self.spill(0)
+                self._forget()
+            elif self.entries > MAX_ENTRIES:
                 yield from self.spill(MAX_ENTRIES // 2)
 
-    def _count(self, ids: np.ndarray) -> None:
-        m, size = len(ids) - self.size + 1, self.size
-        if m <= 0:
-            return
-        good = ids[:m] > 0
-        for j in range(1, size):
-            good &= ids[j : m + j] > 0
-        if self.part_filter is not None:
-            hashes = np.array(self.words.hashes, _U)[ids]
-            parts = phrase_hashes(np.lib.stride_tricks.sliding_window_view(hashes, size - 1))
-            known = has_bits(self.part_filter, parts)
-            good &= known[:m] & known[1 : m + 1]
-        at = np.flatnonzero(good)
-        if not len(at):
-            return
-        if size == 1:
-            seen = np.bincount(ids[at], minlength=len(self.words.text))
-            seen[: len(self.single)] += self.single
-            self.single = seen
+    def _count(self, words: Words) -> None:
+        starts = {}
+        for size, parts in self.sizes.items():
+            here, hashes = words.phrases(size, self.salt)
+            if size in self.own:
+                here &= has_bits(self.own[size], hashes)
+            if parts is not None and len(here):
+                known = has_bits(parts, words.phrases(size - 1, self.salt)[1])
+                here &= known[: len(here)] & known[1 : len(here) + 1]
+            starts[size] = np.flatnonzero(here)
+        used = np.zeros(len(words.start), bool)
+        for size, at in starts.items():
+            for j in range(size):
+                used[at + j] = True
+        places = np.flatnonzero(used)
+        if not len(places):
             return
+        distinct, first, inverse = np.unique(words.hash[places], return_index=True, return_inverse=True)
+        own_ids = np.empty(len(distinct), np.int64)
+        for i, (h, at) in enumerate(zip(distinct.tolist(), places[first].tolist(), strict=True)):
+            found = self.ids.get(h)
+            if found is None:
+                found = self.ids[h] = len(self.text)
+                self.text.append(words.data[words.start[at] : words.end[at]])
+            own_ids[i] = found
+        ids = np.zeros(len(words.start), np.int64)
+        ids[places] = own_ids[inverse]
+        for size, at in starts.items():
+            if len(at):
+                self._add(size, ids, at)
+
+    def _add(self, size: int, ids: np.ndarray, at: np.ndarray) -> None:
         first, suffix = ids[at], np.zeros(len(at), np.int64)
         for j in range(1, size):
             suffix = (suffix << _ID_BITS) | ids[at + j]
-        order = np.lexsort((suffix, first))
+        order = np.lexsort((suffix, first)) if size > 1 else np.argsort(first, kind="stable")
         first, suffix = first[order], suffix[order]
         new = np.concatenate([[True], (first[1:] != first[:-1]) | (suffix[1:] != suffix[:-1])])
         start = np.flatnonzero(new)
-        self.trie.add(first[start], suffix[start], np.diff(np.append(start, len(first))))
+        self.tries[size].add(first[start], suffix[start], np.diff(np.append(start, len(first))))
 
     def spill(self, down_to: int) -> Iterator[pa.RecordBatch]:
         """Whole subtrees, largest first, until down_to phrases are left; about 50,000 phrases make a run, sorted by phrase."""
-        if self.size == 1 and len(self.single):
-            found = np.flatnonzero(self.single)
-            yield self._run(found, np.zeros(len(found), np.int64), self.single[found])
-        firsts, sizes, suffixes, counts = [], [], [], []
-        for word in self.trie.largest():
-            if self.trie.entries <= down_to:
-                break
-            firsts.append(word)
-            sizes.append(self.trie.take(word, suffixes, counts))
-            if len(counts) > 50_000:
-                yield self._run(np.repeat(firsts, sizes), suffixes, counts)
-                firsts, sizes, suffixes, counts = [], [], [], []
-        if counts:
-            yield self._run(np.repeat(firsts, sizes), suffixes, counts)
-
-    def _run(self, first: np.ndarray, suffixes: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> pa.RecordBatch:
-        ids, suffix = np.empty((len(counts), self.size), np.int64), np.array(suffixes, np.int64)
-        for j in range(self.size - 1, 0, -1):
+        for size, trie in self.tries.items():
+            least = down_to // len(self.tries)
+            firsts, sizes, suffixes, counts = [], [], [], []
+            for word in trie.largest():
+                if trie.entries <= least:
+                    break
+                firsts.append(word)
+                sizes.append(trie.take(word, suffixes, counts))
+                if len(counts) > 50_000:
+                    yield self._run(size, np.repeat(firsts, sizes), suffixes, counts)
+                    firsts, sizes, suffixes, counts = [], [], [], []
+            if counts:
+                yield self._run(size, np.repeat(firsts, sizes), suffixes, counts)
+
+    def _run(self, size: int, first: np.ndarray, suffixes: list[int], counts: list[int]) -> pa.RecordBatch:
+        ids, suffix = np.empty((len(counts), size), np.int64), np.array(suffixes, np.int64)
+        for j in range(size - 1, 0, -1):
             ids[:, j] = suffix & (1 << _ID_BITS) - 1
             suffix = suffix >> _ID_BITS
         ids[:, 0] = first
-        keys = phrase_hashes(np.array(self.words.hashes, _U)[ids]).view(np.int64)
         used, place = np.unique(ids, return_inverse=True)
-        texts = pa.array([self.words.text[i] for i in used.tolist()], pa.binary()).cast(pa.string())
-        columns = [texts.take(pa.array(place.reshape(ids.shape)[:, j])) for j in range(self.size)]
+        texts = pa.array([self.text[i] for i in used.tolist()], pa.binary()).cast(pa.string())
+        columns = [texts.take(pa.array(place.reshape(ids.shape)[:, j])) for j in range(size)]
         joined = lambda some: pc.binary_join_element_wise(*some, " ") if len(some) > 1 else some[0]
-        run = pa.table({"lang": pa.repeat(pa.scalar(self.lang), len(counts)), "prefix": joined(columns[:2]), "phrase": joined(columns), "h": pa.array(keys), "n": pa.array(counts, pa.int64())})
+        run = pa.table({
+            "lang": pa.repeat(pa.scalar(self.lang), len(counts)), "size": pa.repeat(pa.scalar(size, pa.int32()), len(counts)),
+            "prefix": joined(columns[:2]), "phrase": joined(columns), "n": pa.array(counts, pa.int64()),
+        })
         return run.sort_by("phrase").combine_chunks().to_batches()[0]
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """All there is; the words are forgotten."""
         yield from self.spill(0)
-        if self.total and self.size == 1:
-            yield pa.RecordBatch.from_pydict({"lang": [self.lang], "prefix": [""], "phrase": [""], "h": [0], "n": [self.total]}, schema=SCHEMA)
-        self.total, self.words, self.trie, self.single = 0, _Words(self.salt, self.word_filter), HatTrie(self.size), np.zeros(0, np.int64)
+        if self.total and self.with_total:
+            yield pa.RecordBatch.from_pydict({"lang": [self.lang], "size": [0], "prefix": [""], "phrase": [""], "n": [self.total]}, schema=SCHEMA)
+        self.total = 0
+        self._forget()
+
+
+def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
+    texts: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        texts.setdefault(lang, []).append(text)
+    return texts
 
 
-def _runs(docs: DataFrame, size: int, filters: list) -> DataFrame:
-    """Sorted runs of the phrases of `size` words in docs(lang, text) that may be frequent."""
+def _hashed(docs: DataFrame, size: int, parts) -> DataFrame:
+    """(h, n): phrases of `size` words of docs(lang, text) by hash alone, of which both parts pass the filter, summed over slices of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_filter = filters[0].value if size > 1 else None
-        part_filter = filters[size - 2].value if size > 2 else None
+        for batch in batches:
+            for lang, texts in _by_lang(batch).items():
+                salt = salt_of(lang)
+                for words in word_slices(texts, size - 1):
+                    here, hashes = words.phrases(size, salt)
+                    if parts is not None and len(here):
+                        known = has_bits(parts.value, words.phrases(size - 1, salt)[1])
+                        here &= known[: len(here)] & known[1 : len(here) + 1]
+                    found, n = np.unique(hashes[here], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return docs.mapInArrow(run, "h long, n long")
+
+
+def _runs(docs: DataFrame, sizes: Mapping, own: Mapping, with_total: bool) -> DataFrame:
+    """Sorted runs (lang, size, prefix, phrase, n) of the phrases in docs(lang, text) that PhraseCounter counts; size 0 is the number of words.
+    sizes and own hold broadcast filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda filters: {k: f and f.value for k, f in filters.items()}
         counters: dict[str, PhraseCounter] = {}
         for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, own in texts.items():
+            for lang, texts in _by_lang(batch).items():
                 if lang not in counters:
-                    counters[lang] = PhraseCounter(lang, size, word_filter, part_filter)
-                yield from counters[lang].feed(own)
-            while sum(c.trie.entries for c in counters.values()) > MAX_ENTRIES or sum(len(c.words) for c in counters.values()) > MAX_WORDS:
-                fullest = max(counters, key=lambda x: (counters[x].trie.entries + len(counters[x].words), x))
+                    counters[lang] = PhraseCounter(lang, read(sizes), read(own), with_total)
+                yield from counters[lang].feed(texts)
+            while sum(c.entries for c in counters.values()) > MAX_ENTRIES or sum(len(c.text) for c in counters.values()) > MAX_WORDS or len(counters) > 1000:
+                fullest = max(counters, key=lambda x: (counters[x].entries + len(counters[x].text), x))
                 yield from counters.pop(fullest).flush()
         for counter in counters.values():
             yield from counter.flush()
 
-    return docs.mapInArrow(run, "lang string, prefix string, phrase string, h long, n long")
+    return docs.mapInArrow(run, "lang string, size int, prefix string, phrase string, n long")
 
 
 def bit_filter(frequent: DataFrame):
-    """A broadcast bit map with the hashes of all frequent phrases set: 16 bits a phrase within FILTER_BITS. A phrase that is not in it is
+    """A broadcast bit map with the hashes h of all frequent phrases set: 16 bits a phrase within FILTER_BITS. A phrase that is not in it is
     not frequent; of others some may be in it, the more the fuller it is, which costs work and nothing else."""
     bits = max(FILTER_BITS[0], min(FILTER_BITS[1], 1 << (16 * frequent.count()).bit_length()))
     place = F.col("h").bitwiseAND(bits - 1)
@@ -283,18 +334,37 @@ def bit_filter(frequent: DataFrame):
     return frequent.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def frequent_phrases(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
-    """For each size from 1 to `longest` the table (lang, phrase, h, n) of phrases with n >= least; size 1 has, as the phrase '', all
-    words of the language. A phrase is frequent only if the two phrases of one word less in it are, so that each pass over the texts counts
-    only phrases whose parts the pass before found frequent (by a filter without false negatives)."""
-    filters, found = [], []
-    for size in range(1, longest + 1):
-        runs = _runs(docs, size, filters)
-        merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase", "h").agg(F.sum("n").alias("n"))
-        kept = durable(merged.where(f"n >= {least} OR phrase = ''").select("lang", "phrase", "h", "n"))
-        found.append(kept)
-        if size < longest:
-            filters.append(bit_filter(kept.where("phrase <> ''")))
+def _phrase_hash(frequent: DataFrame) -> DataFrame:
+    """The hashes h that the counting gives the phrases of frequent(lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = next(word_slices([phrase], 0))
+                found.append(words.phrases(len(words.start), salt_of(lang))[1][0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, _U).view(np.int64))], names=["h"])
+
+    return frequent.select("lang", "phrase").mapInArrow(run, "h long")
+
+
+def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
+    """(lang, size, phrase, n) of the phrases of docs(lang, text) of 1 to `longest` words with n >= least, and, as size 0, all words of a language.
+
+    A phrase is frequent only if its two parts of one word less are. So words are counted by hash first, then pairs of frequent words by
+    hash; these sums may hold several phrases each, so that no frequent one is missed. The filters of what reached `least` leave few enough
+    phrases to be counted by their words in HAT-tries: words, pairs and triples in one pass, then phrases of four of which both triples
+    are frequent. Runs meet in prefix partitions, by language and first two words, where equal phrases are summed."""
+    merged = lambda runs: runs.repartition("lang", "prefix").groupBy("lang", "prefix", "size", "phrase").agg(F.sum("n").alias("n")).where(f"n >= {least} OR size = 0").drop("prefix")
+    filters = {0: None}
+    for size in (1, 2):
+        sums = _hashed(docs, size, filters[size - 1]).groupBy("h").agg(F.sum("n").alias("n"))
+        filters[size] = bit_filter(durable(sums.where(f"n >= {least}").select("h")))
+    sizes = {1: None, 2: None} | ({3: filters[2]} if longest > 2 else {})
+    found = durable(merged(_runs(docs, sizes, {1: filters[1], 2: filters[2]}, True)))
+    if longest > 3:
+        triples = bit_filter(_phrase_hash(found.where("size = 3")))
+        found = found.union(durable(merged(_runs(docs, {4: triples}, {}, False))))
     return found
 
 
@@ -316,11 +386,8 @@ def mine_collocations(
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = frequent_phrases(texts, least, longest)
-    totals = found[0].where("phrase = ''").groupBy("lang").agg(F.sum("n").alias("words"))
-    words = found[0].where("phrase <> ''")
-    longer = found[1]
-    for table in found[2:]:
-        longer = longer.union(table)
+    totals = found.where("size = 0").groupBy("lang").agg(F.sum("n").alias("words"))
+    words, longer = found.where("size = 1"), found.where("size > 1")
     candidates = longer.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickerwork.operators.skew import LEAST, heavy_keys, lookup_join
+
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names (on a local master without it, in an own folder): the lineage
@@ -23,19 +25,29 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, least: int = LEAST) -> DataFrame:
     """(node, component) of edges(a, b): the smallest node of the component. Labels move to neighbours, then jump to their
-    label's label; a round is two joins, the state is written each round, and the loop ends when nothing changes."""
-    edges = written(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
-    both = edges.union(edges.select("b", "a")).toDF("node", "other")
+    label's label; a round is two joins, the state is written each round, and the loop ends when nothing changes.
+
+    A node of very many edges, and a label that very many nodes have, are heavy keys of those joins: what is looked up for them is
+    broadcast (see lookup_join), so that their rows stay where they are and no task gets a hub. Minima are combined before the shuffle."""
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    both = written(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
     label = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
+    hubs = heavy_keys(both, "other", least).select("other")
     while True:
-        seen = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other")
+        named = label.select(F.col("node").alias("other"), F.col("component").alias("c"))
+        seen = _joined(both, named, "other", hubs)
         low = seen.groupBy("node").agg(F.min("c").alias("m"))
-        step = label.join(low, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = step.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        new = step.join(jump, F.col("component") == F.col("n2"), "left").select("node", "old", F.least("component", F.coalesce("c2", "component")).alias("component"))
-        new = written(new)
+        step = written(label.join(low, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")))
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("c2"))
+        new = _joined(step, jump, "component", heavy_keys(step, "component", least).select("component"))
+        new = written(new.select("node", "old", F.least("component", "c2").alias("component")))
         if not new.where("component <> old").limit(1).count():
             return new.select("node", "component")
         label = new.select("node", "component")
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """lookup_join where there are heavy keys, else a plain join; every key is in the table."""
+    return lookup_join(rows, table, key, heavy=heavy) if heavy.limit(1).count() else rows.join(table, key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import has_text, null_text
+from wickerwork.operators.skew import heavy_light_join
 
 
 def _last(df: DataFrame, key: str, order: Column | str, first: bool = False) -> DataFrame:
@@ -98,10 +99,12 @@ def reverse_index(mapping: DataFrame, namespace: str, hub: str, order: str) -> D
 
 def build_pairs(enz: DataFrame, rxn_sub: DataFrame, substrates: DataFrame, fasta: DataFrame, orf_pattern: str = r"Y[A-P][LR][0-9]{3}[WC](?:-[A-Z])?") -> DataFrame:
     """enz(enzyme_id, relevance_class, orf_text), rxn_sub(reaction_id, relevance_class, substrate_id), substrates(substrate_id,
-    smiles), fasta(seq_id, sequence): prediction inputs of rows that have a sequence."""
+    smiles), fasta(seq_id, sequence): prediction inputs of rows that have a sequence. A class that holds a large part of either side is
+    dealt over a grid (see heavy_light_join); of its pairs every task gets a part."""
     candidates = enz.select("enzyme_id", "relevance_class", F.explode(F.array_distinct(F.regexp_extract_all("orf_text", F.lit(f"({orf_pattern})"), 1))).alias("seq_id"))
     with_sequence = candidates.join(fasta.select("seq_id", "sequence"), "seq_id")
-    return with_sequence.join(rxn_sub, "relevance_class").join(substrates, "substrate_id").select(
+    reactions = rxn_sub.select("reaction_id", "relevance_class", "substrate_id").join(substrates.select("substrate_id", "smiles"), "substrate_id")
+    return heavy_light_join(with_sequence, reactions, "relevance_class").select(
         "enzyme_id", "seq_id", "reaction_id", "substrate_id", "relevance_class", "smiles", "sequence"
     )
 

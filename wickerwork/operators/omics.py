@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickerwork.operators.graph import written
 from wickerwork.operators.ranking import top_k_per_group
+from wickerwork.operators.skew import lookup_join
+
+#: Metabolites of more reactions make no pairs of reactions (see metabolite_neighbours).
+HUB_DEGREE = 1000
 
 
 def expression_long(wide: DataFrame, gene: str, conditions: Sequence[str]) -> DataFrame:
@@ -49,24 +54,66 @@ def expression_classes(expr: DataFrame, gpr: DataFrame, low: float = 0.25, high:
 
 
 def gene_correlation(expr: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
-    """pairs(gene_a, gene_b) with correlation over the conditions both have; 0 without variance, null below `least` conditions."""
-    a = expr.select(F.col("gene_id").alias("gene_a"), "condition", F.col("value").alias("x"))
-    b = expr.select(F.col("gene_id").alias("gene_b"), "condition", F.col("value").alias("y"))
-    rows = pairs.select("gene_a", "gene_b").distinct().join(a, "gene_a").join(b, ["gene_b", "condition"])
-    per = rows.groupBy("gene_a", "gene_b").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    flat = (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12)
-    return per.select("gene_a", "gene_b", F.when(F.col("n") >= least, F.when(flat, 0.0).otherwise(F.col("c") / F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)))).alias("correlation"))
-
-
-def metabolite_neighbours(stoich: DataFrame, cap: int = 20, hub_degree: int | None = None) -> DataFrame:
+    """pairs(gene_a, gene_b) with correlation over the conditions both have; 0 without variance, null below `least` conditions. A gene's values
+    are packed into one row first, so that a pair is one row with two vectors and not a row for each condition. Of repeated (gene, condition)
+    rows the mean counts."""
+    values = expr.where("value IS NOT NULL").groupBy("gene_id", "condition").agg(F.avg("value").alias("value"))
+    packed = values.groupBy("gene_id").agg(F.map_from_entries(F.collect_list(F.struct("condition", "value"))).alias("v"))
+    side = lambda gene, v: packed.select(F.col("gene_id").alias(gene), F.col("v").alias(v))
+    both = pairs.select("gene_a", "gene_b").distinct().join(side("gene_a", "va"), "gene_a").join(side("gene_b", "vb"), "gene_b")
+    both = both.withColumn("c", F.array_sort(F.array_intersect(F.map_keys("va"), F.map_keys("vb")))).where(F.size("c") > 0)
+    of = lambda v: F.transform("c", lambda c: F.try_element_at(v, c))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+    both = both.withColumns({"x": of("va"), "y": of("vb")}).withColumns({"tx": total(F.col("x")) / F.size("c"), "ty": total(F.col("y")) / F.size("c")})
+    both = both.withColumns({"x": F.transform("x", lambda v: v - F.col("tx")), "y": F.transform("y", lambda v: v - F.col("ty"))})
+    sums = both.select("gene_a", "gene_b", F.size("c").alias("n"), product("x", "y").alias("xy"), product("x", "x").alias("xx"), product("y", "y").alias("yy"))
+    deviation = lambda s: F.sqrt(F.col(s) / F.col("n"))
+    flat = (deviation("xx") < 1e-12) | (deviation("yy") < 1e-12)
+    r = F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))
+    return sums.select("gene_a", "gene_b", F.when(F.col("n") >= least, F.when(flat, 0.0).otherwise(r)).alias("correlation"))
+
+
+def hub_metabolites(stoich: DataFrame, degree: int = HUB_DEGREE) -> DataFrame:
+    """met_id, reactions: metabolites of more than `degree` reactions, which metabolite_neighbours counts without making their pairs."""
+    return stoich.select("reaction_id", "met_id").distinct().groupBy("met_id").agg(F.count("*").alias("reactions")).where(F.col("reactions") > degree)
+
+
+def metabolite_neighbours(stoich: DataFrame, cap: int = 20, hub_degree: int | None = None, pairs_up_to: int = HUB_DEGREE) -> DataFrame:
     """reaction_id, neighbour, shared: reactions that share a metabolite, at most `cap` for each (a display limit of the operator),
-    by number of shared metabolites, then id. hub_degree leaves out metabolites of more reactions, water and the like."""
+    by number of shared metabolites, then id. hub_degree leaves out metabolites of more reactions, water and the like.
+
+    Metabolites of at most pairs_up_to reactions are counted by pairs. The others, hubs, make no pairs: a reaction has a signature, the sorted
+    list of its hubs, and two signatures share as many hubs as their lists do. What counts for a pair is pairs + shared hubs. A
+    neighbour by hubs alone can only be among the first cap + 1 reactions, by shared hubs and id, of all for that signature: every other one
+    has at least `cap` before it. So a metabolite of all reactions adds cap + 1 rows a reaction, and the result is exact."""
     rows = stoich.select("reaction_id", "met_id").distinct()
     if hub_degree is not None:
-        hubs = rows.groupBy("met_id").agg(F.count("*").alias("d")).where(F.col("d") > hub_degree).select("met_id")
-        rows = rows.join(hubs, "met_id", "left_anti")
-    other = rows.select(F.col("reaction_id").alias("neighbour"), "met_id")
-    shared = rows.join(other, "met_id").where("reaction_id <> neighbour").groupBy("reaction_id", "neighbour").agg(F.count("*").alias("shared"))
+        rows = rows.join(hub_metabolites(rows, hub_degree).select("met_id"), "met_id", "left_anti")
+    rows = written(rows)
+    hubs = written(hub_metabolites(rows, pairs_up_to).select("met_id", F.lit(True).alias("hub")))
+    if hubs.limit(1).count():
+        flagged = written(lookup_join(rows, hubs, "met_id", "left"))
+        light, heavy = flagged.where("hub IS NULL").drop("hub"), flagged.where("hub").drop("hub")
+    else:
+        light, heavy = rows, None
+    other = light.select(F.col("reaction_id").alias("neighbour"), "met_id")
+    pairs = light.join(other, "met_id").where("reaction_id <> neighbour").groupBy("reaction_id", "neighbour").agg(F.count("*").alias("pairs"))
+    if heavy is None:
+        return top_k_per_group(pairs.withColumnRenamed("pairs", "shared"), "reaction_id", [F.desc("shared"), "neighbour"], cap, "n").drop("n")
+
+    signed = written(heavy.groupBy("reaction_id").agg(F.array_sort(F.collect_set("met_id")).alias("s")))
+    kinds = written(top_k_per_group(signed, "s", ["reaction_id"], cap + 1, "nth"))
+    lists = kinds.where("nth = 1").select("s", F.explode("s").alias("met_id"))
+    common = lists.join(lists.withColumnsRenamed({"s": "s2"}), "met_id").groupBy("s", "s2").agg(F.count("*").alias("hubs"))
+    first = common.join(kinds.select(F.col("s").alias("s2"), F.col("reaction_id").alias("neighbour")), "s2")
+    first = top_k_per_group(first, "s", [F.desc("hubs"), "neighbour"], cap + 1, "nth").select("s", "neighbour")
+    listed = first.groupBy("s").agg(F.collect_list("neighbour").alias("first"))
+    by_hubs = lookup_join(signed, listed, "s").select("reaction_id", F.explode("first").alias("neighbour")).where("reaction_id <> neighbour")
+    candidates = pairs.unionByName(by_hubs.withColumn("pairs", F.lit(0).cast("long"))).groupBy("reaction_id", "neighbour").agg(F.sum("pairs").alias("pairs"))
+    mine, theirs = signed.withColumnRenamed("s", "s1"), signed.select(F.col("reaction_id").alias("neighbour"), F.col("s").alias("s2"))
+    both = lookup_join(written(candidates), theirs, "neighbour", "left").join(mine, "reaction_id", "left")
+    shared = both.select("reaction_id", "neighbour", (F.col("pairs") + F.coalesce(F.size(F.array_intersect("s1", "s2")), F.lit(0))).alias("shared"))
     return top_k_per_group(shared, "reaction_id", [F.desc("shared"), "neighbour"], cap, "n").drop("n")
 
 

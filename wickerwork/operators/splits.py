@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import assign_split, has_text, stable_bucket
-from wickerwork.operators.graph import connected_components, written
+from wickerwork.operators.graph import connected_components
+from wickerwork.operators.similarity import cut_forest, similarity_links, spanning_forest
 
 
 def _with_split(df: DataFrame, key: str = "split_key") -> DataFrame:
@@ -45,47 +46,27 @@ def cluster_split(df: DataFrame, id_col: str, ids: DataFrame, member_rep: DataFr
     return _set_split(df, id_col, tokens, F.col("representative").cast("string"), "cluster_set", equation)
 
 
-def similarity_candidates(df: DataFrame, id_col: str, text: str, k: int = 5, bands: int = 20, rows: int = 3) -> DataFrame:
-    """(a, b, jaccard, coverage) of texts that share a bucket of a banded MinHash over k-character shingles, compared exactly:
-    jaccard of the shingle sets, coverage = the smaller share that the common shingles have of either set. Equal sets are one
-    node; a bucket is a star around its smallest member, so its rows grow with its members and not their pairs. The bucket keys are
-    written once, as both the centres and their members are read from them."""
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(k)))))
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles).alias("s")).where(has_text(text))
-    least = lambda j: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(j))))
-    keys = [F.xxhash64(*(least(j) for j in range(b * rows, b * rows + rows)), F.lit(b)) for b in range(bands)]
-    keyed = written(sets.select("id", F.posexplode(F.array(*keys)).alias("band", "key")))
-    centres = keyed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = keyed.join(centres, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select(
-        "a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"), (common / F.greatest(F.size("sa"), F.size("sb"))).alias("coverage")
-    )
-
-
-def clusters_at(df: DataFrame, id_col: str, candidates: DataFrame, identity: float, coverage: float) -> DataFrame:
-    """(member, representative): connected candidates of at least that identity and coverage; others represent themselves."""
-    linked = connected_components(candidates.where((F.col("jaccard") >= identity) & (F.col("coverage") >= coverage)).select("a", "b"))
+def similarity_clusters(df: DataFrame, id_col: str, text: str, k: int = 5, identity: float = 0.5, coverage: float = 0.5) -> DataFrame:
+    """(member, representative): texts linked by shingle sets of that identity and coverage, directly or through others, are represented by
+    the smallest id; every similar pair counts (see similarity_links). Others represent themselves."""
+    linked = connected_components(similarity_links(df, id_col, text, k, identity, coverage).select("a", "b"))
     members = df.select(F.col(id_col).alias("member")).distinct()
     return members.join(linked.select(F.col("node").alias("member"), "component"), "member", "left").select("member", F.coalesce("component", "member").alias("representative"))
 
 
-def similarity_clusters(df: DataFrame, id_col: str, text: str, k: int = 5, identity: float = 0.5, coverage: float = 0.5) -> DataFrame:
-    return clusters_at(df, id_col, similarity_candidates(df, id_col, text, k), identity, coverage)
-
-
 def threshold_sweep(df: DataFrame, id_col: str, text: str, thresholds: Sequence[float], coverage: float = 0.5, k: int = 5) -> DataFrame:
-    """threshold, clusters, rows, train, dev, test, crossing_keys: one candidate table, clustered at each threshold."""
-    candidates, out = similarity_candidates(df, id_col, text, k), None
-    for t in thresholds:
-        clusters = clusters_at(df, id_col, candidates, t, coverage)
-        split = cluster_split(df, id_col, clusters.select(F.col("member").alias(id_col), "member"), clusters)
-        crossing = split.groupBy("split_key").agg(F.count_distinct("split").alias("s")).agg(F.count_if(F.col("s") > 1).alias("crossing_keys"))
-        one = split.agg(F.count_distinct("split_key").alias("clusters"), F.count("*").alias("rows"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "dev", "test")))
-        one = one.join(crossing, how="cross").select(F.lit(float(t)).alias("threshold"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """threshold, clusters, rows, train, dev, test, crossing_keys: the links down to the lowest threshold make one spanning forest, which is
+    cut at every threshold; all thresholds are counted in one pass."""
+    links = similarity_links(df, id_col, text, k, min(thresholds), coverage, tight=max(thresholds))
+    cut = cut_forest(spanning_forest(links), thresholds)
+    members = df.select(F.col(id_col).alias("node")).distinct().select("node", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    clusters = members.join(cut, ["threshold", "node"], "left").withColumn("representative", F.coalesce("component", "node").cast("string"))
+    keyed = _with_split(clusters.withColumn("split_key", F.concat(F.lit("cluster_set:"), F.sha2("representative", 256))))
+    counts = [F.count_if(F.col("split") == s) for s in ("train", "dev", "test")]
+    per = keyed.groupBy("threshold", "split_key").agg(F.count("*").alias("rows"), *(c.alias(s) for c, s in zip(counts, ("train", "dev", "test"), strict=True)), F.count_distinct("split").alias("splits"))
+    return per.groupBy("threshold").agg(
+        F.count("*").alias("clusters"), *(F.sum(c).alias(c) for c in ("rows", "train", "dev", "test")), F.count_if(F.col("splits") > 1).alias("crossing_keys")
+    )
 
 
 def unified_group_split(rows: DataFrame, id_col: str, tokens: DataFrame) -> DataFrame:

@@ -210,28 +210,33 @@ def h3_cluster_split(t: Tables) -> DataFrame:
     return H.cluster_split(t.orders, "o_orderkey", ids, reps).select("o_orderkey", "split_key", "split")
 
 
-#: All pairs of texts compared, and (t, node, r): node and r are linked at threshold t, directly or through others.
+#: All pairs of documents with a common shingle compared in full, and (t, node, r): node and r are linked at threshold t, directly or
+#: through others.
 _ALIKE = """
-WITH RECURSIVE g AS (SELECT item_id AS id, list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5))) AS s FROM benchmark WHERE trim(text) <> ''),
-c AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS n, len(x.s) AS na, len(y.s) AS nb FROM g x JOIN g y ON x.id <> y.id),
-u AS (SELECT t, a, b FROM c, (SELECT unnest({}) AS t) WHERE n / (na + nb - n) >= t AND n / greatest(na, nb) >= 0.5),
+WITH RECURSIVE s AS (SELECT DISTINCT id, substr(text, i, 8) AS x FROM (
+  SELECT doc_id AS id, text, unnest(range(1, greatest(length(text) - 7, 1) + 1)) AS i FROM documents WHERE trim(text) <> '')),
+m AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM s x JOIN s y ON x.x = y.x AND x.id < y.id GROUP BY 1, 2),
+c AS (SELECT a, b, o.n, p.n AS na, q.n AS nb FROM o JOIN m p ON p.id = a JOIN m q ON q.id = b),
+v AS (SELECT t, a, b FROM c, (SELECT unnest({}) AS t) WHERE n / (na + nb - n) >= t AND n / greatest(na, nb) >= 0.5),
+u AS (SELECT t, a, b FROM v UNION ALL SELECT t, b, a FROM v),
 w AS (SELECT t, a AS node, a AS r FROM u UNION SELECT u.t, u.b, w.r FROM w JOIN u ON u.t = w.t AND u.a = w.node)
 """
 
 
-@query(_ALIKE.format("[0.5]") + "SELECT item_id AS member, coalesce(min(r), item_id) AS representative FROM benchmark LEFT JOIN w ON node = item_id GROUP BY item_id")
+@query(_ALIKE.format("[0.5]") + "SELECT doc_id AS member, coalesce(min(r), doc_id) AS representative FROM documents LEFT JOIN w ON node = doc_id GROUP BY doc_id")
 def h4_similarity_clusters(t: Tables) -> DataFrame:
-    return H.similarity_clusters(t.benchmark, "item_id", "text", 5, 0.5, 0.5)
+    return H.similarity_clusters(t.documents, "doc_id", "text", 8, 0.5, 0.5)
 
 
 @query(_ALIKE.format("[0.3, 0.5, 0.7, 0.9]") + f"""
-, k AS (SELECT o.t, 'cluster_set:' || sha256(coalesce(min(r), item_id)::VARCHAR) AS k FROM (SELECT item_id, unnest([0.3, 0.5, 0.7, 0.9]) AS t FROM benchmark) o LEFT JOIN w ON node = item_id AND w.t = o.t GROUP BY o.t, item_id),
+, k AS (SELECT o.t, 'cluster_set:' || sha256(coalesce(min(r), doc_id)::VARCHAR) AS k FROM (SELECT doc_id, unnest([0.3, 0.5, 0.7, 0.9]) AS t FROM documents) o LEFT JOIN w ON node = doc_id AND w.t = o.t GROUP BY o.t, doc_id),
 d AS (SELECT *, {_SPLIT} AS split FROM (SELECT *, ('0x' || substr(sha256(k), 1, 12))::BIGINT % 100 AS b FROM k))
 SELECT t::DOUBLE AS threshold, count(DISTINCT k) AS clusters, count(*) AS rows, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev,
   count(*) FILTER (split = 'test') AS test, 0::BIGINT AS crossing_keys FROM d GROUP BY t
 """)
 def h5_threshold_sweep(t: Tables) -> DataFrame:
-    return H.threshold_sweep(t.benchmark, "item_id", "text", [0.3, 0.5, 0.7, 0.9])
+    return H.threshold_sweep(t.documents, "doc_id", "text", [0.3, 0.5, 0.7, 0.9], k=8)
 
 
 _EDGES = """
@@ -248,11 +253,23 @@ def h6_connected_components(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH tok AS (SELECT doc_id, 'lang_source:' || lang || source AS token FROM documents WHERE n_chars > 6000 UNION SELECT doc_id, 'text:' || sha256(text) FROM documents WHERE n_chars <= 6000)
-SELECT doc_id, 'unified:' || sha256(token) AS group_key FROM tok
+WITH RECURSIVE tok AS (
+  SELECT doc_id, 'text:' || sha256(text) AS token FROM documents
+  UNION SELECT doc_id, 'first:' || sha256(string_split(text, chr(10))[1]) FROM documents WHERE length(string_split(text, chr(10))[1]) >= 20
+  UNION SELECT doc_id, 'last:' || sha256(string_split(text, chr(10))[-1]) FROM documents WHERE length(string_split(text, chr(10))[-1]) >= 20),
+e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY token) AS b FROM tok),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT a AS node, a AS r FROM u UNION SELECT u.b, w.r FROM w JOIN u ON u.a = w.node),
+m AS (SELECT node, min(r) AS r FROM w GROUP BY 1),
+k AS (SELECT r, 'unified:' || sha256(min(token)) AS group_key FROM m JOIN tok ON doc_id = node GROUP BY 1)
+SELECT node AS doc_id, group_key FROM m JOIN k USING (r)
 """)
 def h7_unified_group_split(t: Tables) -> DataFrame:
-    tokens = t.documents.select("doc_id", F.expr("if(n_chars > 6000, 'lang_source:' || lang || source, 'text:' || sha2(text, 256))").alias("token"))
+    """Documents with the same text, first line or last line (of 20 characters and more), directly or through others."""
+    lines = F.split("text", "\n")
+    token = lambda name, x: F.when(F.length(x) >= 20, F.concat(F.lit(f"{name}:"), F.sha2(x, 256)))
+    own = F.array_compact(F.array(F.concat(F.lit("text:"), F.sha2("text", 256)), token("first", F.get(lines, F.lit(0))), token("last", F.element_at(lines, -1))))
+    tokens = t.documents.select("doc_id", F.explode(own).alias("token"))
     return H.unified_group_split(t.documents.select("doc_id"), "doc_id", tokens).select("doc_id", "group_key")
 
 

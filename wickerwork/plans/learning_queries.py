@@ -251,6 +251,18 @@ def o5_metabolite_neighbours(t: Tables) -> DataFrame:
     return O.metabolite_neighbours(_stoich(t), 10, hub_degree=100)
 
 
+@query("""
+WITH s AS (SELECT DISTINCT l_suppkey % 200 AS r, l_partkey % 40 AS m FROM lineitem UNION SELECT DISTINCT l_suppkey % 200, -1 FROM lineitem),
+p AS (SELECT a.r AS reaction_id, b.r AS neighbour, count(*) AS shared FROM s a JOIN s b ON a.m = b.m AND a.r <> b.r GROUP BY 1, 2)
+SELECT reaction_id, neighbour, shared FROM (SELECT *, row_number() OVER (PARTITION BY reaction_id ORDER BY shared DESC, neighbour) AS n FROM p) WHERE n <= 20
+""")
+def o5_hub_neighbours(t: Tables) -> DataFrame:
+    """No metabolite is left out, though one (-1) is in every reaction and others are in many."""
+    own = t.lineitem.select((F.col("l_suppkey") % 200).alias("reaction_id"), (F.col("l_partkey") % 40).alias("met_id"))
+    every = own.select("reaction_id", F.lit(-1).cast("long").alias("met_id"))
+    return O.metabolite_neighbours(own.union(every).distinct(), 20, pairs_up_to=50)
+
+
 @query("""
 WITH x AS (SELECT user_id AS g, event_type AS c, round(sum(value), 4) AS v FROM events GROUP BY 1, 2), ru AS (SELECT DISTINCT user_id % 60 AS r, user_id AS g FROM events),
 s AS (SELECT DISTINCT l_suppkey % 500 AS r, l_partkey AS m FROM lineitem), s2 AS (SELECT * FROM s WHERE m NOT IN (SELECT m FROM s GROUP BY m HAVING count(*) > 100)),

@@ -139,7 +139,7 @@ def test_collocations_by_hand(spark, monkeypatch, longest, small):
         for name, value in (("SLICE", 200), ("MAX_ENTRIES", 60), ("MAX_WORDS", 25), ("BURST", 3)):
             monkeypatch.setattr(collocations, name, value)
         texts = [(d[0] or "").encode() for d in docs]
-        counter = collocations.PhraseCounter("en", dict.fromkeys(range(1, longest + 1)), with_total=True)
+        counter = collocations.PhraseCounter("en", dict.fromkeys(range(1, longest + 1)))
         seen, want = Counter(), Counter()
         for batch in [*counter.feed(texts), *counter.flush()]:
             assert batch["size"][0].as_py() == 0 or batch["phrase"].to_pylist() == sorted(batch["phrase"].to_pylist(), key=str.encode)

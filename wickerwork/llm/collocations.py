@@ -169,10 +169,11 @@ class HatTrie:
 
 class PhraseCounter:
     """Counts frequent phrases of one language in a task by their words, in one HAT-trie for each size; spilled subtrees come out as sorted
-    runs. sizes: size -> the filter that both parts of one word less pass (None: all phrases). Words that no phrase needs get no id."""
+    runs. sizes: size -> the filter that both parts of one word less pass (None: any); own: size -> the filter that the phrases pass. Words that
+    no phrase needs get no id."""
 
-    def __init__(self, lang: str, sizes: Mapping[int, np.ndarray | None], own: Mapping[int, np.ndarray] | None = None, with_total: bool = False):
-        self.lang, self.sizes, self.own, self.with_total, self.salt = lang, sizes, own or {}, with_total, salt_of(lang)
+    def __init__(self, lang: str, sizes: Mapping[int, np.ndarray | None], own: Mapping[int, np.ndarray] | None = None):
+        self.lang, self.sizes, self.own, self.salt = lang, sizes, own or {}, salt_of(lang)
         self.total = 0
         self._forget()
 
@@ -271,7 +272,7 @@ class PhraseCounter:
     def flush(self) -> Iterator[pa.RecordBatch]:
         """All there is; the words are forgotten."""
         yield from self.spill(0)
-        if self.total and self.with_total:
+        if self.total:
             yield pa.RecordBatch.from_pydict({"lang": [self.lang], "size": [0], "prefix": [""], "phrase": [""], "n": [self.total]}, schema=SCHEMA)
         self.total = 0
         self._forget()
@@ -302,7 +303,7 @@ def _hashed(docs: DataFrame, size: int, parts) -> DataFrame:
     return docs.mapInArrow(run, "h long, n long")
 
 
-def _runs(docs: DataFrame, sizes: Mapping, own: Mapping, with_total: bool) -> DataFrame:
+def _runs(docs: DataFrame, sizes: Mapping, own: Mapping) -> DataFrame:
     """Sorted runs (lang, size, prefix, phrase, n) of the phrases in docs(lang, text) that PhraseCounter counts; size 0 is the number of words.
     sizes and own hold broadcast filters."""
 
@@ -312,7 +313,7 @@ def _runs(docs: DataFrame, sizes: Mapping, own: Mapping, with_total: bool) -> Da
         for batch in batches:
             for lang, texts in _by_lang(batch).items():
                 if lang not in counters:
-                    counters[lang] = PhraseCounter(lang, read(sizes), read(own), with_total)
+                    counters[lang] = PhraseCounter(lang, read(sizes), read(own))
                 yield from counters[lang].feed(texts)
             while sum(c.entries for c in counters.values()) > MAX_ENTRIES or sum(len(c.text) for c in counters.values()) > MAX_WORDS or len(counters) > 1000:
                 fullest = max(counters, key=lambda x: (counters[x].entries + len(counters[x].text), x))
@@ -334,38 +335,21 @@ def bit_filter(frequent: DataFrame):
     return frequent.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _phrase_hash(frequent: DataFrame) -> DataFrame:
-    """The hashes h that the counting gives the phrases of frequent(lang, phrase)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = next(word_slices([phrase], 0))
-                found.append(words.phrases(len(words.start), salt_of(lang))[1][0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, _U).view(np.int64))], names=["h"])
-
-    return frequent.select("lang", "phrase").mapInArrow(run, "h long")
-
-
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
     """(lang, size, phrase, n) of the phrases of docs(lang, text) of 1 to `longest` words with n >= least, and, as size 0, all words of a language.
 
-    A phrase is frequent only if its two parts of one word less are. So words are counted by hash first, then pairs of frequent words by
-    hash; these sums may hold several phrases each, so that no frequent one is missed. The filters of what reached `least` leave few enough
-    phrases to be counted by their words in HAT-tries: words, pairs and triples in one pass, then phrases of four of which both triples
-    are frequent. Runs meet in prefix partitions, by language and first two words, where equal phrases are summed."""
-    merged = lambda runs: runs.repartition("lang", "prefix").groupBy("lang", "prefix", "size", "phrase").agg(F.sum("n").alias("n")).where(f"n >= {least} OR size = 0").drop("prefix")
+    A phrase is frequent only if its two parts of one word less are. So words are counted by hash first, then pairs of frequent words,
+    then triples of frequent pairs; a sum may hold several phrases, so that no frequent one is missed. One more pass counts by their words,
+    in HAT-tries, the phrases whose sums reach `least`, and the longest ones of which both parts' do. Its runs meet in prefix
+    partitions, by language and first two words, where equal phrases are summed."""
     filters = {0: None}
-    for size in (1, 2):
+    for size in range(1, longest):
         sums = _hashed(docs, size, filters[size - 1]).groupBy("h").agg(F.sum("n").alias("n"))
         filters[size] = bit_filter(durable(sums.where(f"n >= {least}").select("h")))
-    sizes = {1: None, 2: None} | ({3: filters[2]} if longest > 2 else {})
-    found = durable(merged(_runs(docs, sizes, {1: filters[1], 2: filters[2]}, True)))
-    if longest > 3:
-        triples = bit_filter(_phrase_hash(found.where("size = 3")))
-        found = found.union(durable(merged(_runs(docs, {4: triples}, {}, False))))
-    return found
+    sizes = {size: filters[size - 1] if size == longest else None for size in range(1, longest + 1)}
+    runs = _runs(docs, sizes, {size: filters[size] for size in range(1, longest)}).repartition("lang", "prefix")
+    sums = runs.groupBy("lang", "prefix", "size", "phrase").agg(F.sum("n").alias("n"))
+    return durable(sums.where(f"n >= {least} OR size = 0").drop("prefix"))
 
 
 def mine_collocations(

@@ -69,3 +69,21 @@ def test_stages_take_empty_and_odd_tables(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             state = durable(stage(spark, state, sf))
         assert state.count() == rows
+
+
+def test_near_duplicates_of_one_id_are_dropped_by_their_own_text(spark):
+    from wickerwork.llm.near_dedup import drop_near_duplicates
+
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (2, b, "z"), (None, a, "n"), (3, None, "0"), (3, b + " more", "w")], "doc_id int, text string, digest string")
+    assert sorted(r.digest for r in drop_near_duplicates(docs).collect()) == ["0", "n", "x", "z"]
+
+
+def test_a_thousand_sources_are_mixed_in_sql_functions(spark):
+    from wickerwork.llm.mixing import mix_sources
+
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 1000)) as source")
+    got = mix_sources(docs, period=4004)
+    assert "Pandas" not in got._jdf.queryExecution().toString() and "Python" not in got._jdf.queryExecution().toString()
+    rows = got.orderBy("mix_position").collect()
+    assert [r.mix_position for r in rows] == list(range(6000)) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)

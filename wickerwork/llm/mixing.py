@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickerwork.llm.shared import durable
+
 # Slot by slot: of the blocks released by now, that with the earliest deadline runs. Block j (from 0) of a source with e of
 # `period` slots is released at floor(j * period / e) and due by ceil((j + 1) * period / e).
 _EARLIEST_DEADLINE_FIRST = """
@@ -88,10 +90,9 @@ def exact_plan(sources: DataFrame, block_rows: int) -> DataFrame:
     return sources.repartition(1).mapInPandas(run, "mix_source string, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
-def mixing_plan(docs: DataFrame, weights: dict[str, float] | None, source_col: str, period: int, alpha: float) -> DataFrame:
-    """One row per source: mix_source, its share (slots of a period), its slots in the period, and before each of them the blocks
-    of every source; also the shares and sizes of all sources. At most `period` rows, or an error."""
-    sources = _weighted(docs, weights, source_col, alpha)
+def _shares(sources: DataFrame, period: int) -> DataFrame:
+    """mix_source, rows and share: each source's whole slots of a period, by largest remainders, at least one; an error where there are more
+    sources than slots."""
     everything = Window.partitionBy()
     free = F.lit(period) - F.count("*").over(everything)
     exact = free * F.coalesce(F.col("weight") / F.nullif(F.sum("weight").over(everything), F.lit(0.0)), 1 / F.count("*").over(everything))
@@ -101,20 +102,29 @@ def mixing_plan(docs: DataFrame, weights: dict[str, float] | None, source_col: s
     by_remainder = F.row_number().over(Window.orderBy((F.col("exact") - F.col("whole")).desc(), "mix_source"))
     dealt = dealt.withColumn("share", (1 + F.col("whole") + F.when(by_remainder <= left, 1).otherwise(0)).cast("int"))
     checked = F.when(F.col("k") > period, F.raise_error(F.lit(f"more sources than the {period} slots of a period"))).otherwise(F.col("share"))
-    listed = dealt.agg(F.array_sort(F.collect_list(F.struct("mix_source", "rows", checked.cast("int").alias("share")))).alias("s"))
-    plan = listed.select(
-        F.col("s.mix_source").alias("names"), F.col("s.rows").alias("sizes"), F.col("s.share").alias("shares")
-    ).where(F.size("names") > 0)
-    plan = plan.withColumn("picks", F.expr(_EARLIEST_DEADLINE_FIRST.format(period=period)))
-    return plan.select("*", F.posexplode("names").alias("i", "mix_source")).selectExpr(
-        "mix_source",
-        "shares[i] as _mix_share",
-        "shares as _mix_shares",
-        "sizes as _mix_sizes",
-        "filter(sequence(0, size(picks) - 1), s -> picks[s] = i) as _mix_slots",
-        "transform(filter(sequence(0, size(picks) - 1), s -> picks[s] = i), s -> transform(shares, (e, k) -> "
-        "aggregate(slice(picks, 1, s), 0, (n, p) -> if(p = k, n + 1, n)))) as _mix_before",
-    )
+    return dealt.select("mix_source", "rows", checked.cast("int").alias("share"))
+
+
+def period_plan(sources: DataFrame, block_rows: int, period: int) -> DataFrame:
+    """The schedule by shares of a period as a table, one row per block (see exact_plan), in SQL functions only. The slots of one period, `period`
+    rows at most, are dealt once; a period's blocks take their places from it, and their first positions from a sum over the blocks of the
+    period and a closed sum over the sources for the periods before. Work grows with the blocks and with period x sources."""
+    listed = _shares(sources, period).agg(F.array_sort(F.collect_list(F.struct("mix_source", "rows", "share"))).alias("s"))
+    whole = durable(listed.where(F.size("s") > 0).selectExpr("s.mix_source as names", "s.rows as sizes", "s.share as shares").withColumn("picks", F.expr(_EARLIEST_DEADLINE_FIRST.format(period=period))))
+    slots = whole.select("names", "shares", "sizes", F.posexplode("picks").alias("slot", "i"))
+    nth = F.row_number().over(Window.partitionBy("mix_source").orderBy("slot")) - 1
+    slots = slots.selectExpr("names[i] as mix_source", "shares[i] as share", "sizes[i] as rows", "slot").withColumn("nth", nth)
+    # A slot of the period serves block nth of each of the source's turns, as far as the source has blocks.
+    last = F.expr(f"(rows + {block_rows - 1}) div {block_rows} - 1")
+    turns = slots.where(F.col("nth") <= last).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(((rows + {block_rows - 1}) div {block_rows}) - 1 - nth) div share"))))
+    blocks = turns.withColumn("mix_block", F.expr("turn * share + nth")).withColumn("n", F.expr(f"least({block_rows}, rows - mix_block * {block_rows})"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("turn").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = f"aggregate(zip_with(sizes, shares, (n, e) -> least(n, {block_rows}L * turn * e)), 0L, (a, b) -> a + b)"
+    starts = blocks.select("turn").distinct().join(F.broadcast(whole.select("sizes", "shares"))).select("turn", F.expr(earlier).alias("start"))
+    return blocks.withColumn("before", before).join(starts, "turn").selectExpr(
+        "mix_source", "mix_block", f"turn * {period} + slot as mix_slot", f"mix_block * {period} div share as mix_release",
+        f"((mix_block + 1) * {period} + share - 1) div share as mix_deadline", "start + before as _mix_first",
+    )
 
 
 def mix_sources(
@@ -140,7 +150,7 @@ def mix_sources(
 
     Inside a source the rows are put in the order of md5(id), then id. The rank in a source is the row's rank in its
     bucket of that hash plus the earlier buckets' counts, so no task holds a source. The position needs no sort: it
-    is the sum over all sources of the rows they place before the slot.
+    is the number of rows of all blocks before the row's slot, plus its place in the block.
 
     A null source is one source of its own, named ''. Null ids hash like ''. Repeated rows get neighbouring places.
     Columns of docs named like the results are replaced; none may start with _mix. An empty table gives an empty result.
@@ -157,42 +167,20 @@ def mix_sources(
     starts = counted.withColumn("_mix_start", F.coalesce(F.sum("_mix_rows").over(earlier), F.lit(0))).drop("_mix_rows")
     in_bucket = Window.partitionBy("mix_source", "_mix_bucket").orderBy("_mix_hash", F.col(id_col))
     numbered = rows.withColumn("_mix_nth", F.row_number().over(in_bucket) - 1)
-    if period is None:
-        # Every bucket gets the list of its blocks' places, so the rows are not dealt a second time.
-        plan = exact_plan(_weighted(docs, weights, source_col, alpha), block_rows)
-        bounds = counted.join(starts, ["mix_source", "_mix_bucket"])
-        held = bounds.select("*", F.explode(F.expr(f"sequence(_mix_start div {block_rows}, (_mix_start + _mix_rows - 1) div {block_rows})")).alias("mix_block"))
-        placed = held.join(plan, ["mix_source", "mix_block"]).groupBy("mix_source", "_mix_bucket", "_mix_start")
-        placed = placed.agg(F.array_sort(F.collect_list(F.struct("mix_block", "mix_slot", "mix_release", "mix_deadline", "_mix_first"))).alias("_mix_places"))
-        ranked = numbered.join(placed, ["mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_start") + F.col("_mix_nth"))
-        ranked = ranked.withColumn("_mix_place", F.expr(f"_mix_places[cast(_mix_rank div {block_rows} - _mix_start div {block_rows} as int)]"))
-        return ranked.select(
-            *payload,
-            "mix_source",
-            *(F.col(f"_mix_place.{c}").alias(c) for c in mine[1:5]),
-            F.expr(f"_mix_place._mix_first + _mix_rank % {block_rows}").alias("mix_position"),
-        )
-    plan = mixing_plan(docs, weights, source_col, period, alpha)
-    ranked = (
-        numbered
-        .join(starts, ["mix_source", "_mix_bucket"])
-        .withColumn("_mix_rank", F.col("_mix_start") + F.col("_mix_nth"))
-        .join(F.broadcast(plan), "mix_source")
-        .withColumn("mix_block", F.expr(f"_mix_rank div {block_rows}"))
-        .withColumn("_mix_turn", F.expr("mix_block div _mix_share"))
-        .withColumn("_mix_in_turn", F.expr("cast(mix_block % _mix_share as int)"))
-    )
-    position = f"""aggregate(
-      transform(_mix_before[_mix_in_turn], (b, k) -> least(_mix_sizes[k], {block_rows} * (_mix_turn * _mix_shares[k] + b))),
-      0L, (a, b) -> a + b) + _mix_rank % {block_rows}"""
+    sources = _weighted(docs, weights, source_col, alpha)
+    # Every bucket gets the list of its blocks' places, so the rows are not dealt a second time.
+    plan = exact_plan(sources, block_rows) if period is None else period_plan(sources, block_rows, period)
+    bounds = counted.join(starts, ["mix_source", "_mix_bucket"])
+    held = bounds.select("*", F.explode(F.expr(f"sequence(_mix_start div {block_rows}, (_mix_start + _mix_rows - 1) div {block_rows})")).alias("mix_block"))
+    placed = held.join(plan, ["mix_source", "mix_block"]).groupBy("mix_source", "_mix_bucket", "_mix_start")
+    placed = placed.agg(F.array_sort(F.collect_list(F.struct("mix_block", "mix_slot", "mix_release", "mix_deadline", "_mix_first"))).alias("_mix_places"))
+    ranked = numbered.join(placed, ["mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_start") + F.col("_mix_nth"))
+    ranked = ranked.withColumn("_mix_place", F.expr(f"_mix_places[cast(_mix_rank div {block_rows} - _mix_start div {block_rows} as int)]"))
     return ranked.select(
         *payload,
         "mix_source",
-        "mix_block",
-        F.expr(f"_mix_turn * {period} + _mix_slots[_mix_in_turn]").alias("mix_slot"),
-        F.expr(f"mix_block * {period} div _mix_share").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {period} + _mix_share - 1) div _mix_share").alias("mix_deadline"),
-        F.expr(position).alias("mix_position"),
+        *(F.col(f"_mix_place.{c}").alias(c) for c in mine[1:5]),
+        F.expr(f"_mix_place._mix_first + _mix_rank % {block_rows}").alias("mix_position"),
     )
 
 

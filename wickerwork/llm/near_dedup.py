@@ -87,9 +87,10 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 hi.append(digest[0])
                 lo.append(digest[1])
                 keys.append(hasher.bucket_keys(values) if len(values) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "hi": hi, "lo": lo, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n": n, "hi": hi, "lo": lo, "keys": keys})
 
-    return docs.mapInPandas(run, f"doc_id {docs.dtypes[0][1]}, n long, hi long, lo long, keys array<long>")
+    docs = docs.withColumn("digest", F.md5("text"))
+    return docs.mapInPandas(run, f"doc_id {docs.dtypes[0][1]}, digest string, n long, hi long, lo long, keys array<long>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def _between_components(met, labels, texts, width, percent, similar_size) -> Dat
     return durable(found.union(inside).distinct())
 
 
-def near_duplicates(
+def _classified(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -234,24 +235,7 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 4,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when the Jaccard similarity of their word-shingle sets is at least percent / 100;
-    component_id is the smallest id reachable over links, kept says doc_id = component_id.
-
-    Equal sets are first reduced to one class (combined before the shuffle), so copies cost nothing. Classes meet in
-    banded buckets: with 32 bands of 4, a pair at the threshold shares none with probability 5e-8. Each bucket
-    links its members to one centre (a star), and every candidate is confirmed on the full sets. Confirmed links are
-    joined into components. Buckets that still hold several components get a second star, with a centre of their own
-    each. What is then still in different components is compared exactly: members of other components than the
-    bucket's largest against all members, as pairs in buckets of at most SMALL_BUCKET members, else block by block
-    inside tasks, which return links only. So no link is lost, no bucket is capped, and the rows emitted do not grow
-    with the square of a group.
-
-    Null text and texts without words have no shingles and are linked with nothing. Rows with a null id take no
-    part: component_id null, kept true. Rows with the same id share that id's place in the order. Other columns are
-    ignored. An empty table gives an empty result.
-    """
+    """near_duplicates with the digest of every row's text."""
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketches = durable(_sketch(source, width, bands, rows))
@@ -283,13 +267,45 @@ def near_duplicates(
     )
     return sketches.join(classes, ["hi", "lo"], "left").select(
         "doc_id",
+        "digest",
         F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce((F.col("n") == 0) | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"),
     )
 
 
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = 32,
+    rows: int = 4,
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when the Jaccard similarity of their word-shingle sets is at least percent / 100;
+    component_id is the smallest id reachable over links, kept says doc_id = component_id.
+
+    Equal sets are first reduced to one class (combined before the shuffle), so copies cost nothing. Classes meet in
+    banded buckets: with 32 bands of 4, a pair at the threshold shares none with probability 5e-8. Each bucket
+    links its members to one centre (a star), and every candidate is confirmed on the full sets. Confirmed links are
+    joined into components. Buckets that still hold several components get a second star, with a centre of their own
+    each. What is then still in different components is compared exactly: members of other components than the
+    bucket's largest against all members, as pairs in buckets of at most SMALL_BUCKET members, else block by block
+    inside tasks, which return links only. So no link is lost, no bucket is capped, and the rows emitted do not grow
+    with the square of a group.
+
+    Null text and texts without words have no shingles and are linked with nothing. Rows with a null id take no
+    part: component_id null, kept true. Rows with the same id share that id's place in the order. Other columns are
+    ignored. An empty table gives an empty result.
+    """
+    return _classified(docs, id_col, text_col, width, percent, bands, rows).drop("digest")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """docs without the rows that near_duplicates does not keep; rows with a null id stay. Rows of one id are judged each by its own text."""
+    gone = _classified(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest")).distinct()
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(gone, (docs[id_col] == F.col("_near_id")) & (digest == F.col("_near_digest")), "left_anti").select(*docs.columns)

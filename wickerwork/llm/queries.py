@@ -31,10 +31,10 @@ def vocabulary() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By shares of 400 slots, as its SQL has it; more sources than slots are mixed by exact weights."""
+    """By shares of 400 slots, as its SQL has it; for more than 400 sources of four slots a source, of which the SQL knows nothing."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    many = docs.select(F.coalesce("source", F.lit(""))).distinct().count() > 400
-    return mix_sources(docs, period=None if many else 400).drop("mix_source")
+    sources = docs.select(F.coalesce("source", F.lit(""))).distinct().count()
+    return mix_sources(docs, period=400 if sources <= 400 else 4 * sources).drop("mix_source")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

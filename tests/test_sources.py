@@ -95,3 +95,74 @@ def test_sdf_lines_may_end_in_crlf(spark, tmp_path, end):
     rows = readers.read_sdf_properties(spark, f"file://{tmp_path}/x.sdf").orderBy("record", "property").collect()
     assert [(r.property, r.value) for r in rows] == [("ID", "A1"), ("NOTE", "two\nlines"), ("ID", "B2")]
     assert len({r.record for r in rows}) == 2
+
+
+def test_quoted_line_breaks_over_byte_ranges(spark, tmp_path):
+    import csv
+
+    rows = [(str(i), ["plain", 'has "quotes"', "two\nlines", "three\n\n\"lines\"\r\nhere", "a,b", "", "ends in break\n"][i % 7] + ("x" * (i % 300)), str(i / 4)) for i in range(3000)]
+    schema = StructType([StructField("id", IntegerType()), StructField("note", StringType()), StructField("x", DoubleType())])
+    for n, end in (("a", "\n"), ("b", "\r\n")):
+        with (tmp_path / f"{n}.csv").open("w", newline="", encoding="utf-8-sig") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["id", "note", "x"])
+            w.writerows(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = readers.read_table(spark, str(tmp_path), schema, nulls=False)
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 10
+        got = sorted((r.id, r.note, r.x) for r in df.collect())
+        want = sorted([(int(a), b, float(c)) for a, b, c in rows] * 2)
+        assert [(a, b or "", c) for a, b, c in got] == want
+        (tmp_path / "bad").mkdir()
+        (tmp_path / "bad/c.csv").write_text('id,note,x\n1,"a\nb",2\n2,c\n\n3,"d\n",4\n')
+        assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / "bad"), schema, bad_rows="skip", nulls=False).orderBy("id").collect()] == [(1, "a\nb", 2.0), (3, "d\n", 4.0)]
+        with pytest.raises(Exception, match="wrong width"):
+            readers.read_table(spark, str(tmp_path / "bad"), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sections_over_byte_ranges(spark, tmp_path):
+    lines, want = ["!head"], []
+    for section in range(3):
+        lines += ["!begin", '"ID"\tA']
+        for i in range(2000):
+            good = i % 9 != 0
+            if good:
+                want.append((len(lines), [f"p{i}", str(section)]))
+            lines.append(f'"p{i}"\t{section}' if good else f"p{i}")
+        lines += ["!end", "p1\tbetween"]
+    (tmp_path / "m.txt").write_bytes("\r\n".join(lines).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.read_sectioned(spark, str(tmp_path / "m.txt"), "!begin", "!end", r"p\d+")
+        assert sorted((r.line_no, r.fields) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_checksums_stream_files_of_any_size(spark, tmp_path):
+    with (tmp_path / "big.bin").open("wb") as f:
+        f.truncate((3 << 30) + 5)  # sparse
+    (tmp_path / "odd name %41+é.txt").write_bytes(b"x")
+    zeros = hashlib.sha256()
+    for _ in range(3 << 8):
+        zeros.update(bytes(4 << 20))
+    zeros.update(bytes(5))
+    want = [("big.bin", zeros.hexdigest(), (3 << 30) + 5), ("odd name %41+é.txt", hashlib.sha256(b"x").hexdigest(), 1)]
+    got = assets.verify_checksums(spark, spark.createDataFrame(want, "path string, sha256 string, bytes long"), f"file://{tmp_path}").collect()
+    assert {r.path for r in got if r.valid} == {"big.bin", "odd name %41+é.txt"}
+
+
+def test_export_of_a_value_with_most_rows(spark, tmp_path):
+    df = spark.range(3000).selectExpr("if(id % 10 = 0, id, -1) AS g", "id AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a few rows are one file
+    try:
+        assets.export_by(df, "g", str(tmp_path / "out"), rows_per_file=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out/g=-1").glob("*.parquet"))) > 1 and len(list((tmp_path / "out/g=10").glob("*.parquet"))) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3000

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import classify_first_match, contains_any, extract_ids, has_text, null_text
+from wickerwork.operators.graph import written
 from wickerwork.operators.ranking import dedupe_first, top_k_per_group
 
 
@@ -33,6 +35,36 @@ def term_search_by_table(df: DataFrame, id_col: str, text: str, terms: DataFrame
     return words.join(terms.distinct(), "term").groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("hits"))
 
 
+#: Characters of terms that one automaton holds: the bound of what every task is sent.
+TERM_CHARACTERS = 4_000_000
+
+
+def term_search_contained(df: DataFrame, id_col: str, text: str, terms: DataFrame, limit: int = TERM_CHARACTERS) -> DataFrame:
+    """(id, hits): texts that contain any of terms(term), words, phrases or parts of words, case aside, with the terms found in order. All terms
+    are sought in one pass by a multi-pattern automaton, whose terms are broadcast. Where they have more than `limit` characters they are
+    dealt to several automata, each within it, and the texts are read once more for each. Blank and null terms are left out."""
+    wanted = written(terms.select(F.lower("term").alias("term")).where(has_text("term")).distinct())
+    parts = max(1, -(-(wanted.agg(F.sum(F.length("term"))).first()[0] or 0) * 5 // (limit * 4)))
+    texts, found = df.select(F.col(id_col), F.lower(F.col(text)).alias("_text")), None
+
+    def searching(words: list[str]):
+        def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                yield pd.Series([sorted({w for _, w in automaton.iter(t)}) if t and words else [] for t in batch])
+
+        return F.pandas_udf(search, "array<string>")
+
+    for part in range(parts):
+        words = [r.term for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect()]
+        own = searching(words)(F.col("_text"))
+        found = own if found is None else F.concat(found, own)
+    return texts.select(id_col, found.alias("hits")).where(F.size("hits") > 0).withColumn("hits", F.array_join(F.array_sort("hits"), "|"))
+
+
 def evidence_tier(text: Column, exact: Sequence[str], near: Sequence[str], family: Sequence[str], roles: Sequence[str], error: Column | None = None) -> Column:
     """A to E by exact, near and family terms and role words; Z for a failed query."""
     t = F.lower(text)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from wickerwork.functions.text import json_size, split_multi, to_num0
 from wickerwork.operators.graph import written
 from wickerwork.operators.ranking import global_rank, running_sums
+from wickerwork.operators.resampling import group_bootstrap  # noqa: F401  part of this family
 
 
 def prepare_features(df: DataFrame, text_cols: Sequence[str], num_cols: Sequence[str] = (), list_cols: Sequence[str] = (), json_cols: Sequence[str] = ()) -> DataFrame:
@@ -196,28 +197,6 @@ def calibration(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFr
     return per.join(F.broadcast(total)).select("bin", "rows", "mean_score", "positive_rate", part.alias("ece_part"))
 
 
-def group_bootstrap(df: DataFrame, group: str, label: str, score: str, threshold: float, replicates: int = 500, seed: int = 0) -> DataFrame:
-    """metric, mean, low, high (2.5 and 97.5 %): groups are drawn with replacement; how often one is drawn weighs its rows. Weights
-    are Poisson(1) draws from a hash of (seed, replicate, group), so no list of groups is gathered anywhere, and rows are
-    first summed by group and score."""
-    rows = df.groupBy(group, label, score).agg(F.count("*").cast("double").alias("_c"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", F.col(group).cast("string")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cdf, term, draw = [], math.exp(-1.0), F.lit(0.0)
-    total = 0.0
-    for k in range(9):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    for k in range(8, -1, -1):
-        draw = F.when(u < cdf[k], float(k)).otherwise(draw if k < 8 else F.lit(9.0))
-    groups = df.select(group).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("_w", draw).where("_w > 0")
-    weighted = rows.join(groups, group).withColumn("_w", F.col("_w") * F.col("_c"))
-    metrics = pu_metrics(weighted, label, score, threshold, "_w", ["rep"])
-    names = [c for c in metrics.columns if c not in ("rep", "n", "positives")]
-    long = metrics.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in names))).alias("r")).select("r.*")
-    return long.where("v IS NOT NULL").groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
-
-
 def build_vocab(df: DataFrame, tokens: str, min_freq: int = 1, max_size: int | None = None, specials: Sequence[str] = ("<pad>", "<unk>", "<eos>", "<sos>")) -> DataFrame:
     """token, count, index: specials first, then by falling count, then token. Only words that can be in it are ranked."""
     counted = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("count")).where((F.col("count") >= min_freq) & ~F.col("token").isin(*specials))

@@ -30,6 +30,18 @@ def k1_term_table_search(t: Tables) -> DataFrame:
     return K.term_search_by_table(t.documents, "doc_id", "text", terms)
 
 
+@query("""
+WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark),
+t AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS t FROM w UNION SELECT DISTINCT array_to_string(w[3:5], ' ') FROM w UNION SELECT DISTINCT w[6] FROM w)
+SELECT doc_id, array_to_string(list_sort(list(t)), '|') AS hits FROM (SELECT doc_id, lower(text) AS x FROM documents) JOIN t ON contains(x, t) WHERE trim(t) <> '' GROUP BY 1
+""")
+def k1_phrase_search(t: Tables) -> DataFrame:
+    """Two words, three words and one word of every benchmark text, sought in all documents."""
+    w = F.split(F.lower("text"), " ")
+    phrases = F.array(F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 3, 3), " "), F.get(w, F.lit(5)))
+    return K.term_search_contained(t.documents, "doc_id", "text", t.benchmark.select(F.explode(phrases).alias("term")))
+
+
 @query("""
 SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'Z' WHEN e AND r AND a THEN 'A' WHEN e THEN 'B' WHEN n AND f THEN 'C' WHEN n OR f THEN 'D' ELSE 'E' END AS tier FROM (
   SELECT doc_id, x LIKE '%licensed%' AS e, x LIKE '%license%' AS n, x LIKE '%work%' AS f, x LIKE '%under%' AS r, x LIKE '%reaction%' OR x LIKE '%catalytic%' OR x LIKE '%activity%' OR x LIKE '%enzyme%' AS a FROM (SELECT doc_id, lower(text) AS x FROM documents))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickerwork.operators.skew import heavy_keys
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes, extension of every file below root; contents are not read."""
@@ -68,14 +75,34 @@ def profile_index(frames: Mapping[str, DataFrame], count_cols: Sequence[str] = (
     return out
 
 
+def stream_digest(uri: str, block: int = 4 << 20) -> tuple[str, int]:
+    """SHA-256 and length of a file of any size, read a block at a time, from any store that pyarrow opens."""
+    local = re.fullmatch(r"file:/*(/.*)", uri)
+    store, path = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+    digest, size = hashlib.sha256(), 0
+    with store.open_input_stream(path) as stream:
+        while data := stream.read(block):
+            digest.update(data)
+            size += len(data)
+    return digest.hexdigest(), size
+
+
 def verify_checksums(spark: SparkSession, expected: DataFrame, root: str) -> DataFrame:
-    """expected(path relative to root, sha256[, bytes]) with exists and valid. Digests are taken in the tasks."""
+    """expected(path relative to root, sha256[, bytes]) with exists and valid. Only names and lengths of files come from the listing; digests are
+    taken in the tasks by streaming, a file to a task, in a block's memory. Only files that are expected are read."""
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-        F.expr(f"substring(path, instr(path, '{base.split('://')[-1]}') + {len(base.split('://')[-1]) + 1})").alias("path"),
-        F.sha2("content", 256).alias("actual_sha256"),
-        F.col("length").alias("actual_bytes"),
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        F.col("path").alias("uri"), F.expr(f"substring(path, instr(path, '{base.split('://')[-1]}') + {len(base.split('://')[-1]) + 1})").alias("path"), "length"
     )
+    wanted = listed.join(expected.select("path").distinct(), "path", "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [stream_digest(uri) for uri in batch["uri"]]
+            yield pd.DataFrame({"path": batch["path"], "actual_sha256": [d for d, _ in found], "actual_bytes": [n for _, n in found]})
+
+    dealt = wanted.repartition(max(1, spark.sparkContext.defaultParallelism), F.xxhash64("path"))
+    found = dealt.mapInPandas(run, "path string, actual_sha256 string, actual_bytes long")
     joined = expected.join(found, "path", "left")
     valid = F.lower("sha256") == F.col("actual_sha256")
     if "bytes" in expected.columns:
@@ -83,9 +110,16 @@ def verify_checksums(spark: SparkSession, expected: DataFrame, root: str) -> Dat
     return joined.withColumns({"exists": F.col("actual_sha256").isNotNull(), "valid": F.coalesce(valid, F.lit(False))})
 
 
-def export_by(df: DataFrame, col: str, path: str, mode: str = "error") -> None:
-    """One folder per value of col. Rows are first dealt by value and a salt, so a large value is several files."""
-    df.repartition(F.col(col), F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(8))).write.mode(mode).partitionBy(col).parquet(path)
+#: Rows of a value that one exported file holds, about.
+EXPORT_ROWS = 1_000_000
+
+
+def export_by(df: DataFrame, col: str, path: str, mode: str = "error", rows_per_file: int = EXPORT_ROWS) -> None:
+    """One folder per value of col. A value of many rows is dealt to as many files as its count asks for; heavy values are few (see
+    heavy_keys), all others are one file each."""
+    heavy = F.broadcast(heavy_keys(df, col, rows_per_file).select(col, F.col("parts").alias("_files")))
+    salted = df.join(heavy, col, "left").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1))))
+    salted.repartition(F.col(col), F.col("_salt")).select(*df.columns).write.mode(mode).partitionBy(col).parquet(path)
 
 
 def asset_readiness(required: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -4,26 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from wickerwork.functions.text import null_text
+from wickerwork.operators.skew import lookup_join
+
+
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """(file, start, at, line): the lines of files; start is the first byte of the byte range that a task read, at grows along it."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+
+
+def _carried(lines: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """lines with sums (name -> column of numbers) over all lines of the file up to and with each. A byte range is summed by itself; what
+    lies before it comes from one row a range, so that a large file is many tasks' work."""
+    here = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    per = lines.groupBy("file", "start").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    before = per.select("file", "start", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    own = lines.withColumns({n: F.sum(c).over(here) for n, c in sums.items()})
+    return own.join(before, ["file", "start"]).withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop(*(f"_b_{n}" for n in sums))
+
+
+def _quoted_records(lines: DataFrame) -> DataFrame:
+    """(file, first, record) of delimited files: lines joined where a quoted field goes on; first is the number of a record's first line, from
+    1. A line goes on from the one before where the quotes up to it are odd; their number is carried over byte ranges."""
+    quotes = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))).cast("long")
+    counted = _carried(lines.withColumn("own", quotes), {"quotes": F.col("own"), "line_no": F.lit(1)})
+    begins = (F.col("quotes") - F.col("own")) % 2 == 0
+    started = _carried(counted.withColumn("begins", begins.cast("long")), {"nth": F.col("begins")})
+    whole = started.where("begins = 1 AND own % 2 = 0").select("file", F.col("line_no").alias("first"), F.col("line").alias("record"))
+    parts = started.where("NOT (begins = 1 AND own % 2 = 0)").groupBy("file", "nth").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    joined = parts.select("file", F.col("l")[0]["line_no"].alias("first"), F.array_join(F.col("l.line"), "\n").alias("record"))
+    return whole.unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
 def read_table(spark: SparkSession, path, schema: StructType, sep: str = ",", bad_rows: str = "fail", nulls: bool = True) -> DataFrame:
-    """A delimited table with a header, read as strings and cast by schema; a byte-order mark is tolerated.
+    """A delimited table with a header, read as strings and cast by schema; a byte-order mark is tolerated. Quoted fields may hold line
+    breaks: then records are put together over the byte ranges of the file (see _quoted_records), which many tasks read.
 
     bad_rows: 'fail' raises on a row of the wrong width, 'skip' leaves it out. Text that does not fit its type becomes null.
     With nulls, markers of missing values become null.
     """
     mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED"}[bad_rows]
     text = StructType([StructField(f.name, StringType()) for f in schema])
-    raw = (
-        spark.read.schema(text)
-        .options(header=True, sep=sep, mode=mode, encoding="UTF-8", quote='"', escape='"', multiLine=False, enforceSchema=True)
-        .csv(path)
-    )
+    lines = _lines(spark, path)
+    if lines.where((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count():
+        records = _quoted_records(lines).where("first > 1 AND record <> ''")
+        options = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_bad"}
+        parsed = records.select("record", F.from_csv("record", ", ".join(f"`{f.name}` string" for f in [*schema, StructField("_bad", StringType())]), options).alias("r"))
+        if bad_rows == "skip":
+            raw = parsed.where("r._bad IS NULL").select("r.*")
+        else:
+            wrong = F.raise_error(F.concat(F.lit("row of the wrong width: "), F.col("record")))
+            raw = parsed.select(*(F.when(F.col("r._bad").isNotNull(), wrong).otherwise(F.col(f"r.`{f.name}`")).alias(f.name) for f in schema))
+    else:
+        raw = (
+            spark.read.schema(text)
+            .options(header=True, sep=sep, mode=mode, encoding="UTF-8", quote='"', escape='"', multiLine=False, enforceSchema=True)
+            .csv(path)
+        )
     value = lambda f: null_text(f.name) if nulls else F.col(f.name)
     return raw.select(*(value(f).try_cast(f.dataType).alias(f.name) for f in schema))
 
@@ -48,20 +92,16 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
 def read_sectioned(spark: SparkSession, path, begin: str, end: str, id_regex: str = r".+", sep: str = "\t") -> DataFrame:
     """file, line_no, fields (array) of the lines between a begin and an end marker line. The first line of a section is its
     header and gives the number of columns; lines of another width, or whose first field does not fit id_regex, are
-    left out. A file is one task's input: sections need the order of lines."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    marked = lines.withColumn("begun", F.sum(F.when(F.col("line") == begin, 1).otherwise(0)).over(w)).withColumn(
-        "ended", F.sum(F.when(F.col("line") == end, 1).otherwise(0)).over(w)
-    )
-    inside = marked.where((F.col("begun") > F.col("ended")) & (F.col("line") != begin))
+    left out. Which section a line is in is carried over the byte ranges of a file, so a large one is many tasks' work."""
+    lines = _lines(spark, path).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    marks = {"begun": (F.col("line") == begin).cast("long"), "ended": (F.col("line") == end).cast("long"), "line_no": F.lit(1)}
+    inside = _carried(lines, marks).where((F.col("begun") > F.col("ended")) & (F.col("line") != begin))
     fields = F.transform(F.split("line", sep), lambda x: F.regexp_replace(x, r'^"|"$', ""))
-    inside = inside.withColumn("fields", fields)
-    section = Window.partitionBy("file", "begun")
-    inside = inside.withColumn("width", F.first(F.size("fields")).over(section.orderBy("line_no"))).withColumn("first_no", F.min("line_no").over(section))
-    good = (F.size("fields") == F.col("width")) & (F.col("line_no") > F.col("first_no")) & F.col("fields")[0].rlike(f"^(?:{id_regex})$")
-    return inside.where(good).select("file", "line_no", "fields")
+    inside = inside.select("file", (F.col("line_no") - 1).cast("int").alias("line_no"), F.concat_ws(":", "begun", "file").alias("section"), fields.alias("fields"))
+    headers = inside.groupBy("section").agg(F.min(F.struct("line_no", F.size("fields").alias("width"))).alias("h"))
+    known = lookup_join(inside, headers, "section")
+    good = (F.size("fields") == F.col("h.width")) & (F.col("line_no") > F.col("h.line_no")) & F.col("fields")[0].rlike(f"^(?:{id_regex})$")
+    return known.where(good).select("file", "line_no", "fields")
 
 
 def read_sdf_properties(spark: SparkSession, path, props: Sequence[str] | None = None) -> DataFrame:

@@ -15,9 +15,10 @@ from wickerwork.functions.text import has_text
 from wickerwork.operators.graph import connected_components, written
 
 _U = np.uint64
-#: Counters of the document-frequency sketch: the bound of what is sent to every task (8 bytes each).
-SKETCH = 1 << 18
-#: The first, cheap round compares along so many of a set's rarest shingles.
+#: Counters of the document-frequency sketch (8 bytes each) and most bits of the map of repeated shingles: the bounds of what is sent to
+#: every task, 2 and 8 MB.
+SKETCH, REPEATED_BITS = 1 << 18, 1 << 26
+#: The first, cheap round compares along so many of a set's rarest shared shingles.
 RAREST = 8
 #: Sets are handed to Python so many bytes at a time.
 BATCH_BYTES = "8m"
@@ -44,6 +45,8 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     should be unique. Whole texts are read, in time linear in their length."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(has_text("text") & F.col("id").isNotNull())
+    if (files := len(df.inputFiles())) and files < (cores := df.sparkSession.sparkContext.defaultParallelism):
+        rows = rows.repartition(cores, "id")  # a few files would be a few tasks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -54,31 +57,51 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return rows.mapInPandas(run, f"id {rows.dtypes[0][1]}, n long, hi long, lo long, s array<long>")
 
 
-def _frequency_sketch(sets: DataFrame):
-    """Documents by bucket of shingle hash, SKETCH counters whatever the corpus. Any order of the shingles that is the same for all sets
-    gives an exact join; by these counts rare shingles come first, which makes it cheap."""
-    cells = sets.select(F.explode("s").alias("x")).groupBy(F.col("x").bitwiseAND(SKETCH - 1).cast("int").alias("cell")).agg(F.count("*").alias("n")).toPandas()
-    counts = np.zeros(SKETCH, np.int64)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return sets.sparkSession.sparkContext.broadcast(counts)
-
-
-def _posts(sets: DataFrame, sketch, least: float, only: int | None) -> DataFrame:
+class ShingleOrder:
+    """A common order of all shingles, the rarest first, told to the tasks in two tables of fixed size: a bit map of the shingles that more than
+    one set has (of the others some may be in it, never the other way round), and a sketch of document frequencies. Any order that is the
+    same for all sets gives an exact join; this one makes it cheap, since shingles of one set only come first and need not be compared."""
+
+    def __init__(self, repeated: np.ndarray, counts: np.ndarray):
+        self.repeated, self.counts = repeated, counts
+
+    @classmethod
+    def of(cls, sets: DataFrame):
+        found = written(sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1"))
+        bits = max(1 << 16, min(REPEATED_BITS, 1 << (16 * found.count()).bit_length()))
+        place = F.col("x").bitwiseAND(bits - 1)
+        cells = found.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((x & {bits - 1}) & 63 as int))")).alias("v")).toPandas()
+        repeated = np.zeros(bits // 64, _U)
+        repeated[cells["cell"].to_numpy(np.int64)] = cells["v"].to_numpy(np.int64).view(_U)
+        sums = found.groupBy(F.col("x").bitwiseAND(SKETCH - 1).cast("int").alias("cell")).agg(F.sum("n").alias("v")).toPandas()
+        counts = np.zeros(SKETCH, np.int64)
+        counts[sums["cell"].to_numpy()] = sums["v"].to_numpy()
+        return sets.sparkSession.sparkContext.broadcast(cls(repeated, counts))
+
+    def shared(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The shingles of a set that other sets may have, rarest first; and how many come before them in the order."""
+        at = s.view(_U) & _U(len(self.repeated) * 64 - 1)
+        known = (self.repeated[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+        own = s[known]
+        return own[np.lexsort((own, self.counts[own & (SKETCH - 1)]))], len(s) - len(own)
+
+
+def _posts(sets: DataFrame, order, least: float, only: int | None) -> DataFrame:
     """(token, cls, home, id, n, comp): the prefix of every set in the common order. A set of n shingles whose match must hold at least
-    need = ceil(least n) of them posts its first n - need + extra, extra = a tenth of need: two sets that match then have at least the
-    smaller extra of the two in common there. cls is a class of sizes; each set is at home in its own and visits the next, since matching
-    sets lie in the same or in neighbouring ones. `only` posts so many rarest shingles instead."""
+    need = ceil(least n) of them has the prefix of its first n - need + extra, extra = a tenth of need: two sets that match then have at
+    least the smaller extra of the two in common there. Of the prefix only shingles that other sets may have are posted. cls is a class of
+    sizes; each set is at home in its own and visits the next, since matching sets lie in the same or in neighbouring ones. `only` posts
+    so many of the rarest shared shingles instead."""
     log_width = math.log(1 / min(least, 0.9))
     id_type, comp_type = dict(sets.dtypes)["id"], dict(sets.dtypes)["comp"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sketch.value
+        ranks = order.value
         for batch in batches:
             tokens, cls = [], []
             for n, s in zip(batch["n"], batch["s"], strict=True):
-                s = np.asarray(s, np.int64)
-                take = only or n - _need(n, least) + _extra(n, least)
-                tokens.append(s[np.lexsort((s, counts[s & (SKETCH - 1)]))[:take]])
+                shared, before = ranks.shared(np.asarray(s, np.int64))
+                tokens.append(shared[: only or max(0, n - _need(n, least) + _extra(n, least) - before)])
                 cls.append(int(math.log(n) / log_width + 1e-9))
             each = [len(t) for t in tokens]
             own = {c: np.repeat(batch[c].to_numpy(), each) for c in ("id", "n", "comp")}
@@ -140,16 +163,16 @@ def similarity_links(df: DataFrame, id_col: str, text: str, k: int = 5, identity
     rep = sets.groupBy("hi", "lo").agg(F.min("id").alias("a"))
     copies = sets.select("hi", "lo", F.col("id").alias("b")).join(rep, ["hi", "lo"]).where("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("coverage"))
     reps = sets.join(rep.select(F.col("a").alias("id")), "id", "left_semi").select("id", "n", "s")
-    sketch = _frequency_sketch(reps)
+    order = ShingleOrder.of(reps)
 
-    first = _posts(reps.withColumn("comp", F.col("id")), sketch, least, RAREST).where("home").select("token", "id", "n")
+    first = _posts(reps.withColumn("comp", F.col("id")), order, least, RAREST).where("home").select("token", "id", "n")
     centre = first.groupBy("token").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "c")
     near = first.join(centre, "token").where("c <> id").groupBy(F.col("c").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("q")).where("q > 1")
     stars = written(_verified(near, reps, max(identity, tight), coverage))
     parts = connected_components(stars.select("a", "b"))
 
     labelled = reps.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "s", F.coalesce("component", "id").alias("comp"))
-    posts = written(_posts(labelled, sketch, least, None))
+    posts = written(_posts(labelled, order, least, None))
     per = posts.groupBy("token", "cls", "comp").agg(F.count("*").alias("m"), F.bool_or("home").alias("home"))
     mixed = per.groupBy("token", "cls").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.bool_or("home").alias("any")).where("parts > 1 AND any")
     met = posts.join(mixed.select("token", "cls", "main"), ["token", "cls"])

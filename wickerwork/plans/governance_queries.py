@@ -213,8 +213,8 @@ def h3_cluster_split(t: Tables) -> DataFrame:
 #: All pairs of documents with a common shingle compared in full, and (t, node, r): node and r are linked at threshold t, directly or
 #: through others.
 _ALIKE = """
-WITH RECURSIVE s AS (SELECT DISTINCT id, substr(text, i, 8) AS x FROM (
-  SELECT doc_id AS id, text, unnest(range(1, greatest(length(text) - 7, 1) + 1)) AS i FROM documents WHERE trim(text) <> '')),
+WITH RECURSIVE s AS (SELECT DISTINCT id, substr(text, i, 12) AS x FROM (
+  SELECT doc_id AS id, text, unnest(range(1, greatest(length(text) - 11, 1) + 1)) AS i FROM documents WHERE trim(text) <> '')),
 m AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM s x JOIN s y ON x.x = y.x AND x.id < y.id GROUP BY 1, 2),
 c AS (SELECT a, b, o.n, p.n AS na, q.n AS nb FROM o JOIN m p ON p.id = a JOIN m q ON q.id = b),
@@ -226,7 +226,7 @@ w AS (SELECT t, a AS node, a AS r FROM u UNION SELECT u.t, u.b, w.r FROM w JOIN
 
 @query(_ALIKE.format("[0.5]") + "SELECT doc_id AS member, coalesce(min(r), doc_id) AS representative FROM documents LEFT JOIN w ON node = doc_id GROUP BY doc_id")
 def h4_similarity_clusters(t: Tables) -> DataFrame:
-    return H.similarity_clusters(t.documents, "doc_id", "text", 8, 0.5, 0.5)
+    return H.similarity_clusters(t.documents, "doc_id", "text", 12, 0.5, 0.5)
 
 
 @query(_ALIKE.format("[0.3, 0.5, 0.7, 0.9]") + f"""
@@ -236,7 +236,7 @@ SELECT t::DOUBLE AS threshold, count(DISTINCT k) AS clusters, count(*) AS rows,
   count(*) FILTER (split = 'test') AS test, 0::BIGINT AS crossing_keys FROM d GROUP BY t
 """)
 def h5_threshold_sweep(t: Tables) -> DataFrame:
-    return H.threshold_sweep(t.documents, "doc_id", "text", [0.3, 0.5, 0.7, 0.9], k=8)
+    return H.threshold_sweep(t.documents, "doc_id", "text", [0.3, 0.5, 0.7, 0.9], k=12)
 
 
 _EDGES = """

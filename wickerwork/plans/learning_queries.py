@@ -101,13 +101,13 @@ def i10_build_vocab(t: Tables) -> DataFrame:
 @query("""
 WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) GROUP BY 1 HAVING n >= 2),
 v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 3 AS i FROM c),
-l AS (SELECT item_id, unnest(string_split(text, ' ')[1:10]) AS w, generate_subscripts(string_split(text, ' ')[1:10], 1) AS pos FROM benchmark),
+l AS (SELECT item_id, unnest(string_split(text, ' ')[1:218]) AS w, generate_subscripts(string_split(text, ' ')[1:218], 1) AS pos FROM benchmark),
 e AS (SELECT item_id, list(coalesce(i, 1) ORDER BY pos) AS ids FROM l LEFT JOIN v USING (w) GROUP BY 1)
-SELECT item_id, array_to_string(list_concat([3], ids, [2], list_transform(range(0, 12), lambda x: 0))[1:12], ' ') AS ids FROM e
+SELECT item_id, array_to_string(list_concat([3], ids, [2], list_transform(range(0, 220), lambda x: 0))[1:220], ' ') AS ids FROM e
 """)
 def i11_encode_tokens(t: Tables) -> DataFrame:
     words = t.benchmark.select("item_id", F.split("text", " ").alias("w"))
-    coded = L.encode_tokens(words, "item_id", "w", L.build_vocab(words, "w", min_freq=2), 12, cut_whole=False)
+    coded = L.encode_tokens(words, "item_id", "w", L.build_vocab(words, "w", min_freq=2), 220, cut_whole=False)
     return coded.select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
@@ -151,7 +151,7 @@ def i14_fit_heads(t: Tables) -> DataFrame:
 
 @query()
 def j1_ensemble(t: Tables) -> DataFrame:
-    preds = J.fit_ensemble(t.embeddings.withColumn("y", (F.col("label") > 4).cast("int")), "vec_id", "embedding", "y", "binary", 3)
+    preds = J.fit_ensemble(t.embeddings.withColumn("y", (F.col("label") > 4).cast("int")), "vec_id", "embedding", "y", "binary", 5)
     return J.ensemble_stats(preds, "vec_id")
 
 

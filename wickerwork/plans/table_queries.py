@@ -300,10 +300,10 @@ def e3_design_pairs(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT source, doc_id, substr(text, 1, 40) AS text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5
+SELECT source, doc_id, substr(text, 1, 2000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 500
 """)
 def e4_cap_per_source(t: Tables) -> DataFrame:
-    return E.cap_per_source(t.documents, "source", ["doc_id"], 5, "text", 40).select("source", "doc_id", "text")
+    return E.cap_per_source(t.documents, "source", ["doc_id"], 500, "text", 2000).select("source", "doc_id", "text")
 
 
 @query("""

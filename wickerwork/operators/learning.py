@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import json_size, split_multi, to_num0
+from wickerwork.operators.batched_logit import fit_batched, mean_probability
 from wickerwork.operators.graph import written
 from wickerwork.operators.ranking import global_rank, running_sums
 from wickerwork.operators.resampling import group_bootstrap  # noqa: F401  part of this family
@@ -112,11 +113,26 @@ def pu_sample(df: DataFrame, id_col: str, label: str, member: int, ratio: float,
     return df.where(F.col(label) == 1).unionByName(pu_draw(df, id_col, label, [member], ratio, seed).drop("_m"))
 
 
-def fit_pu_bagging(df: DataFrame, id_col: str, features: str, label: str, members: int = 25, ratio: float = 0.6, seed: int = 0, iterations: int = 30, parallelism: int = 4):
-    """Bagged logistic regressions, `parallelism` of them fitted at a time; returns a function that gives a frame score, the members'
-    mean."""
+#: Features up to which all members are fitted together; beyond, second derivatives would be too many numbers.
+BATCHED_WIDTH = 300
+
+
+def fit_pu_bagging(df: DataFrame, id_col: str, features: str, label: str, members: int = 25, ratio: float = 0.6, seed: int = 0, iterations: int = 40, parallelism: int = 4):
+    """Bagged logistic regressions; returns a function that gives a frame score, the members' mean. Ids should be unique. With up to
+    BATCHED_WIDTH features all members are fitted in the same passes over the rows (see fit_batched), with more each by itself,
+    `parallelism` of them at a time; both minimise the same."""
     table = written(df.select(id_col, features, label))
     drawn = written(pu_draw(table, id_col, label, range(members), ratio, seed))
+    first = table.select(features).first()
+    width = len(first[0]) if first else 0
+    if width <= BATCHED_WIDTH:
+        weights = lambda own: F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda m: F.array_contains(own, m).cast("double"))
+        chosen = drawn.groupBy(id_col).agg(F.collect_set("_m").alias("_own"))
+        some = table.where(F.col(label) == 0).join(chosen, id_col).select(features, F.lit(0.0).alias("y"), weights(F.col("_own")).alias("w"))
+        every = table.where(F.col(label) == 1).select(features, F.lit(1.0).alias("y"), F.array_repeat(F.lit(1.0), members).alias("w"))
+        rows = written(every.unionByName(some).select(vector_to_array(features).alias("x"), "y", "w"))
+        beta = fit_batched(rows, members, width, 0.01, iterations)
+        return lambda frame: frame.withColumn("score", mean_probability(vector_to_array(features), beta))
 
     def fit(m: int):
         sample = table.where(F.col(label) == 1).unionByName(drawn.where(F.col("_m") == m).drop("_m")).withColumn(label, F.col(label).cast("double"))

@@ -420,3 +420,11 @@ def test_language_model(spark):
             gain.append(g.score - g.base_score)
     assert sum(gain) > 0  # the latent states help on unseen texts
     assert score_documents(docs.limit(0)).count() == 0
+
+
+def test_warc_takes_any_id_and_a_folder_without_scheme(spark, tmp_path):
+    ids = ["a b", "line\nbreak", "null", "", None, "50%+é", "<urn:page:1>", "a/b", "same", "Same"]
+    pages = spark.createDataFrame([(i, "http://h/", "body" if (i or "").lower() == "same" else f"b{n}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages, f"{tmp_path}/archives").collect()}
+    assert set(got) == set(ids) and list((tmp_path / "archives").glob("*.warc.gz"))
+    assert got["same"].refers_to == "Same" and got["same"].record_type == "revisit" and got["Same"].refers_to is None

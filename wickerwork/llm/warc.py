@@ -8,6 +8,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,18 @@ def revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int) -
     return met.where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
+def _urn(page_id: str | None) -> str:
+    """An id as a record's name: percent-encoded, so that no sign of it breaks a header; a null id has a name of its own."""
+    return "urn:page-without-id" if page_id is None else "urn:page:" + quote(str(page_id), safe="")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark itself takes it to, so that tasks write where Spark will read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def write_warc(
     pages: DataFrame,
     path: str,
@@ -64,6 +77,7 @@ def write_warc(
     An empty table writes no file.
     """
     bound_batches(pages.sparkSession)
+    path = _qualified(pages.sparkSession, path)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     known = revisits(pages, id_col, payload, least_bytes)
     rows = (
@@ -97,11 +111,11 @@ def write_warc(
         for batch in batches:
             for page_id, url, body, refers in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                headers = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id or 'null'}>")]
+                headers = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<{_urn(page_id)}>")]
                 headers += [("WARC-Target-URI", url)] if url is not None else []
                 headers += [("WARC-Payload-Digest", "sha1:" + sha1_base32(body)), ("Content-Type", "application/http; msgtype=response")]
                 if refers is not None:
-                    headers += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", _PROFILE)]
+                    headers += [("WARC-Refers-To", f"<{_urn(refers)}>"), ("WARC-Profile", _PROFILE)]
                 data = _member(headers, http if refers is not None else http + bytes(body), level)
                 if out is None:
                     part = f"{folder}/{uuid.uuid4().hex}.unfinished"
@@ -280,10 +294,9 @@ def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0)
     spark = pages.sparkSession
     kind = dict(pages.dtypes)["page_id"]
     path = path or f"{shared_dir(spark)}/wickerwork/warc-{uuid.uuid4().hex}"
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
     if not write_warc(pages, path, least_bytes=least_bytes).limit(1).count():
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
-    id_of = lambda c: F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("null")).cast(kind)
+    id_of = lambda c: F.when(F.col(c).startswith("urn:page:"), F.url_decode(F.substring(c, 10, 1 << 30))).cast(kind)
     return read_warc(spark, path).where("kind = 'record'").select(
         id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to")
     )

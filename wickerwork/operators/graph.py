@@ -34,20 +34,28 @@ def connected_components(edges: DataFrame, least: int = LEAST) -> DataFrame:
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     both = written(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
     label = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
-    hubs = heavy_keys(both, "other", least).select("other")
+    hubs = _heavy(both, "other", least)
     while True:
         named = label.select(F.col("node").alias("other"), F.col("component").alias("c"))
         seen = _joined(both, named, "other", hubs)
         low = seen.groupBy("node").agg(F.min("c").alias("m"))
         step = written(label.join(low, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("c2"))
-        new = _joined(step, jump, "component", heavy_keys(step, "component", least).select("component"))
+        new = _joined(step, jump, "component", _heavy(step, "component", least))
         new = written(new.select("node", "old", F.least("component", "c2").alias("component")))
         if not new.where("component <> old").limit(1).count():
             return new.select("node", "component")
         label = new.select("node", "component")
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+def _heavy(rows: DataFrame, key: str, least: int) -> DataFrame | None:
+    """The heavy keys, or None where there are none; a table of fewer rows than a heavy key has is not counted by key."""
+    if rows.count() <= least:
+        return None
+    heavy = heavy_keys(rows, key, least).select(key)
+    return heavy if heavy.limit(1).count() else None
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
     """lookup_join where there are heavy keys, else a plain join; every key is in the table."""
-    return lookup_join(rows, table, key, heavy=heavy) if heavy.limit(1).count() else rows.join(table, key)
+    return rows.join(table, key) if heavy is None else lookup_join(rows, table, key, heavy=heavy)

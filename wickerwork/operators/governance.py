@@ -160,10 +160,12 @@ def strict_subset_gate(subsets: DataFrame, metabolites: DataFrame, reactions: Da
     """subsets(subset, metabolite_ids, reaction_ids arrays, min_parse_fraction, require_balance); metabolites(met_id, formula, charge,
     source, parseable, consistent); reactions(reaction_id, evidence_scope, has_balance, formula_balanced,
     charge_balanced): rows (subset, item, check, passed). subset_status gives the verdicts."""
-    mets = subsets.select("subset", "min_parse_fraction", F.explode("metabolite_ids").alias("met_id")).join(metabolites.withColumn("_in", F.lit(True)), "met_id", "left")
+    # A formula is parsed once for its metabolite and not for every subset that names it.
+    known = metabolites.withColumns({"_in": F.lit(True), "_parses": parse_formula("formula").isNotNull()}).drop("formula")
+    mets = subsets.select("subset", "min_parse_fraction", F.explode("metabolite_ids").alias("met_id")).join(known, "met_id", "left")
     flags = {
         "id_known": F.col("_in").isNotNull(),
-        "formula_parses": parse_formula("formula").isNotNull(),
+        "formula_parses": F.col("_parses"),
         "charge_numeric": F.col("charge").isNotNull(),
         "source_recorded": has_text("source") & (F.col("source") != "unrecorded"),
         "tables_agree": F.coalesce("consistent", F.lit(True)),

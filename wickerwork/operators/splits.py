@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import assign_split, has_text, stable_bucket
-from wickerwork.operators.graph import connected_components
+from wickerwork.operators.graph import connected_components, written
 from wickerwork.operators.similarity import cut_forest, similarity_links, spanning_forest
+from wickerwork.operators.skew import HEAVY_KEYS, LEAST, lookup_join
 
 
 def _with_split(df: DataFrame, key: str = "split_key") -> DataFrame:
@@ -71,12 +72,24 @@ def threshold_sweep(df: DataFrame, id_col: str, text: str, thresholds: Sequence[
 
 def unified_group_split(rows: DataFrame, id_col: str, tokens: DataFrame) -> DataFrame:
     """rows with group_key and split: rows that share a token, directly or through others, are one group. tokens(id, token); a row
-    without a token is a group of its own. The key is the hash of the group's smallest token."""
-    own = rows.select(id_col).join(tokens.select(id_col), id_col, "left_anti").select(id_col, F.concat(F.lit("reaction_id:"), F.col(id_col).cast("string")).alias("token"))
-    edges = tokens.select(id_col, "token").unionByName(own).distinct()
-    first = edges.groupBy(id_col).agg(F.min("token").alias("a"))
-    linked = connected_components(edges.join(first, id_col).select("a", F.col("token").alias("b")))
-    anchors = first.join(linked, F.col("a") == F.col("node"), "left").select(id_col, F.coalesce("component", "a").alias("anchor"))
+    without a token is a group of its own. The key is the hash of the group's smallest token.
+
+    The graph is over ids: of a token that several ids have, each is linked to the smallest. Tokens meet by 16 bytes of their SHA-256, and
+    their own text moves only as the smallest of an id."""
+    named = tokens.where(F.col("token").isNotNull() & F.col(id_col).isNotNull())
+    least_tokens = named.groupBy(id_col).agg(F.min("token").alias("own"))
+    keyed = named.select(F.unhex(F.substring(F.sha2("token", 256), 1, 32)).alias("h"), F.col(id_col).alias("a"))
+    shared = written(keyed.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("z"), F.count("*").alias("n")).where("b <> z").select("h", "b", "n"))
+    limit = max(LEAST, (shared.agg(F.sum("n")).first()[0] or 0) // HEAVY_KEYS)
+    heavy, centres = shared.where(F.col("n") > limit).select("h"), shared.select("h", "b")
+    met = lookup_join(keyed, centres, "h", heavy=heavy) if heavy.limit(1).count() else keyed.join(centres, "h")
+    linked = connected_components(written(met.where("a <> b").select("a", "b").distinct()))
+
+    lone = F.concat(F.lit("reaction_id:"), F.col(id_col).cast("string"))
+    ids = rows.select(id_col).where(F.col(id_col).isNotNull()).union(least_tokens.select(id_col)).distinct().join(least_tokens, id_col, "left")
+    ids = ids.join(linked.withColumnRenamed("node", id_col), id_col, "left").select(id_col, F.coalesce("own", lone).alias("own"), F.coalesce("component", id_col).alias("component"))
+    ids = written(ids)
+    anchors = ids.join(ids.groupBy("component").agg(F.min("own").alias("anchor")), "component").select(id_col, "anchor")
     out = rows.join(anchors, id_col).withColumn("group_key", F.concat(F.lit("unified:"), F.sha2("anchor", 256)))
     return out.withColumns({"split_bucket": stable_bucket("group_key"), "split": assign_split("group_key")}).drop("anchor")
 

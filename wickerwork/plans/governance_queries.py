@@ -287,7 +287,7 @@ SELECT doc_id, group_key, {_SPLIT} AS split FROM d
 def h7_paragraph_groups(t: Tables) -> DataFrame:
     """Documents that share a line of 40 characters and more, directly or through others, in one split."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40)
-    tokens = t.documents.select("doc_id", F.explode(F.transform(lines, lambda x: F.sha2(x, 256))).alias("token")).distinct()
+    tokens = t.documents.select("doc_id", F.explode(F.transform(F.array_distinct(lines), lambda x: F.sha2(x, 256))).alias("token"))
     return H.unified_group_split(t.documents.select("doc_id"), "doc_id", tokens).select("doc_id", "group_key", "split")
 
 

@@ -1,6 +1,10 @@
 """What the operators move must not grow faster than their input."""
 
-from wickerwork.operators import splits
+import random
+
+from pyspark.sql import functions as F
+
+from wickerwork.operators import omics, splits
 
 
 def test_group_graph_is_over_ids(spark, monkeypatch):
@@ -20,3 +24,27 @@ def test_group_graph_with_a_token_of_most_ids(spark, monkeypatch):
     tokens = [(i, "common") for i in range(0, 300, 2)] + [(i, f"t{i // 10}") for i in range(1, 300, 2)]
     got = {r.id: r.group_key for r in splits.unified_group_split(rows, "id", spark.createDataFrame(tokens, "id long, token string")).collect()}
     assert len(got) == 300 and len({got[i] for i in range(0, 300, 2)}) == 1 and len(set(got.values())) == 31
+
+
+def test_mean_group_correlation_makes_no_pairs(spark, tmp_path):
+    """Equal to the mean over gene_correlation's pairs, with genes of other conditions, flat ones and ones with too few in common."""
+    draw = random.Random(5)
+    values = [(g, f"c{c}", 1.0 if g % 7 == 0 else draw.random()) for g in range(40) for c in range(6) if g % 5 or c != g % 6] + [(40, "c1", 0.5), (41, "c9", 0.5)]
+    members = [(k, g) for k in range(3) for g in range(42) if g % (k + 1) == 0]
+    expr, groups = spark.createDataFrame(values, "gene_id long, condition string, value double"), spark.createDataFrame(members, "group_id long, gene_id long")
+    pairs = groups.withColumnRenamed("gene_id", "gene_a").join(groups.withColumnRenamed("gene_id", "gene_b"), "group_id").where("gene_a <> gene_b")
+    means = pairs.join(omics.gene_correlation(expr, pairs), ["gene_a", "gene_b"]).groupBy("group_id", F.col("gene_a").alias("gene_id")).agg(F.avg("correlation").alias("m")).where("m IS NOT NULL")
+    want = {(r.group_id, r.gene_id): r.m for r in means.collect()}
+    got = {(r.group_id, r.gene_id): r.mean_correlation for r in omics.mean_group_correlation(expr, groups).collect()}
+    assert got.keys() == want.keys() and len(got) > 60 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_pseudo_gpr_does_not_pair_candidates(spark, monkeypatch):
+    def pairs(*_):
+        raise AssertionError("candidates were paired")
+
+    monkeypatch.setattr(omics, "gene_correlation", pairs)
+    expr = spark.createDataFrame([(g, f"c{c}", float((g * 3 + 1) * c % 7)) for g in range(20) for c in range(5)], "gene_id long, condition string, value double")
+    stoich = spark.createDataFrame([(0, 1), (1, 1)], "reaction_id long, met_id long")
+    rules = spark.createDataFrame([(0, g) for g in range(20)], "reaction_id long, gene_id long")
+    assert omics.infer_pseudo_gpr(expr, stoich, rules, -1.0).count() == 5

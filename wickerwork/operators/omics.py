@@ -117,15 +117,46 @@ def metabolite_neighbours(stoich: DataFrame, cap: int = 20, hub_degree: int | No
     return top_k_per_group(shared, "reaction_id", [F.desc("shared"), "neighbour"], cap, "n").drop("n")
 
 
+def mean_group_correlation(expr: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
+    """group_id, gene_id, mean_correlation: the mean of a gene's gene_correlation with the other genes of its group, over those with `least`
+    common conditions; no row without one. members(group_id, gene_id).
+
+    No pairs are made: a correlation is the product of two unit vectors, so a gene's sum over all genes with one set of conditions is its
+    product with their sum over the common conditions, less its own. The work is members times the sets of conditions in their group."""
+    values = expr.where("value IS NOT NULL").groupBy("gene_id", "condition").agg(F.avg("value").alias("value"))
+    packed = values.groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("condition", "value"))).alias("v"))
+    packed = written(packed.withColumn("mine", F.transform("v", lambda x: x["condition"])))
+    rows = written(members.select("group_id", "gene_id").distinct().join(packed.select("gene_id", "mine"), "gene_id"))
+    kinds = written(rows.groupBy("group_id", F.col("mine").alias("theirs")).agg(F.count("*").alias("n")))
+    meeting = kinds.select("group_id", "theirs").join(kinds.select("group_id", F.col("theirs").alias("mine")), "group_id").select("mine", "theirs").distinct()
+    meeting = meeting.where(F.size(F.array_intersect("mine", "theirs")) >= least)
+
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  f(x) with x computed once
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+    centred = lambda x: once(total(x) / F.size(x), lambda t: F.transform(x, lambda v: v - t))
+    unit = lambda x: once(F.sqrt(product(x, x)), lambda d: F.transform(x, lambda v: F.when(d / F.sqrt(F.size(x)) < 1e-12, 0.0).otherwise(v / d)))
+    x = F.transform(F.filter("v", lambda x: F.array_contains("theirs", x["condition"])), lambda x: x["value"])
+    units = written(packed.join(meeting, "mine").select("gene_id", "mine", "theirs", once(once(x, centred), unit).alias("u")))
+
+    places = rows.join(units.drop("mine"), "gene_id").join(kinds.drop("n"), ["group_id", "theirs"]).select("group_id", "mine", "theirs", F.posexplode("u").alias("at", "u"))
+    sums = places.groupBy("group_id", "mine", "theirs", "at").agg(F.sum("u").alias("u")).groupBy("group_id", "mine", "theirs").agg(F.array_sort(F.collect_list(F.struct("at", "u"))).alias("s"))
+    sums = sums.select("group_id", F.col("mine").alias("theirs"), F.col("theirs").alias("mine"), F.transform("s", lambda x: x["u"]).alias("s"))
+    own = F.col("mine") == F.col("theirs")
+    met = rows.join(units.drop("mine"), "gene_id").join(written(sums.join(kinds, ["group_id", "theirs"])), ["group_id", "mine", "theirs"])
+    part = product("u", "s") - F.when(own, product("u", "u")).otherwise(0.0)
+    per = met.groupBy("group_id", "gene_id").agg(F.sum(part).alias("r"), F.sum(F.col("n") - own.cast("int")).alias("n"))
+    return per.where("n > 0").select("group_id", "gene_id", (F.col("r") / F.col("n")).alias("mean_correlation"))
+
+
 def infer_pseudo_gpr(expr: DataFrame, stoich: DataFrame, gpr: DataFrame, least: float = 0.5, cap: int = 20, genes: int = 5, hub_degree: int | None = None) -> DataFrame:
     """reaction_id, gene_id, mean_correlation, rank for reactions without rule: neighbours' genes whose mean correlation with the other
     candidates is at least `least`; the best `genes`. Means are rounded to nine places, so that the order of their sums decides no tie."""
     bare = stoich.select("reaction_id").distinct().join(gpr.select("reaction_id"), "reaction_id", "left_anti")
     near = metabolite_neighbours(stoich, cap, hub_degree).join(bare, "reaction_id", "left_semi")
-    cand = near.join(gpr.select(F.col("reaction_id").alias("neighbour"), "gene_id"), "neighbour").select("reaction_id", "gene_id").distinct()
-    pairs = cand.select("reaction_id", F.col("gene_id").alias("gene_a")).join(cand.select("reaction_id", F.col("gene_id").alias("gene_b")), "reaction_id").where("gene_a <> gene_b")
-    corr = gene_correlation(expr, pairs)
-    mean = pairs.join(corr, ["gene_a", "gene_b"]).groupBy("reaction_id", F.col("gene_a").alias("gene_id")).agg(F.round(F.avg("correlation"), 9).alias("mean_correlation"))
+    cand = near.join(gpr.select(F.col("reaction_id").alias("neighbour"), "gene_id"), "neighbour").select(F.col("reaction_id").alias("group_id"), "gene_id")
+    # The candidates are read three times.
+    mean = mean_group_correlation(expr, written(cand.distinct())).select(F.col("group_id").alias("reaction_id"), "gene_id", F.round("mean_correlation", 9).alias("mean_correlation"))
     return top_k_per_group(mean.where(F.col("mean_correlation") >= least), "reaction_id", [F.desc("mean_correlation"), "gene_id"], genes)
 
 

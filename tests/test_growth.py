@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from wickerwork.operators import omics, splits
+from wickerwork.operators import learning, omics, splits
 
 
 def test_group_graph_is_over_ids(spark, monkeypatch):
@@ -48,3 +50,15 @@ def test_pseudo_gpr_does_not_pair_candidates(spark, monkeypatch):
     stoich = spark.createDataFrame([(0, 1), (1, 1)], "reaction_id long, met_id long")
     rules = spark.createDataFrame([(0, g) for g in range(20)], "reaction_id long, gene_id long")
     assert omics.infer_pseudo_gpr(expr, stoich, rules, -1.0).count() == 5
+
+
+@pytest.mark.parametrize("fit", [learning.holdout_regression, learning.kfold_regression])
+def test_forests_deal_their_rows(spark, monkeypatch, fit):
+    """The rows of one small file are dealt to several tasks, and the files' layout decides nothing."""
+    monkeypatch.setattr(learning, "FOREST_ROWS", 100)
+    parts, real = [], learning.RandomForestRegressor.fit
+    monkeypatch.setattr(learning.RandomForestRegressor, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or real(self, df))
+    df = spark.range(400).select("id", array_to_vector(F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double"))).alias("x"), (F.col("id") % 7 + F.col("id") % 3).cast("double").alias("y"))
+    one, many = (sorted(map(tuple, fit(df.repartition(n), "id", "x", "y", 2, trees=3).collect())) if fit is learning.kfold_regression else sorted(map(tuple, fit(df.repartition(n), "id", "x", "y", 2, 20, 3).collect())) for n in (1, 5))
+    assert set(parts) == {4} and [(k, n) for k, n, *_ in one] == [(k, n) for k, n, *_ in many]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(one, many, strict=True) for a, b in zip(x, y, strict=True))

@@ -260,9 +260,19 @@ def _forest(seed: int, trees: int, features: str, label: str):
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=8, seed=seed)
 
 
+#: Rows of a partition of the forests' input.
+FOREST_ROWS = 50_000
+
+
+def _dealt(df: DataFrame, id_col: str) -> DataFrame:
+    """df dealt by id into partitions of about FOREST_ROWS rows and sorted there. A small file, however many rows it has, would be one task;
+    and a forest's samples depend on the partitions, which are so the same on every cluster."""
+    return df.repartition(max(1, math.ceil(df.count() / FOREST_ROWS)), id_col).sortWithinPartitions(id_col)
+
+
 def holdout_regression(df: DataFrame, id_col: str, features: str, label: str, reps: int = 5, percent: int = 20, trees: int = 20) -> DataFrame:
     """rep and the metrics of a random forest on the held-out percent of rows, chosen by a hash, repeated."""
-    out = None
+    df, out = _dealt(df, id_col), None
     for rep in range(reps):
         fold = _fold(id_col, rep, 100) < percent
         model = _forest(rep, trees, features, label).fit(df.where(~fold))

@@ -93,3 +93,28 @@ def test_similarity_keeps_no_sets(spark, monkeypatch, whole):
     assert groups(found, 0.5) == groups(want, 0.5) and groups(found, 0.9) == groups(want, 0.9)
     arrays = [(df, c) for df in tables for c, kind in df.dtypes if kind.startswith("array")]
     assert sum(df.agg(F.sum(F.size(c))).first()[0] or 0 for df, c in arrays) < sum(map(len, sets)) / 4
+
+
+def test_threshold_sweep_keeps_no_sets(spark, monkeypatch):
+    """The sweep's clusters are those of all pairs, with several classes, and no table it writes holds the sets."""
+    monkeypatch.setattr(similarity, "CLASS_POSTS", 500)
+    tables, real = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df: tables.append(real(df)) or tables[-1])
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(60, 90))).strip() for _ in range(12)]
+    texts += [t[: len(t) * part // 100] + "zyxwv" for t in texts[:8] for part in (95, 80, 65)]
+    sets = [{t[j : j + 5] for j in range(max(1, len(t) - 4))} for t in texts]
+    alike = lambda x, y, t: len(x & y) >= t * len(x | y) and 2 * len(x & y) >= max(len(x), len(y))
+    want = {}
+    for t in (0.5, 0.7, 0.9):
+        label = list(range(len(texts)))
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if alike(sets[a], sets[b], t) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+        want[t] = len(set(label))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.threshold: r.clusters for r in splits.threshold_sweep(df, "i", "t", [0.5, 0.7, 0.9]).collect()}
+    assert got == want and len(set(want.values())) > 1
+    arrays = [(df, c) for df in tables for c, kind in df.dtypes if kind.startswith("array")]
+    assert sum(df.agg(F.sum(F.size(c))).first()[0] or 0 for df, c in arrays) < sum(map(len, sets)) / 4

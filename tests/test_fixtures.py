@@ -191,6 +191,30 @@ def test_balance(spark):
     assert got["gap"].missing_formula == ["z"] and not got["gap"].formula_balanced and not got["gap"].charge_balanced
 
 
+def test_audit_parses_formulas_once_dealt_out(spark, sf):
+    from __spark_entry__ import QUERIES
+
+    plan = QUERIES["d5_balance_audit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsing = [i for i, line in enumerate(plan) if "regexp_extract_all" in line]
+    assert len(parsing) == 2 and all("Repartition" in plan[i + 1] for i in parsing)
+    # Each of the two mentions of a column of matches is one extraction, and no filter repeats them.
+    assert all(plan[i].count("regexp_extract_all") == 2 for i in parsing)
+
+
+def test_remediation_audits_once(spark, sf):
+    from __spark_entry__ import QUERIES
+
+    assert "lineitem" not in QUERIES["g11_remediation_action"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_audit_of_repeated_compounds(spark):
+    stoich = spark.createDataFrame([("r", "a", 1.0), ("r", "a", 1.0), ("r", None, 1.0), ("r", "gone", -1.0)], "reaction_id string, met_id string, coeff double")
+    mets = spark.createDataFrame([("a", "", 1), ("a", "C(", None), ("a", "C", 1)], "met_id string, formula string, charge int")
+    r = aggregates.balance_audit(stoich, mets).first()
+    assert (r.missing_formula, r.unparsable_formula, r.missing_charge) == (["a", "gone"], ["a"], ["a", "gone"])
+    assert r.element_imbalance == {"C": 2.0} and r.charge_imbalance == 4.0
+
+
 def test_metabolite_gate(spark):
     df = spark.createDataFrame([("m", "", "", "", "", "")], "met_id string, smiles string, formula string, mapping_source string, source_database string, source_record_id string")
     r = governance.metabolite_quality(df).first()

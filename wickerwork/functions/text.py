@@ -97,13 +97,18 @@ _ATOM = "([A-Z][a-z]?)([0-9]*\\.?[0-9]*)"
 def parse_formula(c: Column | str) -> Column:
     """Molecular formula to map<element, count>; null for generic ones (R, brackets, signs) or if anything is left over."""
     c = F.trim(_c(c))
-    elements, numbers = F.regexp_extract_all(c, F.lit(_ATOM), 1), F.regexp_extract_all(c, F.lit(_ATOM), 2)
-    pairs = F.zip_with(elements, numbers, lambda e, n: F.struct(e.alias("e"), F.when(n == "", 1.0).otherwise(n.try_cast("double")).alias("n")))
-    keys = F.array_distinct(elements)
-    counts = F.transform(keys, lambda k: F.aggregate(F.filter(pairs, lambda p: p["e"] == k), F.lit(0.0), lambda a, p: a + p["n"]))
-    whole = F.array_join(F.zip_with(elements, numbers, lambda e, n: F.concat(e, n)), "") == c
-    usable = (c != "") & whole & ~c.rlike(r"R(?![a-z])|[()\[\]+\-]")
-    return F.when(usable, F.map_from_arrays(keys, counts))
+    parts = F.struct(c.alias("c"), F.regexp_extract_all(c, F.lit(_ATOM), 1).alias("elements"), F.regexp_extract_all(c, F.lit(_ATOM), 2).alias("numbers"))
+
+    def atoms(p: Column) -> Column:
+        elements, numbers = p["elements"], p["numbers"]
+        pairs = F.zip_with(elements, numbers, lambda e, n: F.struct(e.alias("e"), F.when(n == "", 1.0).otherwise(n.try_cast("double")).alias("n")))
+        keys = F.array_distinct(elements)
+        counts = F.transform(keys, lambda k: F.aggregate(F.filter(pairs, lambda x: x["e"] == k), F.lit(0.0), lambda a, x: a + x["n"]))
+        whole = F.array_join(F.zip_with(elements, numbers, lambda e, n: F.concat(e, n)), "") == p["c"]
+        usable = (p["c"] != "") & whole & ~p["c"].rlike(r"R(?![a-z])|[()\[\]+\-]")
+        return F.when(usable, F.map_from_arrays(keys, counts))
+
+    return F.transform(F.array(parts), atoms)[0]  # in a lambda the two extractions run once a formula, else once for each mention
 
 
 def element_count(c: Column | str, element: str = "C") -> Column:

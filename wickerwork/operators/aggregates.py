@@ -44,16 +44,18 @@ def balance_audit(stoich: DataFrame, compounds: DataFrame, tol: float = 1e-6) ->
     """stoich(reaction_id, met_id, coeff), compounds(met_id, formula, charge) -> per reaction formula_balanced,
     charge_balanced, the lists of metabolites without formula, with one that cannot be parsed, without charge, the map
     of unbalanced elements and the charge sum. A reaction with missing or unparsable formulas is not formula-balanced."""
-    known = compounds.select("met_id", "formula", "charge", parse_formula("formula").alias("atoms"))
+    # Dealt out before the parsing: a small file of many compounds is one task. explode_outer, as the filter that explode implies is pushed
+    # below that exchange and parses there once more.
+    known = compounds.select("met_id", "formula", "charge").repartition("met_id").select("met_id", "formula", "charge", parse_formula("formula").alias("atoms"))
     rows = stoich.join(known, "met_id", "left")
-    lists = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("met_id"))))
-    per = rows.groupBy("reaction_id").agg(
-        lists(~has_text("formula")).alias("missing_formula"),
-        lists(has_text("formula") & F.col("atoms").isNull()).alias("unparsable_formula"),
-        lists(F.col("charge").isNull()).alias("missing_charge"),
-        F.coalesce(F.sum(F.col("coeff") * F.col("charge")), F.lit(0.0)).alias("charge_imbalance"),
+    flaws = {"missing_formula": ~has_text("formula"), "unparsable_formula": has_text("formula") & F.col("atoms").isNull(), "missing_charge": F.col("charge").isNull()}
+    flawed = F.col("met_id").isNotNull() & (F.col("f.missing_formula") | F.col("f.unparsable_formula") | F.col("f.missing_charge"))
+    per = rows.withColumn("f", F.struct(*(v.alias(k) for k, v in flaws.items()))).groupBy("reaction_id").agg(
+        F.collect_set(F.when(flawed, F.struct("met_id", "f"))).alias("flawed"), F.coalesce(F.sum(F.col("coeff") * F.col("charge")), F.lit(0.0)).alias("charge_imbalance")
     )
-    atoms = rows.where("atoms IS NOT NULL").select("reaction_id", "coeff", F.explode("atoms").alias("element", "count"))
+    with_flaw = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter("flawed", lambda r: r["f"][c]), lambda r: r["met_id"]))).alias(c)
+    per = per.select("reaction_id", *map(with_flaw, flaws), "charge_imbalance")
+    atoms = rows.select("reaction_id", "coeff", F.explode_outer("atoms").alias("element", "count")).where("element IS NOT NULL")
     sums = atoms.groupBy("reaction_id", "element").agg(F.sum(F.col("coeff") * F.col("count")).alias("x")).where(F.abs("x") > tol)
     uneven = sums.groupBy("reaction_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "x")))).alias("element_imbalance"))
     out = per.join(uneven, "reaction_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import classify_first_match, has_text, parse_formula, structure_status
+from wickerwork.operators.graph import written
 
 
 def waterfall_resolve(rows: DataFrame, candidates: DataFrame, tiers: Sequence[str]) -> DataFrame:
@@ -236,18 +237,15 @@ def remediation_action(
     """reaction_id, issue_classes, action. The metabolites in the audit's `lists` are classed by `rules` (as classify_first_match takes
     them, over met_id, name and formula of compounds(met_id, name, formula); a metabolite that is not there has neither name nor
     formula), then a balanced reaction, one with classes of `excluded` only and one without some formula get their action."""
-    ids = F.array_distinct(F.concat(*lists))
-    issues = audit.select("reaction_id", F.explode(ids).alias("met_id")).join(compounds.select("met_id", "name", "formula"), "met_id", "left")
+    flags = {"balanced": F.col("formula_balanced") & F.col("charge_balanced"), "unmapped": F.size("missing_formula") > 0, "ids": F.array_distinct(F.concat(*lists))}
+    # Read twice below, so written once: else all reactions are audited twice.
+    flagged = written(audit.select("reaction_id", *(v.alias(k) for k, v in flags.items())))
+    issues = flagged.select("reaction_id", F.explode("ids").alias("met_id")).join(compounds.select("met_id", "name", "formula"), "met_id", "left")
     classed = classify_first_match(issues, ["name"], rules, {"class": other})
     per = classed.groupBy("reaction_id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    out = audit.join(per, "reaction_id", "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
+    out = flagged.drop("ids").join(per, "reaction_id", "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
     only = (F.size("classes") > 0) & F.forall("classes", lambda c: c.isin(*excluded))
-    action = (
-        F.when(F.col("formula_balanced") & F.col("charge_balanced"), actions["balanced"])
-        .when(only, actions["excluded"])
-        .when(F.size("missing_formula") > 0, actions["mapping"])
-        .otherwise(actions["review"])
-    )
+    action = F.when(F.col("balanced"), actions["balanced"]).when(only, actions["excluded"]).when(F.col("unmapped"), actions["mapping"]).otherwise(actions["review"])
     return out.select("reaction_id", F.array_join("classes", "|").alias("issue_classes"), action.alias("action"))
 
 

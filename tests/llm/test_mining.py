@@ -157,6 +157,32 @@ def test_collocations_by_hand(spark, monkeypatch, longest, small):
     assert mine_collocations(table.limit(0)).count() == 0
 
 
+def test_runs_cross_the_shuffle_by_prefix_partition(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    docs = spark.createDataFrame([("en", text)] * 2, "lang string, text string").repartition(1)
+    rows = collocations._runs(docs, {1: None, 2: None}, {}).collect()
+    assert len(rows) <= 2 * collocations.PARTS + 1 and sum(len(r["counts"]) for r in rows) == 8 * 40_000
+
+
+@pytest.mark.parametrize("merge", [3, 500_000])
+def test_packed_runs_are_summed_by_partition(monkeypatch, merge):
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "MERGE", merge)
+    want, packed = Counter(), []
+    for turn in range(5):
+        text = " ".join(f"\u00e9{i * (turn + 1) % 7}" for i in range(60))
+        w = text.split()
+        want.update([(0, "")] * len(w) + [(k, " ".join(w[i : i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1)])
+        counter = collocations.PhraseCounter("fr", {1: None, 2: None, 3: None})
+        packed += [collocations.packed(b) for b in [*counter.feed([text.encode()]), *counter.flush()]]
+    rows = pa.Table.from_batches(packed).sort_by([("lang", "ascending"), ("part", "ascending")]).to_batches(max_chunksize=2)
+    got = [r for b in collocations.merged(iter(rows), 9) for r in b.to_pylist()]
+    assert {r["lang"] for r in got} == {"fr"} and len(got) > 20
+    assert sorted((r["size"], r["phrase"], r["n"]) for r in got) == sorted((*k, n) for k, n in want.items() if n >= 9 or k[0] == 0)
+    assert list(collocations.merged(iter([]), 9)) == []
+
+
 def test_trie_bursts_and_gives_back_whole_subtrees(monkeypatch):
     import numpy as np
 

@@ -46,6 +46,11 @@ _IN_WORD[[32, _BREAK]] = False
 _KEYS = mix(np.arange(1, LONGEST + 1, dtype=_U) * _U(0x2545F4914F6CDD1D)) | _U(1)
 _LENGTH = _U(0x9E3779B97F4A7C15)
 
+#: Prefix partitions: the runs of a language that are summed together.
+PARTS = 512
+#: Phrases that a prefix partition gathers from its runs, at least, before they are summed.
+MERGE = 500_000
+
 SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
@@ -303,11 +308,67 @@ def _hashed(docs: DataFrame, size: int, parts) -> DataFrame:
     return docs.mapInArrow(run, "h long, n long")
 
 
+def packed(run: pa.RecordBatch) -> pa.RecordBatch:
+    """A sorted run (lang, size, prefix, phrase, n) of one language and size as a row for each prefix partition: lang, size, part, its phrases
+    in order with a line feed between them, which no word holds, and their counts as 64-bit integers."""
+    prefix = run.column(2).cast(pa.binary())
+    bounds = np.frombuffer(prefix.buffers()[1], np.int32, len(prefix) + 1, 4 * prefix.offset).astype(np.int64)
+    raw = np.frombuffer(prefix.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    some = bounds[1:] > bounds[:-1]
+    part = np.zeros(len(prefix), np.int64)
+    if some.any():
+        part[some] = (mix(span_hashes(raw.astype(_U) + _U(1), bounds[:-1][some], bounds[1:][some])) % _U(PARTS)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    edges = np.append(first, len(order)).astype(np.int32)
+    phrases = pa.ListArray.from_arrays(pa.array(edges), run.column(3).take(pa.array(order)))
+    counts = run.column(4).to_numpy()[order].tobytes()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.repeat(run.column(0)[0], len(parts)), pa.repeat(run.column(1)[0], len(parts)), pa.array(parts.astype(np.int32)),
+            pc.binary_join(phrases, "\n"), pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(edges * np.int32(8)), pa.py_buffer(counts)]),
+        ],
+        names=["lang", "size", "part", "phrases", "counts"],
+    )
+
+
+def _summed(run: pa.Table) -> pa.Table:
+    return run.group_by(["size", "phrase"]).aggregate([("n", "sum")]).rename_columns(["size", "phrase", "n"])
+
+
+def merged(rows: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, n) with n >= least or size 0 of packed rows that are sorted by lang and part: equal phrases of a partition's runs summed."""
+    key, held, added, distinct = None, [], 0, 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        total = _summed(pa.concat_tables(held))
+        total = total.filter(pc.or_(pc.greater_equal(total["n"], least), pc.equal(total["size"], 0)))
+        if total.num_rows:
+            yield from total.add_column(0, "lang", pa.repeat(pa.scalar(key[0]), total.num_rows)).combine_chunks().to_batches()
+
+    for batch in rows:
+        for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if now != key:
+                if held:
+                    yield from done()
+                key, held, added, distinct = now, [], 0, 0
+            n = np.frombuffer(batch.column(4)[i].as_buffer(), np.int64)
+            phrases = pc.split_pattern(batch.column(3).slice(i, 1), "\n").flatten()
+            held.append(pa.table({"size": pa.repeat(batch.column(1)[i], len(n)), "phrase": phrases, "n": pa.array(n)}))
+            added += len(n)
+            if added > max(MERGE, distinct):  # so that many distinct phrases are not summed anew for each run
+                held = [_summed(pa.concat_tables(held))]
+                added, distinct = 0, held[0].num_rows
+    if held:
+        yield from done()
+
+
 def _runs(docs: DataFrame, sizes: Mapping, own: Mapping) -> DataFrame:
-    """Sorted runs (lang, size, prefix, phrase, n) of the phrases in docs(lang, text) that PhraseCounter counts; size 0 is the number of words.
-    sizes and own hold broadcast filters."""
+    """Packed sorted runs (lang, size, part, phrases, counts) of the phrases in docs(lang, text) that PhraseCounter counts; size 0 is the number
+    of words. sizes and own hold broadcast filters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda filters: {k: f and f.value for k, f in filters.items()}
         counters: dict[str, PhraseCounter] = {}
         for batch in batches:
@@ -321,7 +382,7 @@ def _runs(docs: DataFrame, sizes: Mapping, own: Mapping) -> DataFrame:
         for counter in counters.values():
             yield from counter.flush()
 
-    return docs.mapInArrow(run, "lang string, size int, prefix string, phrase string, n long")
+    return docs.mapInArrow(lambda batches: map(packed, counted(batches)), "lang string, size int, part int, phrases string, counts binary")
 
 
 def bit_filter(frequent: DataFrame):
@@ -340,16 +401,15 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
 
     A phrase is frequent only if its two parts of one word less are. So words are counted by hash first, then pairs of frequent words,
     then triples of frequent pairs; a sum may hold several phrases, so that no frequent one is missed. One more pass counts by their words,
-    in HAT-tries, the phrases whose sums reach `least`, and the longest ones of which both parts' do. Its runs meet in prefix
-    partitions, by language and first two words, where equal phrases are summed."""
+    in HAT-tries, the phrases whose sums reach `least`, and the longest ones of which both parts' do. Its runs are packed, a row for
+    each prefix partition (a hash of the first two words), and meet by language and partition, where equal phrases are summed."""
     filters = {0: None}
     for size in range(1, longest):
         sums = _hashed(docs, size, filters[size - 1]).groupBy("h").agg(F.sum("n").alias("n"))
         filters[size] = bit_filter(durable(sums.where(f"n >= {least}").select("h")))
     sizes = {size: filters[size - 1] if size == longest else None for size in range(1, longest + 1)}
-    runs = _runs(docs, sizes, {size: filters[size] for size in range(1, longest)}).repartition("lang", "prefix")
-    sums = runs.groupBy("lang", "prefix", "size", "phrase").agg(F.sum("n").alias("n"))
-    return durable(sums.where(f"n >= {least} OR size = 0").drop("prefix"))
+    runs = _runs(docs, sizes, {size: filters[size] for size in range(1, longest)}).repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return durable(runs.mapInArrow(lambda rows: merged(rows, least), "lang string, size int, phrase string, n long"))
 
 
 def mine_collocations(

@@ -13,15 +13,21 @@ from wickerwork.operators.skew import LEAST, heavy_keys, lookup_join
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names (on a local master without it, in an own folder): the lineage
-    ends there and a lost executor costs nothing that was done before."""
+    ends there and a lost executor costs nothing that was done before. The shuffle files of the write go as it ends, as nothing reads them
+    again; otherwise they would stay until the driver collects its garbage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, cleanup = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
